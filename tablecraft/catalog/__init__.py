@@ -1,0 +1,13 @@
+"""All registered queries and their SQL."""
+
+from tablecraft.catalog import charts, quality, recipes, rows, transforms
+
+AREAS = (quality, rows, transforms, recipes, charts)
+
+
+def queries() -> dict:
+    return {name: fn for area in AREAS for name, fn in area.catalog.queries.items()}
+
+
+def oracles() -> dict[str, str]:
+    return {name: sql for area in AREAS for name, sql in area.catalog.oracles.items()}
