@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from tablecraft.catalog import charts, quality, recipes, rows, transforms
+from tablecraft.catalog import charts, ingest, learning, quality, recipes, rows, streams, transforms
 
-AREAS = (quality, rows, transforms, recipes, charts)
+AREAS = (ingest, quality, rows, transforms, recipes, charts, learning, streams)
 
 
 def queries() -> dict:

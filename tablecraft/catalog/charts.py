@@ -291,9 +291,9 @@ def sunburst_count(t):
     return relations.sunburst(t.orders, ["o_orderpriority", "o_orderstatus"])
 
 
-@catalog.add("j36_sunburst_sum", f"""SELECT o_orderpriority, o_orderstatus, CAST(2 - grouping(o_orderpriority) - grouping(o_orderstatus) AS BIGINT) AS depth, {r('sum(o_totalprice)', 1)} AS value FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)""")
+@catalog.add("j36_sunburst_sum", f"""SELECT o_orderpriority, o_orderstatus, CAST(2 - grouping(o_orderpriority) - grouping(o_orderstatus) AS BIGINT) AS depth, {r('sum(o_totalprice)', 3)} AS value FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)""")
 def sunburst_sum(t):
-    return rounded(relations.sunburst(t.orders, ["o_orderpriority", "o_orderstatus"], "o_totalprice"), 1)
+    return rounded(relations.sunburst(t.orders, ["o_orderpriority", "o_orderstatus"], "o_totalprice"), 3)
 
 
 @catalog.add("j37_table", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10")

@@ -141,24 +141,37 @@ def _fit_numeric(df: DataFrame, columns: Sequence[str], scaler: str) -> list[dic
 
 
 def _best_lambdas(df: DataFrame, columns: dict[str, Column]) -> dict[str, float]:
-    """Likelihood of a grid of lambdas in one aggregate per round, the grid closing in on the best."""
-    middle, reach = {c: 1.0 for c in columns}, LAMBDA_REACH
-    for _ in range(LAMBDA_ROUNDS if columns else 0):
-        grids = {c: [m - reach + 2 * reach * j / (LAMBDA_GRID - 1) for j in range(LAMBDA_GRID)] for c, m in middle.items()}
-        aggs = []
-        for i, (c, x) in enumerate(columns.items()):
-            aggs += [F.count(x).alias(f"n{i}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"g{i}")]
-            aggs += [F.var_pop(yeo_johnson(x, lam)).alias(f"v{i}_{j}") for j, lam in enumerate(grids[c])]
-        row = df.agg(*aggs).head()
-        for i, c in enumerate(columns):
+    """Likelihood of a grid of lambdas, one aggregate per round, the grid closing in on the best."""
+    if not columns:
+        return {}
+    names, reach = list(columns), LAMBDA_REACH
+    weight = df.agg(*[
+        e.alias(f"{t}{i}") for i, x in enumerate(columns.values())
+        for t, e in (("n", F.count(x)), ("g", F.sum(F.signum(x) * F.log1p(F.abs(x)))))
+    ]).head()
+    middle = [1.0] * len(names)
+    cells = F.array(*[F.struct(F.lit(i).alias("idx"), x.alias("x")) for i, x in enumerate(columns.values())])
+    long = df.select(F.inline(cells)).where(F.col("x").isNotNull())
+    x, lam = F.col("x"), F.col("lam")
+    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / F.when(F.abs(lam) < 1e-12, 1.0).otherwise(lam))
+    down = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(
+        -(F.pow(1 - x, 2 - lam) - 1) / F.when(F.abs(lam - 2) < 1e-12, 1.0).otherwise(2 - lam))
+    for _ in range(LAMBDA_ROUNDS):
+        grids = [[m - reach + 2 * reach * j / (LAMBDA_GRID - 1) for j in range(LAMBDA_GRID)] for m in middle]
+        table = F.array(*[F.array(*[F.lit(v) for v in g]) for g in grids])
+        # LAMBDA_GRID cells per value, summed up before anything is shuffled
+        spread = long.select("idx", "x", F.posexplode(F.get(table, F.col("idx"))).alias("j", "lam"))
+        moments = spread.groupBy("idx", "j").agg(F.var_pop(F.when(x >= 0, up).otherwise(down)).alias("v"))
+        found = {(r["idx"], r["j"]): r["v"] for r in moments.collect()}
+        for i in range(len(names)):
             def score(j):
-                v = row[f"v{i}_{j}"]
+                v = found.get((i, j))
                 if v is None or not (0 < v < math.inf):
                     return -math.inf
-                return -row[f"n{i}"] / 2 * math.log(v) + (grids[c][j] - 1) * row[f"g{i}"]
-            middle[c] = grids[c][max(range(LAMBDA_GRID), key=score)]
+                return -weight[f"n{i}"] / 2 * math.log(v) + (grids[i][j] - 1) * weight[f"g{i}"]
+            middle[i] = grids[i][max(range(LAMBDA_GRID), key=score)]
         reach = 2 * reach / (LAMBDA_GRID - 1) * 1.5
-    return middle
+    return dict(zip(names, middle))
 
 
 def _fit_categorical(df: DataFrame, columns: Sequence[str], cap: int) -> list[dict]:
@@ -168,19 +181,18 @@ def _fit_categorical(df: DataFrame, columns: Sequence[str], cap: int) -> list[di
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     counts = value_counts(df, columns)
     listed = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= KNOWN_VALUES + 1).collect()
-    gaps = df.agg(*[F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).head()
     out = []
-    for i, c in enumerate(columns):
+    for c in columns:
         seen = sorted((r["r"], r["value"], r["n"]) for r in listed if r["column"] == c)
         if not seen:
             continue
         mode = seen[0][1]
         values = [v for _, v, _ in seen]
         if len(values) <= cap:
-            out.append({"column": c, "mode": mode, "kept": sorted(values), "rare": None, "gaps": gaps[f"m{i}"]})
+            out.append({"column": c, "mode": mode, "kept": sorted(values), "rare": None})
         else:
             rare = values[cap - 1:] if len(values) <= KNOWN_VALUES else []
-            out.append({"column": c, "mode": mode, "kept": sorted(values[: cap - 1]), "rare": rare, "gaps": gaps[f"m{i}"]})
+            out.append({"column": c, "mode": mode, "kept": sorted(values[: cap - 1]), "rare": rare})
     return out
 
 

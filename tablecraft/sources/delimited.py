@@ -19,7 +19,6 @@ MISSING_TEXTS = (
 DELIMITERS = (",", ";", "\t", "|", ":", " ")
 CSV_NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 SNIFF_LINES = 100
-BAD_BYTE = "�"
 
 
 def sniff_delimiter(lines: list[str]) -> str:
@@ -49,7 +48,7 @@ def read_delimited(
     head = [r[0] for r in raw.limit(SNIFF_LINES).collect()]
     if not head:
         raise ValueError(f"{path} holds no lines")
-    encoding = "UTF-8" if raw.where(F.col("value").contains(BAD_BYTE)).isEmpty() else "ISO-8859-1"
+    encoding = "UTF-8" if raw.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
     if encoding != "UTF-8":
         # the text source reads UTF-8 only; the header must be taken in the right encoding
         first = spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="", header=False).limit(SNIFF_LINES)
