@@ -8,7 +8,7 @@ from tablecraft.catalog.base import GAPS, ITEM_KEY, Catalog, r, rounded
 from tablecraft.learn import metrics, models, neighbours, select, split, workflow
 from tablecraft.learn.prepare import TabularPrep
 from tablecraft.plans.recipe import Recipe
-from tablecraft.session import scratch_path
+from tablecraft.session import scratch_path, small_frame
 
 catalog = Catalog()
 K = ", ".join(ITEM_KEY)
@@ -36,7 +36,7 @@ def three(t):
   UNION ALL SELECT 'l_linenumber', CASE WHEN count(DISTINCT l_linenumber) > 10 THEN 'regression' ELSE 'classification' END FROM lineitem UNION ALL SELECT 'l_returnflag', 'classification'""")
 def suggest_task(t):
     found = [(c, split.suggest_task(t.lineitem, c)) for c in ("l_extendedprice", "l_linenumber", "l_returnflag")]
-    return t.spark.createDataFrame(found, "target string, task string")
+    return small_frame(t.spark, found, "target string, task string")
 
 
 @catalog.add("k02_split_sizes", f"""WITH {GAPS}, c AS (SELECT flag, count(*) AS n, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS test FROM gaps WHERE flag IS NOT NULL GROUP BY flag)
@@ -48,7 +48,7 @@ def split_sizes(t):
 def fitted(t, scaler):
     prep = TabularPrep(numericCols=["qty", "l_tax", "same"], scaler=scaler).fit(t.gaps.withColumn("same", F.lit(3.0)))
     rows = [(n["column"], float(n["median"]), float(n["center"]), float(n["scale"])) for n in prep.fitted["numeric"]]
-    return t.spark.createDataFrame(rows, "column string, median double, center double, scale double")
+    return small_frame(t.spark, rows, "column string, median double, center double, scale double")
 
 
 def fitted_sql(center: str, scale: str) -> str:
@@ -71,17 +71,22 @@ def minmax_scaler(t):
     return rounded(fitted(t, "minmax"), 9)
 
 
+@catalog.add("k03_median_and_constant", f"""WITH {GAPS} SELECT 'qty' AS "column", median(qty) AS median FROM gaps UNION ALL SELECT 'l_tax', median(l_tax) FROM gaps""")
+def median_and_constant(t):
+    return fitted(t, "standard").select("column", "median")
+
+
 @catalog.add("k07_power_transform")
 def power_transform(t):
     prep = TabularPrep(numericCols=["qty", "l_extendedprice"], scaler="power").fit(t.gaps)
-    return t.spark.createDataFrame([(n["column"], float(n["lam"])) for n in prep.fitted["numeric"]], "column string, lambda double")
+    return small_frame(t.spark, [(n["column"], float(n["lam"])) for n in prep.fitted["numeric"]], "column string, lambda double")
 
 
 @catalog.add("k08_one_hot_width", """WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS v, count(*) AS n FROM lineitem GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS i FROM c)
   SELECT 's_' || v AS feature FROM k WHERE i <= 49 UNION ALL SELECT 's___infrequent__'""")
 def one_hot_width(t):
     prep = TabularPrep(categoricalCols=["s"]).fit(t.lineitem.select(F.col("l_suppkey").cast("string").alias("s")))
-    return t.spark.createDataFrame([(n,) for n in prep.feature_names], "feature string")
+    return small_frame(t.spark, [(n,) for n in prep.feature_names], "feature string")
 
 
 @catalog.add("k10_balanced_weights", f"WITH {GAPS} SELECT flag AS class, count(*) AS n, {r('sum(count(*)) OVER () / (count(*) OVER () * count(*))', 9)} AS weight FROM gaps WHERE flag IS NOT NULL GROUP BY flag")
@@ -122,10 +127,38 @@ def model_registry(t):
 
     tasks = {"classification": models.CLASSIFIERS, "regression": models.REGRESSORS}
     rows = [(task, name, json.dumps(s), len(models.param_grid(task, name))) for task, found in tasks.items() for name, s in found.items()]
-    frame = t.spark.createDataFrame(rows, "task string, model string, settings string, grid int")
+    frame = small_frame(t.spark, rows, "task string, model string, settings string, grid int")
     return frame.withColumn("classes", F.lit(len(top_categories(t.lineitem, "l_returnflag", 100))))
 
 
+@catalog.add("k18_regressor_registry")
+def regressor_registry(t):
+    """Held-out error of the quick linear regressors, fitted side by side."""
+    train, test = split.train_test(t.lineitem, "l_extendedprice", ITEM_KEY, task="regression")
+    rows = [(name, float(workflow.evaluate(workflow.train(train, "l_extendedprice", ["l_quantity", "l_tax"], "regression", name), test).head()["rmse"]))
+            for name in ("Linear Regression", "Ridge Regression", "Lasso Regression", "Elastic Net")]
+    return small_frame(t.spark, rows, "model string, rmse double")
+
+
+@catalog.add("k22_train")
+def train_pipeline(t):
+    """Preprocessing and model fitted together, then applied to the rows held out."""
+    train, test = split.train_test(t.lineitem, "l_returnflag", ITEM_KEY)
+    trained = workflow.train(train, "l_returnflag", ["l_quantity", "l_tax", "l_linestatus"], "classification", "Naive Bayes")
+    return trained.predict(test).groupBy("l_returnflag", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@catalog.add("k41_model_round_trip")
+def model_round_trip(t):
+    from pyspark.ml import PipelineModel
+
+    trained = workflow.train(t.lineitem, "l_extendedprice", ["l_quantity", "l_tax"], "regression", "Linear Regression")
+    folder = scratch_path(t.spark, "model")
+    trained.model.write().save(folder)
+    again = workflow.Trained(PipelineModel.load(folder), "regression", "l_extendedprice", trained.features, trained.name)
+    return again.predict(t.lineitem).select("l_orderkey", "l_linenumber", F.round("prediction", 4).alias("prediction"))
+
+
 @catalog.add("k16_nearest_neighbours", """WITH d AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS i FROM embeddings a, embeddings b),
   v AS (SELECT vec_id, label, count(*) AS n FROM d WHERE i <= 5 GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS i FROM v) SELECT vec_id, CAST(label AS DOUBLE) AS prediction FROM w WHERE i = 1""")
 def nearest_neighbours(t):
@@ -141,7 +174,7 @@ def coefficient(name: str, settings: dict | None = None):
     def run(t):
         trained = workflow.train(t.lineitem, "l_extendedprice", ["l_quantity"], "regression", name, settings)
         model = trained.model.stages[-1]
-        return t.spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double").select(
+        return small_frame(t.spark, [(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double").select(
             F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"))
     return run
 
@@ -156,7 +189,7 @@ catalog.add("k20_elastic_net", LINE.format(slope=f"sign({COV}) * greatest(abs({C
 
 @catalog.add("k23_safe_folds", """SELECT 'o_orderpriority' AS target, CAST(min(least(50000, n)) AS INTEGER) AS folds FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority)""")
 def safe_folds(t):
-    return t.spark.createDataFrame([("o_orderpriority", split.safe_folds(t.orders, "o_orderpriority", 50000))], "target string, folds int")
+    return small_frame(t.spark, [("o_orderpriority", split.safe_folds(t.orders, "o_orderpriority", 50000))], "target string, folds int")
 
 
 @catalog.add("k24_fold_sizes", """WITH c AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)
@@ -168,13 +201,13 @@ def fold_sizes(t):
 @catalog.add("k24_cross_validate")
 def cross_validate(t):
     scores = workflow.cross_validate(t.lineitem, "l_extendedprice", ["l_quantity", "l_tax"], ITEM_KEY, "regression", "Linear Regression", folds=3)
-    return t.spark.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "fold int, r2 double")
+    return small_frame(t.spark, [(i, float(s)) for i, s in enumerate(scores)], "fold int, r2 double")
 
 
 @catalog.add("k25_tune")
 def tune(t):
     _, best = workflow.tune(t.lineitem, "l_extendedprice", ["l_quantity", "l_tax"], ITEM_KEY, "regression", "Ridge Regression", folds=2, metric="rmse")
-    return t.spark.createDataFrame([(k, float(v)) for k, v in best.items()], "setting string, value double")
+    return small_frame(t.spark, [(k, float(v)) for k, v in best.items()], "setting string, value double")
 
 
 WEIGHTED = """cm AS (SELECT label, prediction, count(*) AS n FROM {t} GROUP BY ALL), cl AS (SELECT DISTINCT label AS c FROM {t} UNION SELECT DISTINCT prediction FROM {t}),
@@ -310,14 +343,14 @@ def mutual_information(t):
 @catalog.add("k38_recursive_elimination")
 def recursive_elimination(t):
     left = select.recursive_elimination(t.lineitem, ["l_quantity", "l_tax", "l_discount", "l_suppkey"], "l_extendedprice", 2, "regression", trees=5)
-    return t.spark.createDataFrame([(c,) for c in left], "feature string")
+    return small_frame(t.spark, [(c,) for c in left], "feature string")
 
 
 @catalog.add("k39_choose_features")
 def choose_features(t):
     df = t.lineitem.drop("l_shipdate")
     rows = [(mode, ",".join(select.choose_features(df, "l_extendedprice", mode, ["l_tax", "l_linestatus"], 3, "regression"))) for mode in ("all", "manual", "automatic")]
-    return t.spark.createDataFrame(rows, "mode string, features string")
+    return small_frame(t.spark, rows, "mode string, features string")
 
 
 def scoring_parts(t):

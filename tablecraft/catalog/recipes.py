@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.catalog.base import GAPS, ITEM_KEY, Catalog, r, rounded
 from tablecraft.plans.recipe import Recipe
+from tablecraft.session import small_frame
 
 catalog = Catalog()
 K = ", ".join(ITEM_KEY)
@@ -45,7 +46,7 @@ def replay_report(t):
     recipe = Recipe("partly").record("polynomial", "l_tax", 2).record("normalize", "no_such_measure").record(
         "log_transform", "l_tax", depends_on=[1]).record("standardize", "l_quantity")
     _, report = recipe.apply(t.lineitem)
-    return t.spark.createDataFrame([(e["step"], e["status"]) for e in report], "step int, status string")
+    return small_frame(t.spark, [(e["step"], e["status"]) for e in report], "step int, status string")
 
 
 @catalog.add("i08_fitted_statistics", f"""WITH {GAPS}, s AS (SELECT avg(qty) AS m, min(coalesce(qty, (SELECT avg(qty) FROM gaps WHERE l_linestatus = 'O'))) AS lo, max(qty) AS hi FROM gaps WHERE l_linestatus = 'O')

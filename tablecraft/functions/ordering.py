@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablecraft.functions.columns import col, kind, micros
-from tablecraft.session import freeze
+from tablecraft.session import freeze, small_frame
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
@@ -123,7 +123,7 @@ def over_sorted(
     if reach <= 0 or not needs:
         halo = None
     else:
-        plan = df.sparkSession.createDataFrame(needs, "source int, take long, target int")
+        plan = small_frame(df.sparkSession, needs, "source int, take long, target int")
         halo = (
             tails.join(F.broadcast(plan), (F.col(BUCKET) == plan.source) & (F.col(PIECE) <= plan["take"]))
             .select(*[col(c) for c in df.columns], F.col("target").alias(BUCKET), F.lit(True).alias(HALO))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -68,12 +68,19 @@ def value_counts(df: DataFrame, columns: Sequence[str], as_type: str = "string")
     return _counted(df, columns, as_type).select(_named(columns), "value", "n")
 
 
-def top_values(df: DataFrame, columns: Sequence[str], as_type: str = "string") -> DataFrame:
-    """Most frequent value per column; the smallest value wins a tie. Merges map-side."""
+def top_values(
+    df: DataFrame, columns: Sequence[str], as_type: str = "string", tests: Mapping[str, Callable[[Sequence[str]], Column]] | None = None,
+) -> DataFrame:
+    """Most frequent value per column; the smallest value wins a tie. Merges map-side.
+
+    ``tests`` add the number of rows whose value passes: a costly test then runs once per
+    distinct value. Each gets the column names and refers to ``idx`` and ``value``.
+    """
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))
-    return _counted(df, columns, as_type).groupBy("idx").agg(best.alias("best"), F.count(F.lit(1)).alias("distinct")).select(
-        _named(columns), F.col("best.value").alias("value"), (-F.col("best.neg")).alias("n"), "distinct"
-    )
+    passed = {name: F.sum(F.when(test(columns), F.col("n")).otherwise(F.lit(0))) for name, test in (tests or {}).items()}
+    return _counted(df, columns, as_type).groupBy("idx").agg(
+        best.alias("best"), F.count(F.lit(1)).alias("distinct"), *[e.alias(name) for name, e in passed.items()]
+    ).select(_named(columns), F.col("best.value").alias("value"), (-F.col("best.neg")).alias("n"), "distinct", *passed)
 
 
 def value_class(df: DataFrame, name: str) -> str:
@@ -86,21 +93,26 @@ def value_class(df: DataFrame, name: str) -> str:
     return "timestamp_ntz" if kind(dtype) == "datetime" else "string"
 
 
-def distinct_and_top(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def distinct_and_top(
+    df: DataFrame, columns: Sequence[str], tests: Mapping[str, Callable[[Sequence[str]], Column]] | None = None,
+) -> DataFrame:
     """(column, unique_count, most_common, most_common_count) for columns that have values.
 
     Values are counted per (column, value), combined map-side, so neither a wide column
     nor a dominant value lands in one task. Each type class reads only its own columns.
+    ``tests`` (see :func:`top_values`) apply to text.
     """
     classes: dict[str, list[str]] = {}
     for c in columns:
         classes.setdefault(value_class(df, c), []).append(c)
-    parts = [
-        top_values(df, names, as_type).select(
+    parts = []
+    for as_type, names in sorted(classes.items()):
+        used = tests if as_type == "string" else None
+        top = top_values(df, names, as_type, used)
+        parts.append(top.select(
             "column", F.col("distinct").alias("unique_count"), F.col("value").cast("string").alias("most_common"),
-            F.col("n").alias("most_common_count"))
-        for as_type, names in sorted(classes.items())
-    ]
+            F.col("n").alias("most_common_count"),
+            *[F.col(t) if used else F.lit(None).cast("bigint").alias(t) for t in tests or {}]))
     return reduce(DataFrame.unionByName, parts)
 
 

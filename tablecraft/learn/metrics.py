@@ -10,6 +10,7 @@ from tablecraft.functions.columns import col
 from tablecraft.functions.ordering import ROWS_PER_BUCKET, running_sums
 from tablecraft.functions.sampling import seeded_sample
 from tablecraft.operators.distributions import histogram
+from tablecraft.session import small_frame
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -83,7 +84,7 @@ def roc_auc_multiclass(df: DataFrame, label: str, probabilities: str, classes: S
     present = [r[0] for r in df.select(col(label).cast("int").alias("c")).distinct().collect()]
     used = [c for c in classes if c in present] if keys_present_only else list(classes)
     if len(used) < 2:
-        return df.sparkSession.createDataFrame([(None,)], "roc_auc double")
+        return small_frame(df.sparkSession, [(None,)], "roc_auc double")
     p = col(probabilities)
     total = sum((p[c] for c in used), F.lit(0.0))
     cells = F.array(*[

@@ -20,6 +20,7 @@ from tablecraft.learn.models import TabularModel, param_grid, random_settings
 from tablecraft.learn.prepare import TabularPrepModel, prep_for
 from tablecraft.learn.split import nested_subset, safe_folds, with_folds
 from tablecraft.plans.recipe import Recipe
+from tablecraft.session import small_frame
 
 LABEL = "label"
 SMALLER_IS_BETTER = ("rmse", "mae", "mse")
@@ -87,7 +88,7 @@ class Trained:
         else:
             return None
         spark = SparkSession.getActiveSession()
-        frame = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
+        frame = small_frame(spark, [(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
         frame = frame.orderBy(F.desc("importance"), "feature")
         return frame.limit(top) if top else frame
 
@@ -164,7 +165,7 @@ def learning_curve(df: DataFrame, target: str, features: Sequence[str], key: Seq
             train_scores.append(evaluate(fitted, part).head()[metric])
             test_scores.append(evaluate(fitted, marked.where(F.col("fold") == i).drop("fold")).head()[metric])
         lines.append((float(fraction), fmean(train_scores), pstdev(train_scores), fmean(test_scores), pstdev(test_scores)))
-    return df.sparkSession.createDataFrame(lines, "fraction double, train_mean double, train_std double, test_mean double, test_std double")
+    return small_frame(df.sparkSession, lines, "fraction double, train_mean double, train_std double, test_mean double, test_std double")
 
 
 def score_batch(trained: Trained, table: DataFrame, recipe: Recipe | None = None, mode: str = "recompute") -> DataFrame:

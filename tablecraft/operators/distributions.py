@@ -12,9 +12,10 @@ from tablecraft.functions.ordering import value_ranks
 from tablecraft.functions.quantiles import grouped_quantiles
 from tablecraft.functions.stats import to_long
 from tablecraft.operators.rows import keep_top
+from tablecraft.session import small_frame
 
 MISSING_LABEL = "Missing/NaN"
-KDE_POINTS, KDE_CHUNK = 200, 50
+KDE_POINTS = 200
 FENCE = 1.5
 
 
@@ -92,39 +93,33 @@ def box(df: DataFrame, y: str, groups: Sequence[str] = (), tops: Sequence[int] =
 def density(df: DataFrame, x: str, points: int = KDE_POINTS, group: str | None = None) -> DataFrame:
     """Gaussian density on an even grid, Scott bandwidth, from all rows.
 
-    Every row adds to each grid point, so the work is rows * points; it is done as sums
-    that are combined before the shuffle, a chunk of the grid at a time. Groups with fewer
-    than two distinct values are left out.
+    Every distinct value adds to each grid point; the sums are combined before they are
+    shuffled. Groups with fewer than two distinct values are left out.
     """
     require(df, x)
     keys = [col(group).alias("__g")] if group else [F.lit(0).alias("__g")]
-    data = df.select(*keys, as_double(df, x).alias("__x")).where(F.col("__x").isNotNull())
-    shape = data.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__a"), F.max("__x").alias("__b"),
+    rows = df.select(*keys, as_double(df, x).alias("__x")).where(F.col("__x").isNotNull())
+    shape = rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__a"), F.max("__x").alias("__b"),
                                     F.stddev_samp("__x").alias("__s"))
+    # equal values are weighed once; this also spreads the work evenly before the costly part
+    data = rows.groupBy("__g", "__x").agg(F.count(F.lit(1)).alias("__m"))
     shape = shape.where(F.col("__a") < F.col("__b")).withColumn("__h", F.col("__s") * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
     if group:
         with_shape = data.join(shape, "__g")
     else:
         row = shape.head()
         if row is None:
-            return df.sparkSession.createDataFrame([], "point int, x double, density double")
+            return small_frame(df.sparkSession, [], "point int, x double, density double")
         with_shape = data.select("*", *[F.lit(row[c]).alias(c) for c in ("__n", "__a", "__b", "__s", "__h")])
-    chunk = min(KDE_CHUNK, points)
-    spread = with_shape.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(points / chunk) - 1))))
-
-    def grid(i: Column) -> Column:
-        return F.col("__a") + i * (F.col("__b") - F.col("__a")) / F.lit(float(points - 1))
-
-    def kernel(j: int) -> Column:
-        z = (grid(F.col("__c") * chunk + j) - F.col("__x")) / F.col("__h")
-        return F.exp(F.lit(-0.5) * z * z)
-
-    sums = spread.groupBy("__g", "__c").agg(
-        *[F.sum(kernel(j)).alias(f"s{j}") for j in range(chunk)], *[F.first(c).alias(c) for c in ("__n", "__a", "__b", "__h")])
-    flat = sums.select("*", F.posexplode(F.array(*[F.col(f"s{j}") for j in range(chunk)])).alias("__j", "__sum"))
-    point = F.col("__c") * chunk + F.col("__j")
-    return flat.where(point < points).select(
-        *([F.col("__g").alias(group)] if group else []), point.alias("point"), grid(point).alias("x"),
+    step = (F.col("__b") - F.col("__a")) / F.lit(float(points - 1))
+    at = F.col("__a") + F.col("point") * step
+    z = (at - F.col("__x")) / F.col("__h")
+    spread = with_shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    shared = ("__n", "__a", "__b", "__h")
+    sums = spread.groupBy("__g", "point").agg(
+        F.sum(F.col("__m") * F.exp(F.lit(-0.5) * z * z)).alias("__sum"), *[F.first(c).alias(c) for c in shared])
+    return sums.select(
+        *([F.col("__g").alias(group)] if group else []), "point", at.alias("x"),
         (F.col("__sum") / (F.col("__n") * F.col("__h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
     )
 

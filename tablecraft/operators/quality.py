@@ -12,6 +12,7 @@ from tablecraft.functions.stats import (
     distinct_and_top, missing, pearson, sample_skewness, to_long, top_values, value_counts,
 )
 from tablecraft.sources.typing import parsed_date
+from tablecraft.session import small_frame
 
 # Thresholds of the quality rules.
 OUTLIER_SHARE, OUTLIER_MEDIUM_PCT = 0.05, 10
@@ -155,11 +156,6 @@ def quality_profile(df: DataFrame, approximate_distinct: bool = False) -> DataFr
             lo, hi = fences[c][2:]
             outside = F.lit(False) if lo is None else ((col(c) < lo) | (col(c) > hi))
             aggs += [F.count_if(outside).alias(f"o{i}"), sample_skewness(col(c)).alias(f"k{i}")]
-        elif c in text:
-            as_number = F.trim(col(c).cast("string")).try_cast("double")
-            aggs.append(F.count_if(as_number.isNotNull() & ~F.isnan(as_number)).alias(f"t{i}"))
-            if _date_in_name(c):
-                aggs.append(F.count_if(col(c).isNotNull() & parsed_date(col(c).cast("string")).isNull()).alias(f"d{i}"))
     no_count = F.lit(None).cast("bigint")
     wide = to_long(df.agg(*aggs), [{
         "column": F.lit(c),
@@ -169,17 +165,17 @@ def quality_profile(df: DataFrame, approximate_distinct: bool = False) -> DataFr
         "missing_percentage": F.coalesce(F.round(percent(F.col(f"m{i}"), F.col("rows")), 2), F.lit(0.0)),
         "outliers_count": F.col(f"o{i}") if c in numeric else no_count,
         "skewness": F.col(f"k{i}") if c in numeric else F.lit(None).cast("double"),
-        "numeric_text_count": F.col(f"t{i}") if c in text else no_count,
-        "bad_date_count": F.col(f"d{i}") if c in text and _date_in_name(c) else no_count,
         "sketched": F.col(f"u{i}") if approximate_distinct and c not in text else no_count,
     } for i, c in enumerate(df.columns)])
     counted = [c for c in df.columns if c in text or not approximate_distinct]
     if counted:
-        wide = wide.join(distinct_and_top(df, counted), "column", "left")
+        wide = wide.join(distinct_and_top(df, counted, TEXT_TESTS), "column", "left")
     else:
-        wide = wide.select("*", no_count.alias("unique_count"), F.lit(None).cast("string").alias("most_common"), no_count.alias("most_common_count"))
+        wide = wide.select("*", *[no_count.alias(c) for c in ("unique_count", "most_common_count", *TEXT_TESTS)], F.lit(None).cast("string").alias("most_common"))
     unique = F.coalesce("unique_count", "sketched", F.lit(0))
+    dated = [c for c in text if _date_in_name(c)]
     return wide.withColumns({
+        "bad_date_count": F.when(F.col("column").isin(dated), F.coalesce("bad_date_count", F.lit(0))),
         "unique_count": unique,
         "unique_percentage": F.coalesce(F.round(percent(unique, F.col("row_count")), 2), F.lit(0.0)),
     }).drop("sketched")
@@ -189,6 +185,20 @@ def _date_in_name(name: str) -> bool:
     return any(word in name.lower() for word in ("date", "time"))
 
 
+def _is_number(columns: Sequence[str]) -> Column:
+    """Text that reads as a number; the pattern spares the cast of plain words."""
+    number = F.trim("value").try_cast("double")
+    return F.col("value").rlike(r"(?i)^\s*[-+]?(inf|[0-9.])") & number.isNotNull()
+
+
+def _is_no_date(columns: Sequence[str]) -> Column:
+    dated = [i for i, c in enumerate(columns) if _date_in_name(c)]
+    return F.col("idx").isin(dated) & parsed_date(F.col("value")).isNull() if dated else F.lit(False)
+
+
+TEXT_TESTS = {"numeric_text_count": _is_number, "bad_date_count": _is_no_date}
+
+
 def _rule(when: Column, issue: str, severity: Column | str, detail: Column) -> Column:
     severity = F.lit(severity) if isinstance(severity, str) else severity
     return F.when(when, F.struct(F.lit(issue).alias("issue"), severity.alias("severity"), detail.alias("detail")))
@@ -235,7 +245,7 @@ def quality_findings(df: DataFrame, approximate_distinct: bool = False) -> DataF
     """All findings of a table, most severe first."""
     spark = df.sparkSession
     if df.isEmpty():
-        return spark.createDataFrame([(None, "empty_dataset", "high", "the table has no rows")], FINDING)
+        return small_frame(spark, [(None, "empty_dataset", "high", "the table has no rows")], FINDING)
     repeats = table_summary(df).where(F.col("duplicated_rows") > 0).select(
         F.lit(None).cast("string").alias("column"), F.lit("duplicated_rows").alias("issue"), F.lit("medium").alias("severity"),
         F.format_string("%d rows repeat another (%s%%)", "duplicated_rows",
@@ -277,7 +287,7 @@ def missingness_correlation(df: DataFrame) -> DataFrame:
     flags = {c: F.isnull(col(c)).cast("double") for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     if not pairs:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
+        return small_frame(df.sparkSession, [], "column_a string, column_b string, correlation double")
     wide = df.agg(*[pearson(flags[a], flags[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return to_long(wide, [{"column_a": F.lit(a), "column_b": F.lit(b), "correlation": F.col(f"c{i}")} for i, (a, b) in enumerate(pairs)])
 
@@ -289,8 +299,14 @@ def missing_context(df: DataFrame, target: str, few: int = 10) -> DataFrame:
     """
     others = [f.name for f in df.schema.fields if f.name != target and kind(f.dataType) != "other"]
     subset = df.where(col(target).isNull())
-    counts = value_counts(subset, others)
     text = [c for c in others if kind(df.schema[c].dataType) == "text"]
+    rest = [c for c in others if c not in text]
+    if rest:
+        # columns that clearly have too many values are not counted; the exact limit is applied below
+        near = subset.agg(*[F.approx_count_distinct(col(c)).alias(f"u{i}") for i, c in enumerate(rest)]).head()
+        rest = [c for i, c in enumerate(rest) if near[f"u{i}"] < 10 * few]
+    others = [c for c in others if c in text or c in rest]
+    counts = value_counts(subset, others)
     totals = counts.groupBy("column").agg(F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct"))
     wide_enough = F.col("column").isin(text) | (F.col("distinct") < few)
     # totals hold one row per column, so this join is settled by that small side

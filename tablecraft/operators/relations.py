@@ -11,6 +11,7 @@ from tablecraft.functions.ordering import ROWS_PER_BUCKET, running_sums, value_r
 from tablecraft.functions.sampling import seeded_sample
 from tablecraft.functions.stats import pearson, to_long
 from tablecraft.operators.rows import keep_top
+from tablecraft.session import small_frame
 
 PAIRS_PER_PASS = 300
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}
@@ -61,8 +62,10 @@ def _joint(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _average_ranks(joint: DataFrame, axis: str, rows: int, rows_per_bucket: int) -> DataFrame:
+    """Average rank of every value, less the mean rank (m + 1) / 2."""
     ranked = value_ranks(joint, axis, (), "n", rows, rows_per_bucket)
-    return ranked.select(axis, (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias(f"r{axis}"))
+    rank = F.col("upto_n") - (F.col("n") - 1) / 2.0
+    return ranked.select(axis, (rank - (F.col("all_n") + 1) / 2.0).alias(f"r{axis}"))
 
 
 def spearman(df: DataFrame, a: str, b: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -72,12 +75,7 @@ def spearman(df: DataFrame, a: str, b: str, rows_per_bucket: int = ROWS_PER_BUCK
     full = joint.join(_average_ranks(joint, "x", rows, rows_per_bucket), "x").join(
         _average_ranks(joint, "y", rows, rows_per_bucket), "y")
     n, x, y = F.col("n").cast("double"), F.col("rx"), F.col("ry")
-    sums = full.agg(F.sum(n).alias("m"), F.sum(n * x).alias("sx"), F.sum(n * y).alias("sy"))
-    row = sums.head()
-    if not row["m"]:
-        return df.sparkSession.createDataFrame([(None,)], "correlation double")
-    dx, dy = x - F.lit(row["sx"] / row["m"]), y - F.lit(row["sy"] / row["m"])
-    return full.agg(F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx)) * F.sqrt(F.sum(n * dy * dy))).alias("correlation"))
+    return full.agg(F.try_divide(F.sum(n * x * y), F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y))).alias("correlation"))
 
 
 def kendall(df: DataFrame, a: str, b: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -96,7 +94,7 @@ def kendall(df: DataFrame, a: str, b: str, rows_per_bucket: int = ROWS_PER_BUCKE
     coded = joint.join(y_codes.select("y", (F.col("upto_one") - 1).alias("code")), "y")
     top = coded.agg(F.max("code")).head()[0]
     if top is None:
-        return df.sparkSession.createDataFrame([(None,)], "correlation double")
+        return small_frame(df.sparkSession, [(None,)], "correlation double")
     bits = max(1, int(top).bit_length())
     spread = coded.select("x", "n", "code", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
     one = F.expr("shiftright(code, bit)")

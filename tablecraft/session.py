@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
@@ -36,6 +40,13 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A frame of a few driver-side rows; it becomes a local relation, which needs no job."""
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    columns = [pa.array([row[i] for row in rows], ARROW[kind]) for i, (_, kind) in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, [name for name, _ in fields]))
+
+
 def local_session(app: str = "tablecraft", cpus: int | str = "*") -> SparkSession:
     """Session for tests and benchmarks; clusters bring their own."""
     return (
