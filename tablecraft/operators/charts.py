@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablecraft.functions.columns import col, require
 from tablecraft.operators import distributions, relations, series, summaries
+from tablecraft.operators.quality import missing_table
 from tablecraft.operators.rows import preview
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count}
@@ -56,18 +57,54 @@ CHARTS: dict[str, Callable[..., DataFrame]] = {
     "pie_other": distributions.pie_with_other, "shares": distributions.shares, "crosstab": distributions.crosstab,
     "time_series": series.time_series, "resample": series.resample, "seasonality": series.seasonality,
     "numeric_summary": summaries.numeric_summary, "categorical_summary": summaries.categorical_summary,
-    "group_statistics": summaries.group_statistics, "metric": summaries.metric,
+    "group_statistics": summaries.group_statistics, "metric": summaries.metric, "missing": missing_table,
 }
-DRAWING_ONLY = frozenset({"title", "height", "width", "orientation", "opacity", "color_scale", "text_auto"})
+DRAWING_ONLY = frozenset({"title", "height", "width", "orientation", "opacity", "color_scale", "text_auto", "label"})
+
+# Names of views and dashboard components, and of their settings, in saved specs.
+NAMES = {
+    "Histogram": "histogram", "Box Plot": "box", "Violin Plot": "violin", "KDE Plot": "kde",
+    "Bar Chart": "value_bars", "Pie Chart": "pie_other", "Count Plot": "value_bars", "Percentage Distribution": "shares",
+    "Scatter Plot": "scatter", "Correlation Matrix": "correlation", "Pair Plot": "pair_plot", "Grouped Bar Chart": "grouped_bar", "Grouped Box Plot": "box",
+    "Compare Numeric Distributions": "histogram_overlay", "Category Distribution in Groups": "crosstab", "Distribution Grid": "distribution_grid",
+    "Time Series Plot": "time_series", "Resampled Trends": "resample", "Seasonality Analysis": "seasonality",
+    "Numeric Summary": "numeric_summary", "Categorical Summary": "categorical_summary", "Group Statistics": "group_statistics", "Missing Value Analysis": "missing",
+    "Parallel Coordinates": "parallel_coordinates", "Radar Chart": "radar", "3D Scatter Plot": "scatter_3d", "Sunburst Chart": "sunburst",
+    "custom_parallel": "parallel_coordinates", "custom_radar": "radar", "custom_3d": "scatter_3d", "custom_sunburst": "sunburst",
+    "custom_grid": "pair_plot", "custom_time": "time_series", "custom_summary": "numeric_summary",
+}
+SETTINGS = {
+    "parallel_coordinates": {"dimensions": "columns"}, "radar": {"variables": "columns"}, "pair_plot": {"variables": "columns"},
+    "sunburst": {"values": "value"}, "time_series": {"date_column": "date", "value_column": "values", "group_column": "category"},
+    "violin": {"x": "group"}, "box": {"x": "groups"}, "scatter": {"y": "ys"}, "heatmap": {"aggregation": "how"},
+}
+LISTS = {"scatter": ("ys",), "box": ("groups",), "time_series": ("values",)}
+SAMPLED = ("scatter", "pair_plot", "scatter_3d", "parallel_coordinates")
+
+
+def _settings(df: DataFrame, name: str, config: dict) -> dict:
+    """Settings under the builder's own names; sampled charts are keyed by all columns unless told otherwise."""
+    renamed = SETTINGS.get(name, {})
+    out = {renamed.get(k, k): v for k, v in config.items() if k not in DRAWING_ONLY and v is not None}
+    for k in LISTS.get(name, ()):
+        if isinstance(out.get(k), str):
+            out[k] = [out[k]]
+    if name == "scatter_3d" and "columns" not in out:
+        out["columns"] = [out.pop(k) for k in ("x", "y", "z", "color", "size") if k in out]
+    if name in SAMPLED:
+        out.setdefault("key", df.columns)
+    if name == "table":
+        out.setdefault("order_by", df.columns[:1])
+        out["columns"] = out.get("columns") or df.columns
+    return out
 
 
 def chart_data(df: DataFrame, spec: dict) -> DataFrame:
     """``{"chart_type": name, "config": {...}}`` -> the frame the chart draws."""
-    name = spec.get("chart_type")
+    name = NAMES.get(spec.get("chart_type"), spec.get("chart_type"))
     if name not in CHARTS:
         raise ValueError(f"unknown chart type {name!r}")
-    settings = {k: v for k, v in (spec.get("config") or {}).items() if k not in DRAWING_ONLY}
     try:
-        return CHARTS[name](df, **settings)
+        return CHARTS[name](df, **_settings(df, name, spec.get("config") or {}))
     except TypeError as problem:
         raise ValueError(f"settings do not fit a {name} chart: {problem}") from problem

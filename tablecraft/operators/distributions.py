@@ -124,8 +124,10 @@ def density(df: DataFrame, x: str, points: int = KDE_POINTS, group: str | None =
     )
 
 
-def violin(df: DataFrame, y: str, group: str, top: int = 15) -> DataFrame:
+def violin(df: DataFrame, y: str, group: str | None = None, top: int = 15) -> DataFrame:
     """Density per group with the box figures of the group on every point."""
+    if group is None:
+        return density(df, y).join(F.broadcast(box(df, y)), F.lit(True))  # one row of figures
     limited = keep_top(df, group, top)
     return density(limited, y, group=group).join(box(limited, y, [group], (top,)), group)
 

@@ -73,3 +73,26 @@ def test_dashboard(spark, df, tmp_path):
     assert values(frames["m"], "value") == [1.0] and set(errors) == {"t"}
     assert set(export_dashboard(df, spec, str(tmp_path / "out"))) == {"t"}
     assert spark.read.parquet(str(tmp_path / "out" / "m")).count() == 1
+
+
+def test_saved_component_specs(spark, folder):
+    from tablecraft.operators.charts import CHARTS, NAMES, chart_data
+
+    df = spark.read.parquet(f"{folder}/lineitem.parquet")
+    assert set(NAMES.values()) <= set(CHARTS)
+    specs = [
+        ("custom_radar", {"category": "l_returnflag", "variables": ["l_quantity", "l_tax"]}, 6),
+        ("custom_time", {"date_column": "l_shipdate", "value_column": "l_tax", "group_column": "l_linestatus"}, df.count()),
+        ("custom_3d", {"x": "l_tax", "y": "l_discount", "z": "l_quantity", "color": "l_returnflag"}, 1000),
+        ("custom_sunburst", {"path": ["l_returnflag", "l_linestatus"], "values": "l_tax"}, 10),
+        ("custom_parallel", {"dimensions": ["l_tax", "l_discount", "l_quantity"]}, 1000),
+        ("custom_grid", {"variables": ["l_tax", "l_discount"]}, 2000),
+        ("custom_summary", {"columns": ["l_tax"], "height": 300}, 1),
+        ("scatter", {"x": "l_tax", "y": "l_discount", "title": "t"}, 5000),
+        ("box", {"x": "l_returnflag", "y": "l_tax"}, 3), ("violin", {"y": "l_tax"}, 200), ("heatmap", {"x": "l_linestatus", "y": "l_returnflag", "values": "l_tax", "aggregation": "mean"}, 6),
+        ("table", {"columns": ["l_tax"], "max_rows": 4}, 4), ("Missing Value Analysis", {}, 0),
+    ]
+    for name, config, rows in specs:
+        assert chart_data(df, {"chart_type": name, "config": config}).count() == rows, name
+    with pytest.raises(ValueError):
+        chart_data(df, {"chart_type": "bar", "config": {"wrong": 1}})
