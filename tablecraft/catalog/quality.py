@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tablecraft.catalog.base import GAPS, TEXTS, Catalog, r, rounded
 from tablecraft.functions.sampling import seeded_sample
 from tablecraft.operators import quality
+from tablecraft.session import freeze
 
 catalog = Catalog()
 NUMBERS = ["qty", "l_extendedprice", "l_discount", "l_tax"]
@@ -155,7 +156,8 @@ def rule_duplicates(t):
 
 @catalog.add("b21_profile_sample")
 def profile_sample(t):
-    return quality.quality_profile(seeded_sample(t.lineitem, 50000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
+    # the bounded sample is drawn once; the profile passes over it several times
+    return quality.quality_profile(freeze(seeded_sample(t.lineitem, 50000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])))
 
 
 FINDINGS_SQL = f"""WITH {GAPS}, v AS (SELECT qty, flag, l_linestatus, l_shipdate, pow(l_extendedprice / 1000, 9) AS ninth FROM gaps),

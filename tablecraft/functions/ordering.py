@@ -123,7 +123,7 @@ def over_sorted(
     if reach <= 0 or not needs:
         halo = None
     else:
-        plan = small_frame(df.sparkSession, needs, "source int, take long, target int")
+        plan = small_frame(df.sparkSession, needs, "source int, take bigint, target int")
         halo = (
             tails.join(F.broadcast(plan), (F.col(BUCKET) == plan.source) & (F.col(PIECE) <= plan["take"]))
             .select(*[col(c) for c in df.columns], F.col("target").alias(BUCKET), F.lit(True).alias(HALO))

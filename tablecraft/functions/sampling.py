@@ -10,6 +10,7 @@ from tablecraft.functions.columns import col
 
 SPACE = 1 << 52
 PREFILTER_ROWS = 10_000_000
+PLAIN_CUTS = 64
 
 
 def row_hash(key: Sequence[str], seed: int) -> Column:
@@ -37,52 +38,92 @@ def rank_cuts(
 ) -> dict[object, list]:
     """For each class, the (hash, key) tuple found at each 1-based rank in hash order.
 
-    Hashes are uniform, so a narrow bracket is known beforehand; only rows in the bracket
-    are ranked. The bracket is checked by counting and widened if it missed.
+    ``wanted`` lists equally many ranks for every class. Hashes are uniform, so a narrow
+    bracket around each rank is known beforehand; one pass counts what lies below it and
+    only the rows in it are ranked. A bracket that missed is widened.
     """
-    h = row_hash(key, seed)
     base = df.select(
-        (col(label) if label else F.lit(0)).alias("__class"), h.alias("__h"),
+        (col(label) if label else F.lit(0)).alias("__class"), row_hash(key, seed).alias("__h"),
         *[col(k).alias(f"__k{i}") for i, k in enumerate(key)],
     )
     order = ["__h", *[f"__k{i}" for i in range(len(key))]]
-    todo = {(c, r) for c, ranks in wanted.items() for r in ranks if 0 < r <= sizes[c]}
+    width = max((len(ranks) for ranks in wanted.values()), default=0)
+    todo = {(c, j) for c, ranks in wanted.items() for j, r in enumerate(ranks) if 0 < r <= sizes[c]}
     found: dict = {}
     spread = 8.0
     while todo:
-        asks = []
-        for c, r in sorted(todo, key=str):
-            n = sizes[c]
+        brackets: dict = {}
+        for c, ranks in wanted.items():
+            n = max(1, sizes[c])
             slack = (spread * n ** 0.5 + 16) / n
-            lo, hi = max(0.0, r / n - slack), min(1.0, r / n + slack)
-            asks.append((c, r, int(lo * SPACE), int(hi * SPACE)))
-
-        def in_class(c):
-            return F.col("__class").eqNullSafe(F.lit(c))
-
-        below = base.agg(*[
-            F.count_if(in_class(c) & (F.col("__h") < lo)).alias(f"b{i}") for i, (c, _, lo, _) in enumerate(asks)
-        ]).head()
-        frames = []
-        for i, (c, r, lo, hi) in enumerate(asks):
-            at = r - below[f"b{i}"]
-            if at >= 1:
-                frames.append(F.when(in_class(c) & F.col("__h").between(lo, hi), F.struct(F.lit(i).alias("ask"), F.lit(at).alias("at"))))
-        if frames:
-            near = base.select("*", F.explode(F.filter(F.array(*frames), lambda s: s.isNotNull())).alias("__s"))
-            rank = F.row_number().over(Window.partitionBy("__s.ask").orderBy(*order))
-            for row in near.withColumn("__r", rank).where(F.col("__r") == F.col("__s.at")).collect():
-                c, r, _, _ = asks[row["__s"]["ask"]]
-                found[(c, r)] = [row[o] for o in order]
+            brackets[c] = [
+                (int(max(0.0, r / n - slack) * SPACE), int(min(1.0, r / n + slack) * SPACE)) if (c, j) in todo else (-1, -1)
+                for j, r in enumerate(ranks)
+            ]
+        # a class gives a few numbers, so both tables stay small
+        lows, highs = (_by_class({c: [b[i] for b in bs] for c, bs in brackets.items()}) for i in (0, 1))
+        below = {r["__class"]: r["b"] for r in base.groupBy("__class").agg(
+            F.array(*[F.count_if(F.col("__h") < lows[j]) for j in range(width)]).alias("b")).collect()}
+        at = _by_class({c: [ranks[j] - below[c][j] for j in range(width)] for c, ranks in wanted.items() if c in below})
+        hits = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.col("__h").between(F.get(lows, j), F.get(highs, j)))
+        near = base.select("*", F.explode(hits).alias("__j"))
+        rank = F.row_number().over(Window.partitionBy("__class", "__j").orderBy(*order))
+        for row in near.withColumn("__r", rank).where(F.col("__r") == F.get(at, F.col("__j"))).collect():
+            found[(row["__class"], row["__j"])] = [row[o] for o in order]
         todo -= set(found)
         spread *= 16
-    return {c: [found.get((c, r)) for r in ranks] for c, ranks in wanted.items()}
-
-
-def at_or_before(key: Sequence[str], seed: int, cut: Sequence) -> Column:
-    """True for rows whose (hash, key) tuple is at or before ``cut``."""
-    h, parts = row_hash(key, seed), [col(k) for k in key]
-    test = parts[-1] <= F.lit(cut[-1])
-    for part, value in list(zip(parts, cut[1:]))[-2::-1]:
-        test = (part < F.lit(value)) | ((part == F.lit(value)) & test)
-    return (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & test)
+    return {c: [found.get((c, j)) for j in range(len(ranks))] for c, ranks in wanted.items()}
+
+
+def _by_class(values: Mapping[object, Sequence[int]]) -> Column:
+    """The row's class turned into its list of numbers."""
+    items = [part for c, numbers in values.items() for part in (F.lit(c), F.array(*[F.lit(v).cast("bigint") for v in numbers]))]
+    return F.try_element_at(F.create_map(*items), F.col("__class"))
+
+
+def with_piece(
+    df: DataFrame, name: str, key: Sequence[str], seed: int, cuts: Mapping[object, Sequence], label: str | None = None,
+) -> DataFrame:
+    """Add the 0-based piece of every row: how many of its class's cut tuples lie before it."""
+    hashed = df.withColumn("__h", row_hash(key, seed))
+    few = sum(len(points) for points in cuts.values()) <= PLAIN_CUTS
+    piece = _piece_by_tests(key, cuts, label) if few else _piece_by_table(df, key, cuts, label)
+    return hashed.withColumn(name, piece).drop("__h")
+
+
+def _piece_by_tests(key, cuts, label) -> Column:
+    """Plain comparisons, which compile well; for few classes and cuts."""
+    parts = [F.col("__h"), *[col(k) for k in key]]
+
+    def at_or_before(cut) -> Column:
+        test = parts[-1] <= F.lit(cut[-1])
+        for part, value in list(zip(parts, cut))[-2::-1]:
+            test = (part < F.lit(value)) | ((part == F.lit(value)) & test)
+        return test
+
+    piece = F.lit(None).cast("int")
+    for c, points in cuts.items():
+        inside = F.lit(len(points))
+        for i in reversed(range(len(points))):
+            # a rank of zero has no tuple: every row lies after that cut
+            if points[i] is not None:
+                inside = F.when(at_or_before(points[i]), i).otherwise(inside)
+        piece = inside if label is None else F.when(col(label) == F.lit(c), inside).otherwise(piece)
+    return piece
+
+
+def _piece_by_table(df, key, cuts, label) -> Column:
+    """Look the class's cut tuples up in a literal map; for many classes."""
+    kinds = [df.schema[k].dataType for k in key]
+
+    def tuple_of(values) -> Column:
+        return F.struct(F.lit(values[0]).cast("bigint").alias("h"), *[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(values[1:], kinds))])
+
+    here = F.struct(F.col("__h").alias("h"), *[col(k).cast(t).alias(f"k{i}") for i, (k, t) in enumerate(zip(key, kinds))])
+    items = []
+    for c, points in cuts.items():
+        known = [tuple_of(p) for p in points if p is not None]
+        points_column = F.array(*known) if known else F.filter(F.array(here), lambda p: F.lit(False))
+        items += [F.lit(c), F.struct(F.lit(len(points) - len(known)).alias("skipped"), points_column.alias("points"))]
+    mine = F.try_element_at(F.create_map(*items), col(label) if label else F.lit(0))
+    return mine["skipped"] + F.size(F.filter(mine["points"], lambda p: p < here))

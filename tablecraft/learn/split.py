@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tablecraft.functions.columns import col, kind, require
-from tablecraft.functions.sampling import at_or_before, rank_cuts
+from tablecraft.functions.sampling import rank_cuts, with_piece
 
 # Fixed value: more distinct numbers than this mean a regression target.
 REGRESSION_DISTINCT = 10
@@ -31,18 +31,9 @@ def class_counts(df: DataFrame, target: str) -> dict:
     return {r["c"]: r["count"] for r in rows}
 
 
-def _rank_piece(df, key, seed, sizes, label, ranks) -> Column:
-    """0-based piece of every row: how many of its class's cut points lie before it."""
+def _with_piece(df, name, key, seed, sizes, label, ranks) -> DataFrame:
     cuts = rank_cuts(df, key, seed, {c: ranks(n) for c, n in sizes.items()}, sizes, label)
-    piece = F.lit(None).cast("int")
-    for c, points in cuts.items():
-        inside = F.lit(len(points))
-        for i in reversed(range(len(points))):
-            # a rank of zero has no tuple: nothing lies at or before it
-            inside = F.when(F.lit(False) if points[i] is None else at_or_before(key, seed, points[i]), i).otherwise(inside)
-        mine = F.lit(True) if label is None else col(label) == F.lit(c)
-        piece = F.when(mine, inside).otherwise(piece)
-    return piece
+    return with_piece(df, name, key, seed, cuts, label)
 
 
 def prepare_split(
@@ -69,8 +60,8 @@ def prepare_split(
         sizes = {0: usable.count()}
         if not sizes[0]:
             raise ValueError("no rows with a target")
-    piece = _rank_piece(usable, key, seed, sizes, label, lambda n: [int(n * test_size + 0.5)])
-    return usable.withColumn("is_test", piece == 0)
+    marked = _with_piece(usable, "is_test", key, seed, sizes, label, lambda n: [int(n * test_size + 0.5)])
+    return marked.withColumn("is_test", F.col("is_test") == 0)
 
 
 def train_test(df: DataFrame, *args, **kwargs) -> tuple[DataFrame, DataFrame]:
@@ -92,8 +83,7 @@ def with_folds(df: DataFrame, target: str, key: Sequence[str], folds: int, task:
         sizes, label = class_counts(usable, target), target
     else:
         sizes, label = {0: usable.count()}, None
-    piece = _rank_piece(usable, key, seed, sizes, label, lambda n: [round(n * i / folds) for i in range(1, folds)])
-    return usable.withColumn("fold", piece)
+    return _with_piece(usable, "fold", key, seed, sizes, label, lambda n: [round(n * i / folds) for i in range(1, folds)])
 
 
 def nested_subset(df: DataFrame, key: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
@@ -101,8 +91,8 @@ def nested_subset(df: DataFrame, key: Sequence[str], fraction: float, seed: int
     if fraction >= 1:
         return df
     rows = df.count()
-    cut = rank_cuts(df, key, seed, {0: [max(1, int(rows * fraction))]}, {0: rows})[0][0]
-    return df.where(at_or_before(key, seed, cut))
+    cuts = rank_cuts(df, key, seed, {0: [max(1, int(rows * fraction))]}, {0: rows})
+    return with_piece(df, "__piece", key, seed, cuts).where(F.col("__piece") == 0).drop("__piece")
 
 
 def balanced_weights(df: DataFrame, target: str) -> DataFrame:

@@ -104,3 +104,16 @@ def test_folds_and_nested_subsets(skewed):
     small, large = split.nested_subset(skewed, ["id"], 0.1), split.nested_subset(skewed, ["id"], 0.5)
     assert small.count() == 400 and large.count() == 2000
     assert small.join(large, "id", "left_anti").isEmpty()
+
+
+def test_both_ways_to_cut_agree(skewed, monkeypatch):
+    plain = split.with_folds(skewed, "g", ["t", "id"], 3).select("id", "fold")
+    monkeypatch.setattr(sampling, "PLAIN_CUTS", 0)
+    assert same(plain, split.with_folds(skewed, "g", ["t", "id"], 3).select("id", "fold"))
+
+
+def test_split_of_tiny_classes(spark):
+    df = spark.createDataFrame([(i, "a" if i < 2 else "b") for i in range(12)], "id int, y string")
+    marked = split.prepare_split(df, "y", ["id"], test_size=0.2)
+    assert {(r["y"], r["is_test"]): r["count"] for r in marked.groupBy("y", "is_test").count().collect()} == {
+        ("a", False): 2, ("b", False): 8, ("b", True): 2}
