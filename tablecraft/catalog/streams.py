@@ -34,7 +34,7 @@ def quality_windows(t):
     frame = jobs.quality_windows(arriving(t, "events"), "ts", ["value"])
     path = scratch_path(t.spark, "progress")
     out = jobs.run_to_table(frame, "quality_" + path[-8:], path)
-    return rounded(out.drop("window_end").withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+    return rounded(out.drop("window_end"))
 
 
 @catalog.add("l03_stream_resample", f"""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, {r('avg(value)')} AS mean, {r('sum(value)')} AS "sum", min(value) AS "min", max(value) AS "max", count(value) AS count FROM events GROUP BY 1""")
@@ -42,4 +42,4 @@ def stream_resample(t):
     frame = jobs.resample_stream(arriving(t, "events"), "ts", "value")
     path = scratch_path(t.spark, "progress")
     out = jobs.run_to_table(frame, "resample_" + path[-8:], path)
-    return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+    return rounded(out)

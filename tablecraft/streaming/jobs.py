@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tablecraft.functions.columns import col, kind, percent, require
+from tablecraft.functions.columns import col, kind, micros, percent, require
 from tablecraft.learn.workflow import Trained
-from tablecraft.plans.recipe import Recipe
+from tablecraft.plans.recipe import STEPS, Recipe
 
 
 def file_stream(spark: SparkSession, folder: str, schema, file_format: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -19,16 +19,21 @@ def file_stream(spark: SparkSession, folder: str, schema, file_format: str = "pa
 
 
 def event_time(df: DataFrame, column: str) -> Column:
-    """Event time for watermarks, which do not take zone-free timestamps."""
+    """Event time for watermarks, which do not take zone-free timestamps: those are read as UTC."""
     require(df, column)
-    return col(column).cast("timestamp")
+    dtype = df.schema[column].dataType
+    return col(column) if isinstance(dtype, T.TimestampType) else F.timestamp_micros(micros(col(column), dtype))
+
+
+def _zone_free(moment: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(moment), F.lit("1970-01-01").cast("timestamp_ntz"))
 
 
 def score_stream(stream: DataFrame, trained: Trained, output: str, checkpoint: str, recipe: Recipe | None = None) -> StreamingQuery:
     """Score arriving rows with a fitted recipe and pipeline; each available file once."""
     work = stream
     if recipe is not None:
-        if not recipe.fitted and any(s.function in ("normalize", "standardize", "fill_missing") for s in recipe.steps):
+        if not recipe.fitted and any(STEPS[s.function].needs for s in recipe.steps if s.function in STEPS):
             raise ValueError("fit the recipe first: a stream has no statistics of its own")
         work, report = recipe.apply(stream, mode="fitted")
         failed = [r for r in report if r["status"] == "failed"]
@@ -61,7 +66,7 @@ def quality_windows(stream: DataFrame, time: str, columns: Sequence[str], width:
                  *[(F.col(f"{t}{i}") if c in numeric else none).alias(n) for t, n in (("a", "min"), ("b", "max"), ("e", "mean"), ("s", "std"))])
         for i, c in enumerate(columns)
     ])
-    return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "rows", F.inline(cells))
+    return grouped.select(_zone_free(F.col("window.start")).alias("window_start"), _zone_free(F.col("window.end")).alias("window_end"), "rows", F.inline(cells))
 
 
 def resample_stream(stream: DataFrame, time: str, value: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -71,7 +76,7 @@ def resample_stream(stream: DataFrame, time: str, value: str, width: str = "1 da
     v = col(value).cast("double")
     return timed.groupBy(F.window("__at", width)).agg(
         F.avg(v).alias("mean"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count"),
-    ).select(F.col("window.start").alias("window_start"), "mean", "sum", "min", "max", "count")
+    ).select(_zone_free(F.col("window.start")).alias("window_start"), "mean", "sum", "min", "max", "count")
 
 
 def run_to_table(frame: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
