@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablecraft.llm.chat import format_turns, read_conversations
 from tablecraft.llm.decontaminate import contaminated
+from tablecraft.llm.html_text import extract_pages
 from tablecraft.llm.language import identify_languages
+from tablecraft.llm.lines import dedup_lines
 from tablecraft.llm.mixture import Targets, mix_sources
 from tablecraft.llm.near_text import near_duplicates
+from tablecraft.llm.near_vectors import near_vectors
 from tablecraft.llm.token_files import document_token_counts
 from tablecraft.llm.training_order import in_training_order
 
@@ -29,6 +33,25 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_read(spark, folder, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_read(spark, folder, "embeddings"))
+
+
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(_read(spark, folder, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(_read(spark, folder, "pages"))
+
+
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    given = _read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return read_conversations(format_turns(given.unionByName(extra)))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify_languages(_read(spark, folder, "documents"))
 
@@ -64,7 +87,7 @@ def _level(name: str, parent: str, above: str, key: str, weight: str) -> str:
 {name}_run AS (SELECT c.*, a.budget AS above, sum(cap) OVER ({over}) - cap AS full_before, sum(w) OVER ({part}) - sum(w) OVER ({over}) + w AS open_w
   FROM {name}_cap c JOIN {above} a {'USING (' + parent + ')' if parent else 'ON true'}),
 {name}_open AS (SELECT *, (above - full_before) / open_w AS lvl FROM {name}_run),
-{name} AS (SELECT {parent + ', ' if parent else ''}{key}, least(cap, w * coalesce(min(CASE WHEN cap > w * lvl THEN lvl END) OVER ({part}), 1e300)) AS budget FROM {name}_open)"""
+{name} AS (SELECT {parent + ', ' if parent else ''}{key}, least(cap, w * max(lvl) OVER ({part})) AS budget FROM {name}_open)"""
 
 
 OP8_SQL = f"""WITH sized AS (SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
@@ -85,7 +108,7 @@ SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(
 
 
 def queries() -> dict:
-    named = (op1_minhash_near_dedup, op6_language_id, op7_benchmark_decontamination, op8_source_mixing, op9_token_counts, op10_training_order, pipeline)
+    named = (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_line_dedup, op4_html_extraction, op5_chat_formatting, op6_language_id, op7_benchmark_decontamination, op8_source_mixing, op9_token_counts, op10_training_order, pipeline)
     return {fn.__name__: fn for fn in named}
 
 
