@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablecraft.llm.common import map_arrow
+from tablecraft.llm.common import BATCH_ROWS, map_arrow
 from tablecraft.llm.tokens import FOLDER, VOCABULARY, tokenizer
 
 #: Ids that the vocabulary leaves free, and what they stand for in the formatted text.
@@ -104,6 +104,6 @@ def read_conversations(turns: DataFrame, folder: str = FOLDER, name: str = VOCAB
         if now:
             yield batch_of([now.row()])
 
-    turns.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    turns.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
     return ordered.select("conv_id", "ids", "loss").mapInArrow(work, schema)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.session import scratch_path
 
-#: Rows of an Arrow batch; with texts of 100 KB a batch is then some 100 MB.
-BATCH_ROWS = 1024
+#: Rows of an Arrow batch; with texts of 100 KB a batch is then some 25 MB.
+BATCH_ROWS = 256
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:

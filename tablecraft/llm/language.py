@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablecraft.llm.common import map_arrow
+from tablecraft.llm.common import BATCH_ROWS, map_arrow
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
@@ -191,18 +191,14 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_column: str =
     shared = spark.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the input's size
     names = [f"{prefix}{x}" for x in ("lang_pred", "score", "rejected")]
 
-    def work(texts):
-        import pandas as pd
+    def work(texts: pa.Array) -> pa.Array:
+        found = [shared.value.score(x.as_py()) for x in texts]
+        names, scores = [x[0] for x in found], [x[1] for x in found]
+        rejected = [name == "und" or score < shared.value.least for name, score in found]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
 
-        model = shared.value
-        found = [model.score(x) for x in texts]
-        return pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[0] == "und" or x[1] < model.least for x in found]})
-
-    import pandas as pd
-
-    work.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    scored = F.pandas_udf(work, "lang_pred string, score double, rejected boolean")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    scored = F.arrow_udf(work, "lang_pred string, score double, rejected boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     out = docs.withColumn(f"{prefix}_scored", scored(F.col(f"`{text_column}`").cast("string")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{prefix}_scored`")[x.removeprefix(prefix)].alias(x) for x in names])
 

@@ -15,7 +15,9 @@ from tablecraft.llm.words import MASK, STEP, mix, shingles_of, word_hashes
 
 GOLD = np.uint64(STEP)
 #: Texts whose darts are thrown together, and their shingles.
-GROUP_TEXTS, GROUP_ITEMS = 1024, 500_000
+GROUP_TEXTS, GROUP_ITEMS = 256, 100_000
+#: Leaders of a bucket in a round after the first.
+LEADERS = 16
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, n_sets: int, k: int) -> np.ndarray:
@@ -115,8 +117,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     2. Nodes that share a band hash with another are candidates. A candidate is dropped where the items that no
        other candidate has prove that no partner can reach the threshold (an exact bound).
     3. In each bucket the node with the most company leads; every member is compared with the leader on the whole
-       multisets. Those that fail go on under the next leader, until no bucket has two members left. Work is
-       linear in bucket rows for each round; no pairs within a bucket are listed and nothing is capped.
+       multisets. Those that fail go on under the next leaders (one for each of 16 parts of the bucket), until no
+       bucket has two members left. Work is linear in bucket rows for each round; no pairs within a bucket are
+       listed and nothing is capped.
 
     Null, empty and wordless texts link with nothing. Rows that share an id are one document: any of its texts
     links it. Rows with a null id are left out. An empty table gives no rows. Other columns are ignored.
@@ -145,18 +148,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     live = saved(rows_left.join(company, "node").select("bucket", "node", (F.col("company") * 1024 + F.pmod("node", F.lit(1024))).alias("rank")), "live")
     found: list[DataFrame] = []
     while True:
-        leaders = saved(live.groupBy("bucket").agg(F.max_by("node", "rank").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader"), "leaders")
+        salt = F.pmod("node", F.lit(LEADERS if found else 1))
+        leaders = saved(live.groupBy("bucket", salt.alias("salt")).agg(F.max_by("node", "rank").alias("leader")).select("bucket", "leader"), "leaders")
         members = saved(live.join(leaders, "bucket").filter("node <> leader"), "members")
         if members.isEmpty():
             break
-        pairs = members.select("node", "leader").distinct()
-        mine, theirs = items.select("node", "items", "weight"), items.select(F.col("node").alias("leader"), F.col("items").alias("others"), F.col("weight").alias("their"))
-        common = F.size(F.array_intersect("items", "others"))
-        near = F.least("weight", "their") >= threshold * F.greatest("weight", "their")
-        alike = F.when(near, common >= threshold * (F.col("weight") + F.col("their") - common)).otherwise(False)
-        tested = saved(pairs.join(mine, "node").join(theirs, "leader").select("leader", "node", alike.alias("alike")), "tested")
-        found.append(tested.filter("alike").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        live = saved(members.join(tested.filter("NOT alike"), ["leader", "node"]).select("bucket", "node", "rank"), "live")
+        pairs = members.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        mine, theirs = (items.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"), F.col("weight").alias(f"weight_{x}")) for x in "ab")
+        common = F.size(F.array_intersect("items_a", "items_b"))
+        near = F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b")
+        alike = F.when(near, common >= threshold * (F.col("weight_a") + F.col("weight_b") - common)).otherwise(False)
+        tested = saved(pairs.join(mine, "a").join(theirs, "b").select("a", "b", alike.alias("alike")), "tested")
+        found.append(tested.filter("alike").select("a", "b"))
+        known = members.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}).join(tested, ["a", "b"])
+        failed = known.groupBy("bucket", "node").agg(F.max("rank").alias("rank"), F.max("alike").alias("alike")).filter("NOT alike").drop("alike")
+        live = saved(failed.join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), "live")
+        items = saved(items.join(live.select("node").distinct(), "node", "left_semi"), "items")
 
     edges = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a bigint, b bigint")
     labels = components(edges)

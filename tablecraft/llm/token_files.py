@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tablecraft.llm.common import saved
+from tablecraft.llm.common import BATCH_ROWS, saved
 from tablecraft.llm.files import read_range, size_of, written
 from tablecraft.llm.tokens import END, FOLDER, VOCABULARY, tokenizer
 from tablecraft.session import scratch_path
@@ -22,7 +22,7 @@ def write_token_files(docs: DataFrame, path: str, id_column: str = "doc_id", tex
     Null and empty texts are documents of no tokens; null ids stay null; partitions without rows write no file.
     """
     plain = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    plain.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    plain.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, encode, mark, ordinal, stream = f"{path}/tokens-{TaskContext.get().partitionId():06d}.bin", tokenizer(folder, name).encode, np.uint16(END).tobytes(), 0, None

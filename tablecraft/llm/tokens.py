@@ -1,10 +1,10 @@
-"""Byte-level BPE of whole texts, with the pieces between spaces remembered."""
+"""Byte-level BPE of whole texts."""
 
 from __future__ import annotations
 
 import base64
 import os
-import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,39 +17,17 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The first id that the vocabulary leaves free: end of document.
 END = 50_256
-ODD_BLANKS = re.compile(r"[^\S \n]")
-
-
-class PieceIds(dict):
-    """Piece of text -> its ids as uint16 bytes; emptied when full, so that it stays small on any text."""
-
-    def __init__(self, coder: tiktoken.Encoding) -> None:
-        super().__init__()
-        self.coder = coder
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= 150_000:
-            self.clear()
-        ids = self[piece] = np.array(self.coder.encode_ordinary(piece), np.uint16).tobytes()
-        return ids
-
 
 class Tokenizer:
-    """``encode`` gives what the plain encoder gives. Pieces are cut before each space; the split pattern cuts
-    there too unless the space stands between two blanks, and texts where it may are encoded in one go."""
+    """Texts to ids, as bytes of uint16, and back. Strings of special tokens are ordinary text."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.coder = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = PieceIds(self.coder)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "\x00" in text or "  " in text or "\n \n" in text or ODD_BLANKS.search(text):
-            return np.array(self.coder.encode_ordinary(text), np.uint16).tobytes()
-        return b"".join(map(self.pieces.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
+        return array("H", self.coder.encode_ordinary(text)).tobytes() if text else b""
 
     def decode(self, ids: np.ndarray) -> str:
         return self.coder.decode_bytes(ids.tolist()).decode("utf-8")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecraft.llm.common import map_arrow
+from tablecraft.llm.common import BATCH_ROWS, map_arrow
 from tablecraft.llm.files import read_range, written
 from tablecraft.llm.tokens import END, FOLDER, VOCABULARY, tokenizer
 from tablecraft.llm.words import MASK, mix
@@ -127,7 +127,7 @@ def materialise(
             stream.__exit__(None, None, None)
             yield _manifest(shard, name_of, first, n)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     placed = plain.mapInArrow(place, "shard int, slot bigint, record binary")
     ranged = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     return ranged.mapInArrow(write, "shard int, path string, first_slot bigint, records bigint")

@@ -17,7 +17,7 @@ class HashCache(dict):
     """Word -> the eight bytes of its hash; emptied when it is full, so that it stays small on any text."""
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= 200_000:
+        if len(self) >= 60_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_digest(word.encode("utf-8", "replace"))
         return value
