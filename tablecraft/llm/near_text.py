@@ -17,7 +17,7 @@ GOLD = np.uint64(STEP)
 #: Texts whose darts are thrown together, and their shingles.
 GROUP_TEXTS, GROUP_ITEMS = 256, 100_000
 #: Leaders of a bucket in a round after the first.
-LEADERS = 16
+LEADERS = 8
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, n_sets: int, k: int) -> np.ndarray:
@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     2. Nodes that share a band hash with another are candidates. A candidate is dropped where the items that no
        other candidate has prove that no partner can reach the threshold (an exact bound).
     3. In each bucket the node with the most company leads; every member is compared with the leader on the whole
-       multisets. Those that fail go on under the next leaders (one for each of 16 parts of the bucket), until no
+       multisets. Those that fail go on under the next leaders (one for each of 8 parts of the bucket), until no
        bucket has two members left. Work is linear in bucket rows for each round; no pairs within a bucket are
        listed and nothing is capped.
 
