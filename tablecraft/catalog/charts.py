@@ -143,9 +143,9 @@ def pair_plot(t):
 
 
 @catalog.add("j19_grouped_counts", """SELECT p_brand, p_type, count(*) AS n FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20)
-  AND p_type IN (SELECT p_type FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) GROUP BY ALL""")
+  AND p_type IN (SELECT p_type FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) GROUP BY ALL""")
 def grouped_counts(t):
-    return relations.grouped_counts(t.part, "p_brand", "p_type")
+    return relations.grouped_counts(t.part, "p_brand", "p_type", (20, 10))
 
 
 @catalog.add("j20_crosstab", """WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*) AS n FROM orders GROUP BY ALL), g AS (SELECT a, b FROM (SELECT DISTINCT a FROM c), (SELECT DISTINCT b FROM c)),
@@ -157,7 +157,7 @@ def crosstab(t):
 @catalog.add("j21_histogram_per_category", f"""WITH k AS (SELECT * FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 16)), {span('p_retailprice', 20, 'k')},
   b AS (SELECT p_brand, {bin_of('p_retailprice', 20)} AS bin FROM k, s) SELECT p_brand, bin, count(*) AS n FROM b GROUP BY ALL""")
 def histogram_per_category(t):
-    return distributions.histogram_per_category(t.part, "p_retailprice", "p_brand").drop("lower", "upper")
+    return distributions.histogram_per_category(t.part, "p_retailprice", "p_brand", 16).drop("lower", "upper")
 
 
 @catalog.add("j22_time_series", """SELECT ts AS date, event_type, 'value' AS "column", value FROM events UNION ALL SELECT ts, event_type, 'user_id', CAST(user_id AS DOUBLE) FROM events""")

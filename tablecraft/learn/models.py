@@ -18,6 +18,13 @@ from tablecraft.learn.neighbours import NearestNeighbours
 SEED = 42
 DEEPEST = 30
 
+
+def depth_of(asked: int | None) -> int:
+    """Spark grows trees of up to 30 levels; None means as deep as that."""
+    if asked and asked > DEEPEST:
+        raise ValueError(f"trees have at most {DEEPEST} levels")
+    return asked or DEEPEST
+
 # Model names, their default settings and the grids that tuning tries.
 CLASSIFIERS = {
     "Logistic Regression": {"C": 1.0, "max_iter": 100},
@@ -120,7 +127,7 @@ class TabularModel(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             for label, n in counts.items():
                 weight = F.when(F.col("label") == label, rows / (classes * n)).otherwise(weight)
             dataset = dataset.withColumn("__weight", weight)
-        tree = {"maxDepth": min(DEEPEST, s["max_depth"] or DEEPEST), "seed": SEED} if "max_depth" in s else {}
+        tree = {"maxDepth": depth_of(s["max_depth"]), "seed": SEED} if "max_depth" in s else {}
         if "min_samples_leaf" in s:
             tree["minInstancesPerNode"] = s["min_samples_leaf"]
         if name == "Logistic Regression":
@@ -143,7 +150,7 @@ class TabularModel(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         return made.fit(dataset)
 
     def _regressor(self, dataset, name, s):
-        tree = {"maxDepth": min(DEEPEST, s["max_depth"] or DEEPEST), "seed": SEED} if "max_depth" in s else {}
+        tree = {"maxDepth": depth_of(s["max_depth"]), "seed": SEED} if "max_depth" in s else {}
         if "min_samples_leaf" in s:
             tree["minInstancesPerNode"] = s["min_samples_leaf"]
         if name == "Decision Tree Regressor":

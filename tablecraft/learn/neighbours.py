@@ -75,7 +75,8 @@ class NearestNeighboursModel(Model, _Shared, DefaultParamsReadable, DefaultParam
                 "q", F.col("best.label").alias("prediction"),
                 F.transform(F.sequence(F.lit(0), F.lit(max(0, self.getOrDefault("classes") - 1))),
                             lambda c: F.coalesce(F.try_element_at("shares", c), F.lit(0)) / F.col("total")).alias("probability"))
-        return dataset.withColumn("q", vector_to_array("features")).join(found, "q", "left").drop("q")
+        found = found.withColumnRenamed("q", "__query")
+        return dataset.withColumn("__query", vector_to_array("features")).join(found, "__query", "left").drop("__query")
 
 
 def nearest(train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, query_chunk: int = QUERY_CHUNK) -> DataFrame:

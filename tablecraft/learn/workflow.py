@@ -23,6 +23,17 @@ from tablecraft.plans.recipe import Recipe
 from tablecraft.session import small_frame
 
 LABEL = "label"
+#: Columns that the stages make; an input column of such a name steps aside meanwhile.
+MADE = ("label", "features", "prediction", "probability", "rawPrediction")
+ASIDE = "__input_"
+
+
+def _aside(name: str) -> str:
+    return ASIDE + name if name in MADE else name
+
+
+def _put_aside(df: DataFrame) -> DataFrame:
+    return df.select(*[col(c).alias(_aside(c)) for c in df.columns])
 SMALLER_IS_BETTER = ("rmse", "mae", "mse")
 
 
@@ -62,9 +73,9 @@ class Trained:
         return list(self.model.stages[0].labels) if self.task == "classification" else []
 
     def raw(self, df: DataFrame) -> DataFrame:
-        """Input columns plus ``label`` where the target is known, ``prediction`` and scores."""
-        known = self.target in df.columns
-        source = df.withColumn(LABEL, col(self.target).cast("double")) if known and self.task == "regression" else df
+        """Input columns (those named like a made one under ``__input_``), ``label`` where the target is known, ``prediction`` and scores."""
+        known, df = self.target in df.columns, _put_aside(df)
+        source = df.withColumn(LABEL, col(_aside(self.target)).cast("double")) if known and self.task == "regression" else df
         return self.model.transform(source)
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -74,7 +85,7 @@ class Trained:
         if self.task == "classification":
             scored = IndexToString(inputCol="prediction", outputCol="__named", labels=self.labels).transform(scored)
             value = F.col("__named")
-        return scored.select(*[col(c) for c in df.columns if c != "prediction"], value.alias("prediction"))
+        return scored.select(*[col(_aside(c)).alias(c) for c in df.columns if c != "prediction"], value.alias("prediction"))
 
     def importance(self, top: int | None = None) -> DataFrame | None:
         """(feature, importance) of trees, or mean absolute coefficients; None for other models."""
@@ -95,8 +106,9 @@ class Trained:
 
 def train(df: DataFrame, target: str, features: Sequence[str], task: str, model: str, settings: dict | None = None,
           scaler: str = "standard") -> Trained:
-    rows = _labelled(df, target, task)
-    fitted = pipeline_for(df, target, features, task, model, settings, scaler).fit(rows)
+    df = _put_aside(df)
+    rows = _labelled(df, _aside(target), task)
+    fitted = pipeline_for(df, _aside(target), [_aside(f) for f in features], task, model, settings, scaler).fit(rows)
     return Trained(fitted, task, target, list(features), model, dict(settings or {}))
 
 

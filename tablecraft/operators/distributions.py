@@ -11,7 +11,7 @@ from tablecraft.functions.columns import as_double, col, percent, require
 from tablecraft.functions.ordering import value_ranks
 from tablecraft.functions.quantiles import grouped_quantiles
 from tablecraft.functions.stats import to_long
-from tablecraft.operators.rows import keep_top
+from tablecraft.operators.rows import keep_tops
 from tablecraft.session import small_frame
 
 MISSING_LABEL = "Missing/NaN"
@@ -66,15 +66,14 @@ def histogram_overlay(df: DataFrame, columns: Sequence[str], bins: int = 30) ->
                           (lower + F.get(widths, F.col("idx"))).alias("upper"), "n")
 
 
-def histogram_per_category(df: DataFrame, x: str, category: str, top: int = 16, bins: int = 20) -> DataFrame:
-    return histogram(keep_top(df, category, top), x, bins, category)
+def histogram_per_category(df: DataFrame, x: str, category: str, top: int | None = None, bins: int = 20) -> DataFrame:
+    return histogram(keep_tops(df, [(category, top)]), x, bins, category)
 
 
-def box(df: DataFrame, y: str, groups: Sequence[str] = (), tops: Sequence[int] = (15, 5)) -> DataFrame:
-    """Quartiles, whisker ends (values within 1.5 IQR) and outlier count per group."""
+def box(df: DataFrame, y: str, groups: Sequence[str] = (), tops: Sequence[int | None] = ()) -> DataFrame:
+    """Quartiles, whisker ends (values within 1.5 IQR) and outlier count per group; ``tops`` cuts to the most frequent groups."""
     require(df, y, *groups)
-    for g, n in zip(groups, tops):
-        df = keep_top(df, g, n)
+    df = keep_tops(df, list(zip(groups, tops)))
     work = df.select(*[col(g) for g in groups], as_double(df, y).alias("__y")).where(F.col("__y").isNotNull())
     keys = list(groups) or ["__all"]
     if not groups:
@@ -82,7 +81,12 @@ def box(df: DataFrame, y: str, groups: Sequence[str] = (), tops: Sequence[int] =
     quartiles = grouped_quantiles(work, keys, "__y", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = FENCE * (F.col("q3") - F.col("q1"))
     inside = F.col("__y").between(F.col("q1") - reach, F.col("q3") + reach)
-    figures = work.join(quartiles, keys).groupBy(*[col(k) for k in keys]).agg(
+    if groups:
+        with_quartiles = work.join(quartiles, keys)
+    else:  # one row of figures, put in as constants
+        row = quartiles.head()
+        with_quartiles = work.withColumns({c: F.lit(row[c] if row else None).cast("double") for c in ("q1", "median", "q3")})
+    figures = with_quartiles.groupBy(*[col(k) for k in keys]).agg(
         *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
         F.min(F.when(inside, F.col("__y"))).alias("whisker_low"), F.max(F.when(inside, F.col("__y"))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"), F.count(F.lit(1)).alias("n"),
@@ -124,12 +128,12 @@ def density(df: DataFrame, x: str, points: int = KDE_POINTS, group: str | None =
     )
 
 
-def violin(df: DataFrame, y: str, group: str | None = None, top: int = 15) -> DataFrame:
+def violin(df: DataFrame, y: str, group: str | None = None, top: int | None = None) -> DataFrame:
     """Density per group with the box figures of the group on every point."""
     if group is None:
         return density(df, y).join(F.broadcast(box(df, y)), F.lit(True))  # one row of figures
-    limited = keep_top(df, group, top)
-    return density(limited, y, group=group).join(box(limited, y, [group], (top,)), group)
+    limited = keep_tops(df, [(group, top)])
+    return density(limited, y, group=group).join(box(limited, y, [group]), group)
 
 
 def ecdf(df: DataFrame, x: str) -> DataFrame:
@@ -139,14 +143,15 @@ def ecdf(df: DataFrame, x: str) -> DataFrame:
     return ranked.select("value", "n", (F.col("upto_n") / F.col("all_n")).alias("share"))
 
 
-def value_bars(df: DataFrame, x: str, sort: str = "freq_desc", top: int = 20) -> DataFrame:
+def value_bars(df: DataFrame, x: str, sort: str = "freq_desc", top: int | None = None) -> DataFrame:
     """Counts by value, missing shown under a label; sort is value, freq_asc or freq_desc."""
     require(df, x)
     orders = {"value": [F.asc("value")], "freq_asc": [F.asc("n"), F.asc("value")], "freq_desc": [F.desc("n"), F.asc("value")]}
     if sort not in orders:
         raise ValueError(f"unknown sort {sort!r}")
     label = F.coalesce(col(x).cast("string"), F.lit(MISSING_LABEL)).alias("value")
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(*orders[sort]).limit(top)
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(*orders[sort])
+    return counts if top is None else counts.limit(top)
 
 
 def pie_with_other(df: DataFrame, x: str, top: int = 10) -> DataFrame:
@@ -169,13 +174,12 @@ def shares(df: DataFrame, x: str) -> DataFrame:
         "value", "n", F.round(percent(F.col("n"), F.lit(total)), 2).alias("percentage")).orderBy(F.desc("n"), "value")
 
 
-def crosstab(df: DataFrame, rows: str, columns: str, tops: tuple[int, int] = (15, 10)) -> DataFrame:
-    """Counts and column percentages for every pair of kept categories, zero cells included."""
+def crosstab(df: DataFrame, rows: str, columns: str, tops: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """Counts and column percentages for every pair of kept categories, zero cells included; ``tops`` cuts to the most frequent."""
     require(df, rows, columns)
-    df = keep_top(df, rows, tops[0])
-    df = keep_top(df, columns, tops[1])
+    df = keep_tops(df, [(rows, tops[0]), (columns, tops[1])]).where(col(rows).isNotNull() & col(columns).isNotNull())
     counted = df.groupBy(col(rows).alias("row"), col(columns).alias("col")).agg(F.count(F.lit(1)).alias("n"))
-    # both key lists are capped at tops, so every cell comes from a pivot of bounded width
+    # zero cells make the result as large as both key lists together; callers cut long ones by tops
     cells = counted.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", "n"))).alias("cells"))
     names = counted.agg(F.array_sort(F.collect_set("col")).alias("names"))
     full = cells.join(F.broadcast(names), F.lit(True)).select(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablecraft.functions.columns import col, columns_of, kind, percent
+from tablecraft.functions.columns import col, columns_of, kind, nan_to_null, percent
 from tablecraft.functions.quantiles import exact_quantiles
 from tablecraft.functions.stats import (
     distinct_and_top, missing, pearson, sample_skewness, to_long, top_values, value_counts,
@@ -40,7 +40,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    columns = list(columns or df.columns)
+    columns, df = list(columns or df.columns), nan_to_null(df)
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *[missing(col(c)).alias(f"m{i}") for i, c in enumerate(columns)])
     return to_long(wide, [{
         "column": F.lit(c), "missing_count": F.col(f"m{i}"),
@@ -58,7 +58,7 @@ def missing_table(df: DataFrame) -> DataFrame:
 
 def distinct_report(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """Distinct non-missing values per column; exact unless ``approximate``."""
-    columns = list(columns or df.columns)
+    columns, df = list(columns or df.columns), nan_to_null(df)
     counts = [F.approx_count_distinct(col(c)).alias(f"u{i}") for i, c in enumerate(columns)] if approximate else []
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *counts)
     if approximate:
@@ -72,7 +72,7 @@ def distinct_report(df: DataFrame, columns: Sequence[str] | None = None, approxi
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """min, max, mean, median, std (n-1) and bias-corrected skewness per numeric column."""
-    columns = list(columns or columns_of(df, "numeric"))
+    columns, df = list(columns or columns_of(df, "numeric")), nan_to_null(df)
     medians = exact_quantiles(df, {c: (col(c), [0.5]) for c in columns})
     aggs = [
         f(col(c).cast("double")).alias(f"{tag}{i}")

@@ -10,7 +10,7 @@ from tablecraft.functions.columns import as_double, col, columns_of, quoted, req
 from tablecraft.functions.ordering import ROWS_PER_BUCKET, running_sums, value_ranks
 from tablecraft.functions.sampling import seeded_sample
 from tablecraft.functions.stats import pearson, to_long
-from tablecraft.operators.rows import keep_top
+from tablecraft.operators.rows import keep_tops
 from tablecraft.session import small_frame
 
 PAIRS_PER_PASS = 300
@@ -133,12 +133,12 @@ def strongest_pairs(df: DataFrame, columns: Sequence[str] | None = None, n: int
 
 def scatter(
     df: DataFrame, x: str, ys: Sequence[str], key: Sequence[str], color: str | None = None, size: str | None = None,
-    points: int = 5000, seed: int = 42, colors: int = 20,
+    points: int = 5000, seed: int = 42, colors: int | None = None,
 ) -> DataFrame:
-    """Points (x, column, value) of a seeded sample; categories limited to the most frequent."""
+    """Points (x, column, value) of a seeded sample; ``colors`` limits the categories to the most frequent."""
     require(df, x, *ys, *key)
     if color:
-        df = keep_top(df, color, colors)
+        df = keep_tops(df, [(color, colors)])
     extra = [col(c) for c in (color, size) if c]
     chosen = seeded_sample(df.select(*{c: col(c) for c in (*key, x, *ys, *[c for c in (color, size) if c])}.values()), points, key, seed)
     cells = F.array(*[F.struct(F.lit(y).alias("column"), as_double(df, y).alias("value")) for y in ys])
@@ -146,8 +146,8 @@ def scatter(
 
 
 def pair_plot(df: DataFrame, columns: Sequence[str], key: Sequence[str], points: int = 1000, seed: int = 42) -> DataFrame:
-    """Every ordered pair of up to five columns for the rows of a seeded sample."""
-    columns = list(columns)[:5]
+    """Every ordered pair of the columns for the rows of a seeded sample."""
+    columns = list(columns)
     chosen = seeded_sample(df.select(*[col(c) for c in dict.fromkeys([*key, *columns])]), points, key, seed)
     cells = F.array(*[
         F.struct(F.lit(a).alias("column_x"), F.lit(b).alias("column_y"), as_double(df, a).alias("x"), as_double(df, b).alias("y"))
@@ -184,11 +184,10 @@ def pivot_wide(df: DataFrame, x: str, y: str, values: str, how: str = "sum", cap
     return df.where(col(y).isNotNull()).groupBy(col(y)).pivot(quoted(x), sorted(names)).agg(f(col(values)))
 
 
-def grouped_counts(df: DataFrame, a: str, b: str, tops: tuple[int, int] = (20, 10)) -> DataFrame:
-    """Counts per pair of categories, cut to the most frequent ones when there are too many."""
+def grouped_counts(df: DataFrame, a: str, b: str, tops: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """Counts per pair of categories; ``tops`` cuts to the most frequent ones of the whole table."""
     require(df, a, b)
-    df = keep_top(df, a, tops[0])
-    df = keep_top(df, b, tops[1])
+    df = keep_tops(df, [(a, tops[0]), (b, tops[1])]).where(col(a).isNotNull() & col(b).isNotNull())
     return df.groupBy(col(a), col(b)).agg(F.count(F.lit(1)).alias("n"))
 
 

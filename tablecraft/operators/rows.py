@@ -73,6 +73,14 @@ def keep_top(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.where(col(column).isin(top_categories(df, column, n)))
 
 
+def keep_tops(df: DataFrame, limits: Sequence[tuple[str, int | None]]) -> DataFrame:
+    """Rows of the most frequent values of several columns, each list taken from the whole table; None cuts nothing."""
+    lists = [(c, top_categories(df, c, n)) for c, n in limits if n is not None]
+    for column, values in lists:
+        df = df.where(col(column).isin(values))
+    return df
+
+
 def numeric_only(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     wanted = set(columns or df.columns)
     return df.select(*[col(c) for c in columns_of(df, "numeric") if c in wanted])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablecraft.functions.columns import as_double, col, require
-from tablecraft.operators.rows import keep_top
+from tablecraft.operators.rows import keep_tops
 from tablecraft.operators.temporal import moment
 
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
@@ -15,14 +15,13 @@ UNITS = {"day": "1 day", "week": "7 days", "month": "1 month", "quarter": "3 mon
 # Names of months and weekdays (Monday first).
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
-TOP_CATEGORIES = 10
 
 
-def time_series(df: DataFrame, date: str, values: Sequence[str], category: str | None = None) -> DataFrame:
-    """(date, [category], column, value) sorted by date; categories limited to the most frequent."""
+def time_series(df: DataFrame, date: str, values: Sequence[str], category: str | None = None, top: int | None = None) -> DataFrame:
+    """(date, [category], column, value) sorted by date; ``top`` limits the categories to the most frequent."""
     require(df, date, *values)
     if category:
-        df = keep_top(df, category, TOP_CATEGORIES)
+        df = keep_tops(df, [(category, top)]).where(col(category).isNotNull())
     cells = F.array(*[F.struct(F.lit(v).alias("column"), as_double(df, v).alias("value")) for v in values])
     extra = [col(category)] if category else []
     return df.select(moment(df, date).alias("date"), *extra, F.inline(cells)).where(F.col("date").isNotNull()).orderBy("date", *extra, "column")

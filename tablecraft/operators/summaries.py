@@ -10,7 +10,7 @@ from tablecraft.functions.columns import as_double, col, columns_of, kind, perce
 from tablecraft.functions.quantiles import exact_quantiles, grouped_quantiles
 from tablecraft.functions.stats import missing, sample_kurtosis, sample_skewness, to_long, value_counts
 from tablecraft.operators.quality import categorical_profile, distinct_report, iqr_fences, missing_report
-from tablecraft.operators.rows import keep_top
+from tablecraft.operators.rows import keep_tops
 
 GROUP_FIGURES = ("mean", "median", "min", "max", "count", "sum", "std")
 
@@ -50,10 +50,10 @@ def category_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return value_counts(df, columns).withColumn("percentage", F.round(percent(F.col("n"), F.lit(rows)), 2))
 
 
-def group_statistics(df: DataFrame, group: str, columns: Sequence[str], top: int = 15) -> DataFrame:
-    """mean, median, min, max, count, sum, std per group and column, for the most frequent groups."""
+def group_statistics(df: DataFrame, group: str, columns: Sequence[str], top: int | None = None) -> DataFrame:
+    """mean, median, min, max, count, sum, std per group and column; ``top`` cuts to the most frequent groups."""
     require(df, group, *columns)
-    df = keep_top(df, group, top)
+    df = keep_tops(df, [(group, top)]).where(col(group).isNotNull())
     aggs = []
     for i, c in enumerate(columns):
         x = as_double(df, c)
@@ -62,8 +62,7 @@ def group_statistics(df: DataFrame, group: str, columns: Sequence[str], top: int
     figures = df.groupBy(col(group)).agg(*aggs)
     for i, c in enumerate(columns):
         medians = grouped_quantiles(df.select(col(group), as_double(df, c).alias("__v")).where(F.col("__v").isNotNull()), [group], "__v", {f"median{i}": 0.5})
-        # at most ``top`` groups remain
-        figures = figures.join(F.broadcast(medians), group, "left")
+        figures = figures.join(medians, group, "left")  # a row per group on both sides
     cells = F.array(*[
         F.struct(F.lit(c).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in GROUP_FIGURES]) for i, c in enumerate(columns)
     ])

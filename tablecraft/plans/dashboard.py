@@ -45,6 +45,8 @@ def dashboard_frames(df: DataFrame, spec: Mapping) -> tuple[dict[str, DataFrame]
     frames, errors = {}, {}
     for i, component in enumerate(spec.get("components") or []):
         title = component.get("title") or f"component_{i + 1}"
+        if title in frames or title in errors:
+            title = f"{title} ({i + 1})"
         try:
             frames[title] = chart_data(filtered, component)
         except Exception as problem:

@@ -16,6 +16,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 
+from tablecraft.functions.columns import kind
 from tablecraft.functions.stats import Needs, gather
 from tablecraft.operators import encode, features, impute, numeric, rows, temporal
 
@@ -63,6 +64,10 @@ STEPS: dict[str, Allowed] = {
 }
 
 
+#: Steps that look at the data and keep nothing of it: a fitted recipe reports them as failed rather than look again.
+LOOKS_AT_DATA = frozenset({"group_features"})
+
+
 def register_step(name: str, fn: Callable[..., DataFrame], needs: Callable[..., Needs] | None = None) -> None:
     """Let recipes use another DataFrame function."""
     if name in STEPS:
@@ -222,7 +227,7 @@ def replay(
     while pending:
         stats, batch, rest = _stats_for(recipe, out, pending, column_map, fitted, report)
         for i in batch:
-            out = _apply_one(recipe.steps[i], i, out, column_map, stats, report)
+            out = _apply_one(recipe.steps[i], i, out, column_map, stats, report, fitted is not None)
         if collect is not None and stats:
             for i in batch:
                 collect[str(i)] = stats
@@ -232,7 +237,7 @@ def replay(
 
 def _stats_for(recipe, table, pending, column_map, fitted, report):
     """Take the longest run of pending steps whose statistics can come from ``table`` at once."""
-    needs, batch, touched, drops = Needs(), [], set(), False
+    needs, batch, touched, drops = [], [], set(), False
     if fitted is not None:
         i = pending[0]
         return dict(fitted.get(str(i), {})), [i], pending[1:]
@@ -251,23 +256,34 @@ def _stats_for(recipe, table, pending, column_map, fitted, report):
         if batch and depends and allowed is not None and (allowed.needs is not None or step.function in ("group_features",)):
             return _gather_or_none(table, needs), batch, pending[at:]
         if wants is not None:
-            needs += wants
+            needs.append(wants)
         batch.append(i)
         touched |= used
         drops = drops or (allowed is not None and allowed.drops_rows)
     return _gather_or_none(table, needs), batch, []
 
 
-def _gather_or_none(table, needs: Needs) -> dict:
-    if not (needs.aggs or needs.quantiles or needs.modes or needs.levels):
+def _gather_or_none(table, needs: list[Needs]) -> dict:
+    """Statistics of all steps at once; if that fails, step by step, so that one bad request costs only its own."""
+    wanted = [n for n in needs if n.aggs or n.quantiles or n.modes or n.levels]
+    if not wanted:
         return {}
+    total = Needs()
+    for n in wanted:
+        total += n
     try:
-        return gather(table, needs)
-    except Exception:  # one bad request must not stop the others: steps ask for their own
-        return {}
+        return gather(table, total)
+    except Exception:
+        stats: dict = {}
+        for n in wanted:
+            try:
+                stats |= gather(table, n)
+            except Exception:  # reported when the step itself is applied
+                pass
+        return stats
 
 
-def _apply_one(step: Step, i: int, df: DataFrame, column_map, stats, report) -> DataFrame:
+def _apply_one(step: Step, i: int, df: DataFrame, column_map, stats, report, fitted: bool = False) -> DataFrame:
     entry = {"step": i, "function": step.function, "status": "applied", "error": None}
     report[i] = entry
     try:
@@ -281,11 +297,20 @@ def _apply_one(step: Step, i: int, df: DataFrame, column_map, stats, report) ->
         missing = [c for c in columns_used(params) if c not in df.columns]
         if missing:
             raise ValueError(f"columns not in the table: {missing}")
-        if allowed.needs is not None and stats:
+        if fitted and step.function in LOOKS_AT_DATA:
+            raise ValueError(f"{step.function} keeps no statistics, so it cannot be replayed with fitted ones")
+        asked = params.get("strategies") or {params.get("column"): params}
+        for column, how in asked.items() if step.function in ("fill_missing", "fill_many") and fitted else ():
+            strategy = how if isinstance(how, str) else how.get("strategy")
+            if strategy == "median" and column in df.columns and kind(df.schema[column].dataType) == "datetime":
+                raise ValueError("the median of dates is not kept, so it cannot be replayed with fitted statistics")
+        if allowed.needs is not None and (stats or fitted):
             wanted = allowed.needs(df, **params)
             keys = {*wanted.aggs, *wanted.quantiles, *(f"mode:{m}" for m in wanted.modes), *(f"levels:{c}" for c in wanted.levels)}
             if keys <= set(stats):
                 params["stats"] = stats
+            elif fitted:
+                raise ValueError(f"fitted statistics are missing: {sorted(keys - set(stats))}")
         result = allowed.fn(df, **params)
         if not isinstance(result, DataFrame):
             raise TypeError(f"{step.function} returned {type(result).__name__}, not a DataFrame")
