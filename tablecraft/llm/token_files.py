@@ -62,7 +62,7 @@ def token_counts(paths: DataFrame, separator: int = END, width: int = 2, block_t
                 if size % width:
                     raise ValueError(f"{path} ends within an id")
                 starts = np.arange(0, size // width, block_tokens)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts)), pa.array(starts), pa.array(np.minimum(block_tokens, size // width - starts))], ["path", "first", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(np.minimum(block_tokens, size // width - starts), pa.int64())], ["path", "first", "length"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +81,7 @@ def token_counts(paths: DataFrame, separator: int = END, width: int = 2, block_t
                 starts = np.concatenate([[row["before"] + 1], ends[:-1] + 1]) if len(ends) else ends
                 ended = np.arange(len(ends)) < len(row["found"])
                 some = ended | (ends > starts)
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * int(some.sum())), pa.array(np.arange(len(ends))[some] + row["ordinal"]), pa.array(starts[some]), pa.array((ends - starts)[some]), pa.array(ended[some])], ["path", "ordinal", "start", "n_tokens", "ended"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * int(some.sum()), pa.string()), pa.array(np.arange(len(ends))[some] + row["ordinal"], pa.int64()), pa.array(starts[some], pa.int64()), pa.array((ends - starts)[some], pa.int64()), pa.array(ended[some], pa.bool_())], ["path", "ordinal", "start", "n_tokens", "ended"])
 
     cut = paths.select(F.col("path").cast("string")).filter("path IS NOT NULL").distinct().mapInArrow(blocks, "path string, first bigint, length bigint")
     spread = saved(cut, "blocks").repartition(F.col("path"), F.col("first"))
