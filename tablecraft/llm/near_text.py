@@ -117,8 +117,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     2. Nodes that share a band hash with another are candidates. A candidate is dropped where the items that no
        other candidate has prove that no partner can reach the threshold (an exact bound).
     3. In each bucket the node with the most company leads; every member is compared with the leader on the whole
-       multisets. Those that fail go on under the next leaders (one for each of 8 parts of the bucket), until no
-       bucket has two members left. Work is linear in bucket rows for each round; no pairs within a bucket are
+       multisets. Those that fail, and by the bound of 2 may still match another of them, go on under the next
+       leaders (one for each of 8 parts of the bucket), until no bucket has two members left. Work is linear in bucket rows for each round; no pairs within a bucket are
        listed and nothing is capped.
 
     Null, empty and wordless texts link with nothing. Rows that share an id are one document: any of its texts
@@ -137,15 +137,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = plain.join(wanted.select("doc", F.col("node").alias("wanted"), "least", "weight"), "doc")
     items = saved(_items(texts, size), "items")
 
-    rare = items.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other").groupBy("node").agg(F.count("*").alias("own"))
-    left = F.col("weight") - F.coalesce("own", F.lit(0))
-    can = left >= threshold * (F.col("weight") - left + F.greatest(left, F.col("least")))
-    able = saved(items.select("node", "weight", "least").join(rare, "node", "left").filter(can).select("node").distinct(), "able")
-
-    rows_left = crowd.join(able, "node").select("bucket", "node")
+    able = saved(_able(items, items.select("node", "least"), threshold), "able")
+    rows_left = crowd.join(able, "node").select("bucket", "node", "weight")
     size_of = rows_left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     company = rows_left.join(size_of, "bucket").groupBy("node").agg(F.sum("n").alias("company"))
-    live = saved(rows_left.join(company, "node").select("bucket", "node", (F.col("company") * 1024 + F.pmod("node", F.lit(1024))).alias("rank")), "live")
+    live = saved(rows_left.join(company, "node").select("bucket", "node", "weight", (F.col("company") * 1024 + F.pmod("node", F.lit(1024))).alias("rank")), "live")
     found: list[DataFrame] = []
     while True:
         salt = F.pmod("node", F.lit(LEADERS if found else 1))
@@ -161,9 +157,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         tested = saved(pairs.join(mine, "a").join(theirs, "b").select("a", "b", alike.alias("alike")), "tested")
         found.append(tested.filter("alike").select("a", "b"))
         known = members.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}).join(tested, ["a", "b"])
-        failed = known.groupBy("bucket", "node").agg(F.max("rank").alias("rank"), F.max("alike").alias("alike")).filter("NOT alike").drop("alike")
-        live = saved(failed.join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), "live")
-        items = saved(items.join(live.select("node").distinct(), "node", "left_semi"), "items")
+        failed = known.groupBy("bucket", "node").agg(F.max("weight").alias("weight"), F.max("rank").alias("rank"), F.max("alike").alias("alike")).filter("NOT alike").drop("alike")
+        over = saved(failed.join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), "over")
+        least = over.groupBy("bucket").agg(F.min("weight").alias("least"), F.count("*").alias("n")).filter("n > 1").select("bucket", "least")
+        lows = saved(over.join(least, "bucket").groupBy("node").agg(F.min("least").alias("least")), "lows")
+        items = saved(items.join(lows.select("node"), "node", "left_semi"), "items")
+        live = saved(over.join(_able(items, lows, threshold).select("node"), "node"), "live")
 
     edges = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a bigint, b bigint")
     labels = components(edges)
@@ -174,6 +173,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return result.select(F.col("doc").alias("doc_id"), "component_id", "group_size", (F.col("doc") == F.col("component_id")).alias("kept"))
 
 
+def _able(items: DataFrame, lows: DataFrame, threshold: float) -> DataFrame:
+    """(node, weight) of the nodes that some other of these may still match. Items that no other node has cannot be
+    shared, so the common part is at most the rest, and the partner weighs at least that and at least ``least``."""
+    rare = items.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other").groupBy("node").agg(F.count("*").alias("own"))
+    left = F.col("weight") - F.coalesce("own", F.lit(0))
+    can = left >= threshold * (F.col("weight") - left + F.greatest(left, F.col("least")))
+    return items.select("node", "weight").join(lows, "node").join(rare, "node", "left").filter(can).select("node", "weight").distinct()
+
+
 def _items(texts: DataFrame, size: int) -> DataFrame:
     """(node, items, weight, least) of the wanted nodes; a document may hold other texts than the wanted one."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
