@@ -120,6 +120,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
        multisets. Those that fail, and by the bound of 2 may still match another of them, go on under the next
        leaders (one for each of 8 parts of the bucket), until no bucket has two members left. Work is linear in bucket rows for each round; no pairs within a bucket are
        listed and nothing is capped.
+    4. A node that matched its leader left the bucket; one that missed it may still be linked to that node. By the
+       triangle inequality only narrow misses can be, and only with some of the matches; these pairs are compared
+       too where the components are still apart, so no link between candidates is lost.
 
     Null, empty and wordless texts link with nothing. Rows that share an id are one document: any of its texts
     links it. Rows with a null id are left out. An empty table gives no rows. Other columns are ignored.
@@ -137,6 +140,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = plain.join(wanted.select("doc", F.col("node").alias("wanted"), "least", "weight"), "doc")
     items = saved(_items(texts, size), "items")
 
+    candidates = items
     able = saved(_able(items, items.select("node", "least"), threshold), "able")
     rows_left = crowd.join(able, "node").select("bucket", "node", "weight")
     size_of = rows_left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -150,13 +154,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if members.isEmpty():
             break
         pairs = members.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        mine, theirs = (items.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"), F.col("weight").alias(f"weight_{x}")) for x in "ab")
-        common = F.size(F.array_intersect("items_a", "items_b"))
-        near = F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b")
-        alike = F.when(near, common >= threshold * (F.col("weight_a") + F.col("weight_b") - common)).otherwise(False)
-        tested = saved(pairs.join(mine, "a").join(theirs, "b").select("a", "b", alike.alias("alike")), "tested")
-        found.append(tested.filter("alike").select("a", "b"))
-        known = members.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}).join(tested, ["a", "b"])
+        tested = saved(_compared(pairs, items, threshold), "tested")
+        found.append(tested)
+        known = members.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}).join(tested.select("a", "b", "alike"), ["a", "b"])
         failed = known.groupBy("bucket", "node").agg(F.max("weight").alias("weight"), F.max("rank").alias("rank"), F.max("alike").alias("alike")).filter("NOT alike").drop("alike")
         over = saved(failed.join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), "over")
         least = over.groupBy("bucket").agg(F.min("weight").alias("least"), F.count("*").alias("n")).filter("n > 1").select("bucket", "least")
@@ -164,8 +164,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         items = saved(items.join(lows.select("node"), "node", "left_semi"), "items")
         live = saved(over.join(_able(items, lows, threshold).select("node"), "node"), "live")
 
-    edges = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a bigint, b bigint")
+    tests = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a bigint, b bigint, weight_a bigint, weight_b bigint, alike boolean, sim double")
+    edges = tests.filter("alike").select("a", "b")
     labels = components(edges)
+    passed_over = saved(_passed_over(tests, labels, threshold), "passed-over")
+    if not passed_over.isEmpty():
+        labels = components(edges.unionByName(_compared(passed_over, candidates, threshold).filter("alike").select("a", "b")))
     named = signs.select("doc", F.when(F.col("weight") > 0, F.col("node")).alias("node")).join(labels, "node", "left")
     groups = saved(named.select("doc", F.coalesce("component", "node").alias("part")), "groups")
     lows = saved(groups.filter("part IS NOT NULL").groupBy("part").agg(F.min("doc").alias("low"), F.count("*").alias("n")), "lows")
@@ -173,6 +177,34 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return result.select(F.col("doc").alias("doc_id"), "component_id", "group_size", (F.col("doc") == F.col("component_id")).alias("kept"))
 
 
+def _compared(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, weight_a, weight_b, alike, sim) of the pairs, on whole multisets; sim is 0 where the weights alone show a far miss."""
+    mine, theirs = (items.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"), F.col("weight").alias(f"weight_{x}")) for x in "ab")
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    either = F.col("weight_a") + F.col("weight_b") - common
+    close = F.least("weight_a", "weight_b") >= (2 * threshold - 1 - 1e-9) * F.greatest("weight_a", "weight_b")
+    judged = F.when(close, F.struct((common >= threshold * either).alias("alike"), (common / either).alias("sim"))).otherwise(F.struct(F.lit(False).alias("alike"), F.lit(0.0).alias("sim")))
+    return pairs.join(mine, "a").join(theirs, "b").select("a", "b", "weight_a", "weight_b", judged.alias("judged")).select("a", "b", "weight_a", "weight_b", "judged.*")
+
+
+def _passed_over(tests: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) not yet compared that may be linked and would join two components.
+
+    One of them matched some leader and the other missed it. One minus the weighted Jaccard is a metric, so a link
+    needs the leader's two similarities to differ by no more than 1 - threshold.
+    """
+    def each_way(df: DataFrame, node: str) -> DataFrame:
+        ways = (df.select(F.col(x).alias("leader"), F.col(y).alias(node), F.col(f"weight_{y}").alias(f"{node}_weight"), F.col("sim").alias(f"{node}_sim")) for x, y in ("ab", "ba"))
+        return reduce(DataFrame.unionByName, ways).distinct()
+
+    part_a, part_b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
+    narrow = tests.filter(~F.col("alike") & (F.col("sim") >= 2 * threshold - 1 - 1e-9))
+    apart = narrow.join(part_a, "a", "left").join(part_b, "b", "left").filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+    met = each_way(apart, "missed").join(each_way(tests.filter("alike"), "matched"), "leader")
+    can = (F.col("matched_sim") - F.col("missed_sim") <= 1 - threshold + 1e-9) & (F.least("missed_weight", "matched_weight") >= threshold * F.greatest("missed_weight", "matched_weight"))
+    return met.filter(can).select(F.least("missed", "matched").alias("a"), F.greatest("missed", "matched").alias("b")).distinct()
+
+
 def _able(items: DataFrame, lows: DataFrame, threshold: float) -> DataFrame:
     """(node, weight) of the nodes that some other of these may still match. Items that no other node has cannot be
     shared, so the common part is at most the rest, and the partner weighs at least that and at least ``least``."""

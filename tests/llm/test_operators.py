@@ -80,6 +80,19 @@ def test_near_texts_equal_brute_force(spark):
     assert {r.doc_id: r.component_id for r in near_text.near_duplicates(docs).collect()} == want
 
 
+def test_near_texts_chains(spark):
+    """Each text is linked with the next one only, so groups hang on links between members that met other leaders."""
+    rng, texts = np.random.default_rng(8), {}
+    for chain in range(40):
+        words = [f"c{chain}w{i}" for i in range(60)]
+        for step, place in enumerate([None, *(rng.permutation(10)[:9] * 6 + 2)]):
+            if place is not None:
+                words[place] = f"c{chain}s{step}"
+            texts[step * 40 + chain] = " ".join(words)
+    found = near_text.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.component_id, r.group_size) for r in found} == {i: (i % 40, 10) for i in texts}
+
+
 def test_near_texts_odd_rows(spark):
     got = {r.doc_id: (r.component_id, r.kept) for r in near_text.near_duplicates(odd_docs(spark)).collect()}
     assert got == {1: (1, True), 2: (1, False), 3: (1, False), 4: (4, True), 5: (5, True), 6: (6, True), 7: (7, True), 8: (7, False), 9: (9, True), 10: (9, False), 11: (11, True), 12: (12, True)}
