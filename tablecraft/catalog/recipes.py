@@ -56,3 +56,38 @@ def fitted_statistics(t):
     recipe = Recipe.from_json(recipe.fit(t.gaps.where("l_linestatus = 'O'")).to_json())
     df, _ = recipe.apply(t.gaps.where(F.col("l_linestatus") == "F"), mode="fitted")
     return rounded(df.select(*ITEM_KEY, "qty_normalized"))
+
+
+def refitted(recipe: Recipe, seen, new):
+    """``new`` by what the recipe keeps of ``seen``, saved and read back; every step must apply."""
+    df, report = Recipe.from_json(recipe.fit(seen).to_json()).apply(new, mode="fitted")
+    if any(s["status"] != "applied" for s in report):
+        raise RuntimeError(report)
+    return df
+
+
+FIGURES = {"mean": "avg", "median": "median", "min": "min", "max": "max", "std": "stddev_samp"}
+
+
+@catalog.add("i08_fitted_groups", f"""WITH s AS (SELECT l_linenumber, {', '.join(f'{f}(l_quantity) AS {n}' for n, f in FIGURES.items())} FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber <> 2 GROUP BY 1)
+  SELECT {', '.join(f'l.{k}' for k in ITEM_KEY)}, {', '.join(f'round(CAST(s.{n} AS DOUBLE), 6) AS l_quantity_{n}_by_l_linenumber' for n in FIGURES)} FROM lineitem l LEFT JOIN s ON l.l_linenumber = s.l_linenumber WHERE l_linestatus = 'F'""")
+def fitted_groups(t):
+    recipe = Recipe("groups").record("group_features", "l_linenumber", "l_quantity")
+    df = refitted(recipe, t.lineitem.where("l_linestatus = 'O' AND l_linenumber <> 2"), t.lineitem.where("l_linestatus = 'F'"))
+    return rounded(df.select(*ITEM_KEY, *[F.col(f"l_quantity_{n}_by_l_linenumber").cast("double").alias(f"l_quantity_{n}_by_l_linenumber") for n in FIGURES]))
+
+
+@catalog.add("i08_fitted_date_median", """WITH d AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate END AS day FROM orders),
+  m AS (SELECT day AS mid FROM (SELECT day, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS n FROM d WHERE day IS NOT NULL AND o_orderstatus = 'O') WHERE k = n // 2)
+  SELECT o_orderkey, coalesce(day, mid) AS day FROM d, m WHERE o_orderstatus <> 'O'""")
+def fitted_date_median(t):
+    dated = t.orders.withColumn("day", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")))
+    recipe = Recipe("dates").record("fill_missing", "day", strategy="median")
+    return refitted(recipe, dated.where("o_orderstatus = 'O'"), dated.where("o_orderstatus <> 'O'")).select("o_orderkey", "day")
+
+
+@catalog.add("i08_fitted_many_levels", f"""WITH {GAPS}, c AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS code FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linestatus = 'O'))
+  SELECT {', '.join(f'g.{k}' for k in ITEM_KEY)}, round(coalesce(qty, (SELECT avg(qty) FROM gaps WHERE l_linestatus = 'O')), 6) AS qty, code AS l_orderkey_encoded FROM gaps g LEFT JOIN c ON g.l_orderkey = c.l_orderkey""")
+def fitted_many_levels(t):
+    recipe = Recipe("codes").record("fill_missing", "qty", strategy="mean").record("label_encode", "l_orderkey")
+    return rounded(refitted(recipe, t.gaps.where("l_linestatus = 'O'"), t.gaps).select(*ITEM_KEY, "qty", "l_orderkey_encoded"))

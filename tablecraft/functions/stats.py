@@ -124,11 +124,17 @@ class Needs:
     quantiles: dict[str, tuple[Column, list[float]]] = field(default_factory=dict)
     modes: set[str] = field(default_factory=set)
     levels: dict[str, int] = field(default_factory=dict)
+    date_medians: set[str] = field(default_factory=set)
+
+    def keys(self) -> set[str]:
+        """Names under which :func:`gather` returns them."""
+        listed = (("mode", self.modes), ("levels", self.levels), ("median", self.date_medians))
+        return {*self.aggs, *self.quantiles, *(f"{what}:{n}" for what, names in listed for n in names)}
 
     def __add__(self, other: "Needs") -> "Needs":
         return Needs(
             {**self.aggs, **other.aggs}, {**self.quantiles, **other.quantiles},
-            self.modes | other.modes, {**self.levels, **other.levels},
+            self.modes | other.modes, {**self.levels, **other.levels}, self.date_medians | other.date_medians,
         )
 
 
@@ -160,9 +166,20 @@ def gather(df: DataFrame, needs: Needs) -> dict:
             if len(listed[n]) > needs.levels[n]:
                 raise ValueError(f"column {n} has more than {needs.levels[n]} distinct values")
             stats[f"levels:{n}"] = sorted(listed[n])
+    stats.update({f"median:{n}": upper_median(df, n) for n in sorted(needs.date_medians)})
     return stats
 
 
+def upper_median(df: DataFrame, column: str):
+    """Element n // 2 of the sorted values (the later one of the two middle values)."""
+    from tablecraft.functions.ordering import value_ranks
+
+    ranked = value_ranks(df, column)
+    middle = F.floor(F.col("all_n") / 2)
+    row = ranked.where((F.col("upto_n") - F.col("n") <= middle) & (middle < F.col("upto_n"))).select(col(column).alias("v")).head()
+    return row["v"] if row else None
+
+
 def numeric_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
     return list(columns) if columns else columns_of(df, "numeric")
 

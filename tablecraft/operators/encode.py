@@ -7,10 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablecraft.functions.columns import col, literal, require
-from tablecraft.functions.stats import Needs, gather, value_counts
+from tablecraft.functions.stats import Needs, gather
 
 ONE_HOT_CAP = 1000
-LABEL_CAP = 10_000
 
 
 def frequency(df: DataFrame, column: str) -> DataFrame:
@@ -70,18 +69,17 @@ def label_encode(df: DataFrame, column: str, mapping: Mapping | DataFrame | None
     return df.join(codes, column, "left").select(*[col(c) for c in df.columns], col(f"{column}_encoded"))
 
 
-def label_needs(df: DataFrame, column: str, mapping=None, **_) -> Needs:
-    return Needs() if mapping else Needs(levels={column: LABEL_CAP})
+def label_tables(df: DataFrame, column: str, mapping: Mapping | None = None) -> dict[str, DataFrame]:
+    """What a fitted recipe keeps of :func:`label_encode_step`: a code for each of any number of values."""
+    require(df, column)
+    return {f"labels:{column}": label_mapping(df, column)} if mapping is None else {}
 
 
-def label_encode_step(df: DataFrame, column: str, mapping: Mapping | None = None, stats: dict | None = None) -> DataFrame:
-    """Recipe form of :func:`label_encode`: codes can come from fitted statistics."""
-    if mapping is None and stats and f"levels:{column}" in stats:
-        mapping = {v: i for i, v in enumerate(stats[f"levels:{column}"])}
-        if len(mapping) > 50:
-            frame = df.sparkSession.createDataFrame([(v, i) for v, i in mapping.items()], ["value", "code"])
-            return label_encode(df, column, frame)
-    return label_encode(df, column, mapping)
+def label_encode_step(
+    df: DataFrame, column: str, mapping: Mapping | None = None, tables: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Recipe form of :func:`label_encode`: codes can come from fitted tables."""
+    return label_encode(df, column, mapping if mapping is not None else (tables or {}).get(f"labels:{column}"))
 
 
 def merge_categories(df: DataFrame, column: str, categories: Sequence, new_category: str) -> DataFrame:
@@ -90,21 +88,24 @@ def merge_categories(df: DataFrame, column: str, categories: Sequence, new_categ
     return df.withColumn(f"{column}_merged", merged)
 
 
-def encode_many(df: DataFrame, columns: Sequence[str], method: str, keep_original: bool = False, stats: dict | None = None) -> DataFrame:
-    """one_hot or label over several columns; their distinct values come from one job."""
+def encode_many(
+    df: DataFrame, columns: Sequence[str], method: str, keep_original: bool = False, stats: dict | None = None,
+    tables: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """one_hot or label over several columns; the distinct values of one_hot come from one job."""
     if method not in ("one_hot", "label"):
         raise ValueError(f"unknown encoding {method!r}")
     usable = [c for c in columns if c in df.columns]
-    stats = stats or gather(df, Needs(levels={c: ONE_HOT_CAP if method == "one_hot" else LABEL_CAP for c in usable}))
+    stats = stats or gather(df, encode_many_needs(df, columns, method))
     out = df
     for c in usable:
-        out = one_hot(out, c, keep_original, stats=stats) if method == "one_hot" else label_encode_step(out, c, None, stats)
+        out = one_hot(out, c, keep_original, stats=stats) if method == "one_hot" else label_encode_step(out, c, None, tables)
     return out
 
 
 def encode_many_needs(df: DataFrame, columns: Sequence[str], method: str, **_) -> Needs:
-    return Needs(levels={c: ONE_HOT_CAP if method == "one_hot" else LABEL_CAP for c in columns if c in df.columns})
+    return Needs(levels={c: ONE_HOT_CAP for c in columns if c in df.columns}) if method == "one_hot" else Needs()
 
 
-def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return value_counts(df, columns)
+def encode_many_tables(df: DataFrame, columns: Sequence[str], method: str, **_) -> dict[str, DataFrame]:
+    return {k: v for c in columns if c in df.columns and method == "label" for k, v in label_tables(df, c).items()}

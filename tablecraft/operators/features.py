@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -35,15 +35,10 @@ def interaction(df: DataFrame, column1: str, column2: str, operation: str = "mul
     return df.withColumn(f"{column1}_{word}_{column2}", value)
 
 
-def group_features(
+def group_figures(
     df: DataFrame, group_col: str, agg_col: str, functions: Sequence[str] = ("mean", "median", "min", "max", "std"),
 ) -> DataFrame:
-    """``<v>_<f>_by_<g>`` on every row; NULL where the group is missing.
-
-    Aggregating first combines rows before the shuffle. The one-row-per-group result joins
-    back by an ordinary left join, which adaptive execution broadcasts when it is small and
-    splits where one group holds a large share of the rows.
-    """
+    """One row per present group with ``<v>_<f>_by_<g>``; rows are combined before the shuffle."""
     require(df, group_col, agg_col)
     unknown = [f for f in functions if f not in GROUP_FUNCTIONS and f != "median"]
     if unknown:
@@ -58,7 +53,28 @@ def group_features(
     if "median" in functions:
         medians = grouped_quantiles(present, [group_col], agg_col, {named("median"): 0.5})
         figures = medians if figures is None else figures.join(medians, group_col)
-    return df.join(figures, group_col, "left").select(*[col(c) for c in df.columns], *[col(named(f)) for f in functions])
+    return figures.select(col(group_col), *[col(named(f)) for f in functions])
+
+
+def group_tables(df: DataFrame, group_col: str, agg_col: str, **how) -> dict[str, DataFrame]:
+    """What a fitted recipe keeps of :func:`group_features`."""
+    return {f"groups:{group_col}:{agg_col}": group_figures(df, group_col, agg_col, **how)}
+
+
+def group_features(
+    df: DataFrame, group_col: str, agg_col: str, functions: Sequence[str] = ("mean", "median", "min", "max", "std"),
+    tables: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """``<v>_<f>_by_<g>`` on every row; NULL where the group is missing, or not in the fitted ``tables``.
+
+    The one-row-per-group result joins back by an ordinary left join, which adaptive execution
+    broadcasts when it is small and splits where one group holds a large share of the rows.
+    """
+    require(df, group_col, agg_col)
+    made = tables or group_tables(df, group_col, agg_col, functions=functions)
+    figures = made[f"groups:{group_col}:{agg_col}"]
+    new = [c for c in figures.columns if c != group_col]
+    return df.join(figures, group_col, "left").select(*[col(c) for c in df.columns], *[col(c) for c in new])
 
 
 def rolling(

@@ -33,7 +33,9 @@ def fill_needs(df: DataFrame, column: str, value=None, strategy: str | None = No
         return Needs(aggs={f"mean:{column}": F.avg(col(column))})
     if strategy in ("min", "max"):
         return Needs(aggs={f"{strategy}:{column}": (F.min if strategy == "min" else F.max)(col(column))})
-    if strategy == "median" and not dated:
+    if strategy == "median" and dated:
+        return Needs(date_medians={column})
+    if strategy == "median":
         return Needs(quantiles={f"median:{column}": (col(column), [0.5])})
     if strategy in ("mode", "most_frequent"):
         return Needs(modes={column})
@@ -50,24 +52,13 @@ def fill_value(df: DataFrame, column: str, value=None, strategy: str | None = No
     key = f"{'mode' if strategy == 'most_frequent' else strategy}:{column}"
     what = kind(df.schema[column].dataType)
     if stats is None or key not in stats:
-        stats = {key: upper_median(df, column)} if what == "datetime" and strategy == "median" else gather(
-            df, fill_needs(df, column, value, strategy))
+        stats = gather(df, fill_needs(df, column, value, strategy))
     found = stats[key][0] if isinstance(stats[key], list) else stats[key]
     if found is None and strategy in ("mode", "most_frequent"):
         return {"numeric": 0, "datetime": None}.get(what, "Unknown")
     return found
 
 
-def upper_median(df: DataFrame, column: str):
-    """Element n // 2 of the sorted values (the later one of the two middle values)."""
-    from tablecraft.functions.ordering import value_ranks
-
-    ranked = value_ranks(df, column)
-    middle = F.floor(F.col("all_n") / 2)
-    row = ranked.where((F.col("upto_n") - F.col("n") <= middle) & (middle < F.col("upto_n"))).select(col(column).alias("v")).head()
-    return row["v"] if row else None
-
-
 def fill_missing(
     df: DataFrame, column: str, value=None, strategy: str | None = None, inplace: bool = True, stats: dict | None = None,
 ) -> DataFrame:

@@ -16,23 +16,30 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 
-from tablecraft.functions.columns import kind
 from tablecraft.functions.stats import Needs, gather
 from tablecraft.operators import encode, features, impute, numeric, rows, temporal
+from tablecraft.session import scratch_path
 
 # Fixed value: least similarity of two names that are taken for the same column.
 SIMILARITY = 0.7
 COLUMN_PARAMS = ("column", "column1", "column2", "group_col", "agg_col", "date_col", "value_col", "x_column", "y_column")
+#: Under this name the kept statistics of a step list the paths of its tables.
+TABLES = "tables"
 COLUMN_LIST_PARAMS = ("columns", "key", "partition_by", "order_by", "group_by")
 
 
 @dataclass(frozen=True)
 class Allowed:
-    """A transform that recipes may name, and the statistics it asks for."""
+    """A transform that recipes may name, and what it asks of the data.
+
+    ``needs`` are single values and short lists; ``tables`` grow with the data, so fitting
+    writes them as Parquet and the recipe keeps their paths.
+    """
 
     fn: Callable[..., DataFrame]
     needs: Callable[..., Needs] | None = None
     drops_rows: bool = False
+    tables: Callable[..., dict[str, DataFrame]] | None = None
 
 
 STEPS: dict[str, Allowed] = {
@@ -46,15 +53,15 @@ STEPS: dict[str, Allowed] = {
     "handle_outliers": Allowed(numeric.handle_outliers, None, True),
     "batch_numeric": Allowed(numeric.batch_numeric, numeric.batch_needs),
     "one_hot": Allowed(encode.one_hot, encode.levels_needs),
-    "label_encode": Allowed(encode.label_encode_step, encode.label_needs),
+    "label_encode": Allowed(encode.label_encode_step, tables=encode.label_tables),
     "merge_categories": Allowed(encode.merge_categories),
-    "encode_many": Allowed(encode.encode_many, encode.encode_many_needs),
+    "encode_many": Allowed(encode.encode_many, encode.encode_many_needs, tables=encode.encode_many_tables),
     "date_parts": Allowed(temporal.date_parts),
     "days_since": Allowed(temporal.days_since, temporal.earliest_needs),
     "dates_many": Allowed(temporal.dates_many, temporal.dates_many_needs),
     "polynomial": Allowed(features.polynomial),
     "interaction": Allowed(features.interaction),
-    "group_features": Allowed(features.group_features),
+    "group_features": Allowed(features.group_features, tables=features.group_tables),
     "rolling": Allowed(features.rolling),
     "lags": Allowed(features.lags),
     "cyclic": Allowed(features.cyclic),
@@ -64,15 +71,14 @@ STEPS: dict[str, Allowed] = {
 }
 
 
-#: Steps that look at the data and keep nothing of it: a fitted recipe reports them as failed rather than look again.
-LOOKS_AT_DATA = frozenset({"group_features"})
-
-
-def register_step(name: str, fn: Callable[..., DataFrame], needs: Callable[..., Needs] | None = None) -> None:
-    """Let recipes use another DataFrame function."""
+def register_step(
+    name: str, fn: Callable[..., DataFrame], needs: Callable[..., Needs] | None = None, drops_rows: bool = False,
+    tables: Callable[..., dict[str, DataFrame]] | None = None,
+) -> None:
+    """Let recipes use another DataFrame function; see :class:`Allowed`."""
     if name in STEPS:
         raise ValueError(f"step {name!r} is already registered")
-    STEPS[name] = Allowed(fn, needs)
+    STEPS[name] = Allowed(fn, needs, drops_rows, tables)
 
 
 @dataclass
@@ -97,7 +103,7 @@ class Recipe:
             raise ValueError(f"{function!r} is not an allowed step")
         signature = inspect.signature(STEPS[function].fn)
         bound = signature.bind(None, *args, **kwargs).arguments
-        params = {k: v for k, v in list(bound.items())[1:] if k != "stats"}
+        params = {k: v for k, v in list(bound.items())[1:] if k not in ("stats", "tables")}
         now = dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
         self.steps.append(Step(function, params, f"Step {len(self.steps) + 1}", "", list(depends_on), now))
         return self
@@ -125,10 +131,14 @@ class Recipe:
             if s.function not in STEPS:
                 raise ValueError(f"{s.function!r} is not an allowed step")
 
-    def fit(self, df: DataFrame) -> "Recipe":
-        """Keep the statistics of ``df`` so that streams and single batches can be treated alike."""
+    def fit(self, df: DataFrame, folder: str | None = None) -> "Recipe":
+        """Keep the statistics of ``df`` so that streams and single batches can be treated alike.
+
+        Those that grow with the data are written below ``folder``; it must outlive the recipe,
+        so name one unless the recipe is used in this session only.
+        """
         collected: dict[str, dict] = {}
-        _, report = replay(self, df, collect=collected)
+        _, report = replay(self, df, collect=collected, folder=folder or scratch_path(df.sparkSession, "recipe"))
         failed = [r for r in report if r["status"] == "failed"]
         if failed:
             raise ValueError(f"steps failed while fitting: {failed}")
@@ -143,7 +153,7 @@ class Recipe:
 
 
 def _plain(value):
-    return value.isoformat(sep=" ") if isinstance(value, (dt.datetime, dt.date)) else str(value)
+    return str(value)  # dates and times in the form that a cast reads
 
 
 def order(steps: list[Step]) -> list[int]:
@@ -170,18 +180,13 @@ def order(steps: list[Step]) -> list[int]:
 
 
 def map_columns(wanted: Iterable[str], present: Iterable[str]) -> dict[str, str]:
-    """Recorded name -> name in the new table: exact first, else the most similar; each target once."""
+    """Recorded name -> name in the new table. Equal names come first, then the most similar pair of all that are left."""
     wanted, present = list(dict.fromkeys(wanted)), list(present)
-    found = {w: w for w in wanted if w in present}
-    free = [p for p in present if p not in found.values()]
-    for w in wanted:
-        if w in found:
-            continue
-        scored = [(difflib.SequenceMatcher(None, w.lower(), p.lower()).ratio(), p) for p in free]
-        best = max(scored, key=lambda s: s[0], default=(0, None))
-        if best[0] > SIMILARITY:
-            found[w] = best[1]
-            free.remove(best[1])
+    likeness = {(w, p): 2.0 if w == p else difflib.SequenceMatcher(None, w.lower(), p.lower()).ratio() for w in wanted for p in present}
+    found: dict[str, str] = {}
+    for w, p in sorted(likeness, key=likeness.get, reverse=True):
+        if likeness[w, p] > SIMILARITY and w not in found and p not in found.values():
+            found[w] = p
     return found
 
 
@@ -215,6 +220,7 @@ def _made_columns(steps: list[Step], start: list[str]) -> set[str]:
 
 def replay(
     recipe: Recipe, df: DataFrame, column_map: dict | None = None, fitted: dict | None = None, collect: dict | None = None,
+    folder: str | None = None,
 ) -> tuple[DataFrame, list[dict]]:
     """Apply all steps; a failed one is reported and the rest still run unless they depend on it."""
     sequence = order(recipe.steps)
@@ -227,10 +233,10 @@ def replay(
     while pending:
         stats, batch, rest = _stats_for(recipe, out, pending, column_map, fitted, report)
         for i in batch:
-            out = _apply_one(recipe.steps[i], i, out, column_map, stats, report, fitted is not None)
-        if collect is not None and stats:
-            for i in batch:
-                collect[str(i)] = stats
+            kept = dict(fitted.get(str(i), {}).get(TABLES, {})) if fitted is not None else {}
+            out = _apply_one(recipe.steps[i], i, out, column_map, stats, report, fitted is not None, kept, folder)
+            if collect is not None and (stats or kept):
+                collect[str(i)] = stats | ({TABLES: kept} if kept else {})
         pending = rest
     return out, [report[i] for i in sorted(report)]
 
@@ -240,7 +246,7 @@ def _stats_for(recipe, table, pending, column_map, fitted, report):
     needs, batch, touched, drops = [], [], set(), False
     if fitted is not None:
         i = pending[0]
-        return dict(fitted.get(str(i), {})), [i], pending[1:]
+        return {k: v for k, v in fitted.get(str(i), {}).items() if k != TABLES}, [i], pending[1:]
     for at, i in enumerate(pending):
         step = recipe.steps[i]
         allowed = STEPS.get(step.function)
@@ -253,7 +259,7 @@ def _stats_for(recipe, table, pending, column_map, fitted, report):
                 wants = allowed.needs(table, **params)
             except Exception:  # reported when the step itself is applied
                 wants = Needs()
-        if batch and depends and allowed is not None and (allowed.needs is not None or step.function in ("group_features",)):
+        if batch and depends and allowed is not None and (allowed.needs is not None or allowed.tables is not None):
             return _gather_or_none(table, needs), batch, pending[at:]
         if wants is not None:
             needs.append(wants)
@@ -265,7 +271,7 @@ def _stats_for(recipe, table, pending, column_map, fitted, report):
 
 def _gather_or_none(table, needs: list[Needs]) -> dict:
     """Statistics of all steps at once; if that fails, step by step, so that one bad request costs only its own."""
-    wanted = [n for n in needs if n.aggs or n.quantiles or n.modes or n.levels]
+    wanted = [n for n in needs if n.keys()]
     if not wanted:
         return {}
     total = Needs()
@@ -283,7 +289,20 @@ def _gather_or_none(table, needs: list[Needs]) -> dict:
         return stats
 
 
-def _apply_one(step: Step, i: int, df: DataFrame, column_map, stats, report, fitted: bool = False) -> DataFrame:
+def _kept_tables(allowed: Allowed, step: int, df: DataFrame, params: dict, fitted: bool, kept: dict[str, str], folder: str | None) -> dict[str, DataFrame]:
+    """The step's tables: those kept when fitted, written and noted in ``kept`` when fitting; none when recomputing."""
+    if fitted:
+        missing = set(allowed.tables(df.limit(0), **params)) - set(kept)
+        if missing:
+            raise ValueError(f"fitted tables are missing: {sorted(missing)}")
+    elif folder is not None:
+        for at, (key, table) in enumerate(allowed.tables(df, **params).items()):
+            table.write.parquet(path := f"{folder}/step-{step}-{at}")
+            kept[key] = path
+    return {key: df.sparkSession.read.parquet(path) for key, path in kept.items()}
+
+
+def _apply_one(step: Step, i: int, df: DataFrame, column_map, stats, report, fitted: bool, kept: dict[str, str], folder: str | None) -> DataFrame:
     entry = {"step": i, "function": step.function, "status": "applied", "error": None}
     report[i] = entry
     try:
@@ -293,25 +312,19 @@ def _apply_one(step: Step, i: int, df: DataFrame, column_map, stats, report, fit
         if step.function not in STEPS:
             raise ValueError(f"{step.function!r} is not an allowed step")
         allowed = STEPS[step.function]
-        params = _renamed(step.params, column_map)
+        params, more = _renamed(step.params, column_map), {}
         missing = [c for c in columns_used(params) if c not in df.columns]
         if missing:
             raise ValueError(f"columns not in the table: {missing}")
-        if fitted and step.function in LOOKS_AT_DATA:
-            raise ValueError(f"{step.function} keeps no statistics, so it cannot be replayed with fitted ones")
-        asked = params.get("strategies") or {params.get("column"): params}
-        for column, how in asked.items() if step.function in ("fill_missing", "fill_many") and fitted else ():
-            strategy = how if isinstance(how, str) else how.get("strategy")
-            if strategy == "median" and column in df.columns and kind(df.schema[column].dataType) == "datetime":
-                raise ValueError("the median of dates is not kept, so it cannot be replayed with fitted statistics")
         if allowed.needs is not None and (stats or fitted):
-            wanted = allowed.needs(df, **params)
-            keys = {*wanted.aggs, *wanted.quantiles, *(f"mode:{m}" for m in wanted.modes), *(f"levels:{c}" for c in wanted.levels)}
+            keys = allowed.needs(df, **params).keys()
             if keys <= set(stats):
-                params["stats"] = stats
+                more["stats"] = stats
             elif fitted:
                 raise ValueError(f"fitted statistics are missing: {sorted(keys - set(stats))}")
-        result = allowed.fn(df, **params)
+        if allowed.tables is not None and (found := _kept_tables(allowed, i, df, params, fitted, kept, folder)):
+            more["tables"] = found
+        result = allowed.fn(df, **params, **more)
         if not isinstance(result, DataFrame):
             raise TypeError(f"{step.function} returned {type(result).__name__}, not a DataFrame")
         return result

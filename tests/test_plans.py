@@ -96,3 +96,18 @@ def test_saved_component_specs(spark, folder):
         assert chart_data(df, {"chart_type": name, "config": config}).count() == rows, name
     with pytest.raises(ValueError):
         chart_data(df, {"chart_type": "bar", "config": {"wrong": 1}})
+
+
+def test_fitted_tables(spark, tmp_path):
+    seen = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, 9.0)], "g string, x double")
+    new = spark.createDataFrame([("a", 0.0), ("c", 0.0), (None, 0.0)], "g string, x double")
+    recipe = Recipe("t").record("group_features", "g", "x", ["mean"]).record("label_encode", "g").fit(seen, str(tmp_path / "kept"))
+    again = Recipe.from_json(recipe.to_json())
+    out, report = again.apply(new, mode="fitted")
+    assert {(r["g"], r["x_mean_by_g"], r["g_encoded"]) for r in out.collect()} == {("a", 2.0, 0), ("c", None, None), (None, None, None)}, report
+    del again.fitted["0"]
+    assert [r["status"] for r in again.apply(new, mode="fitted")[1]] == ["failed", "applied"]
+
+
+def test_best_pair_of_names_comes_first():
+    assert map_columns(["unit_price", "unit_prices"], ["unit_pricess", "x"]) == {"unit_prices": "unit_pricess"}
