@@ -66,6 +66,16 @@ def convert_dates(t):
     return typing.convert_dates(t.texts.select("order_date", "us_date", "priority"))
 
 
+@catalog.add("a07_more_date_shapes", """WITH d AS (SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS day, to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60) AS clock FROM orders)
+  SELECT o_orderkey, day + clock AS us_minutes, day + clock + to_seconds(7) AS us_dashes, day AS short_month, day AS short_year, day AS month_first, TIMESTAMP '1900-01-01' + clock AS clock_time FROM d""")
+def more_date_shapes(t):
+    clock = F.format_string("%02d:%02d", F.col("o_orderkey") % 24, F.col("o_orderkey") % 60)
+    day = {f: F.date_format("o_orderdate", f) for f in ("MM/dd/yyyy", "MM-dd-yyyy", "d-MMM-yyyy", "M/d/yy", "MMM-dd-yyyy")}
+    return typing.convert_dates(t.orders.select(
+        "o_orderkey", F.concat_ws(" ", day["MM/dd/yyyy"], clock).alias("us_minutes"), F.concat(day["MM-dd-yyyy"], F.lit(" "), clock, F.lit(":07")).alias("us_dashes"),
+        day["d-MMM-yyyy"].alias("short_month"), day["M/d/yy"].alias("short_year"), day["MMM-dd-yyyy"].alias("month_first"), clock.alias("clock_time")))
+
+
 @catalog.add("a08_logical_types", f"""WITH {TEXTS}, v AS (SELECT bool_and(regexp_full_match(key_text, '[-+]?[0-9]*\\.?[0-9]+')) AS k, bool_and(regexp_full_match(price_text, '[-+]?[0-9]*\\.?[0-9]+')) AS p,
   bool_and(TRY_STRPTIME(order_date, '%Y-%m-%d') IS NOT NULL) AS d, bool_and(regexp_full_match(priority, '[-+]?[0-9]*\\.?[0-9]+')) AS t FROM texts)
   SELECT 'key_text' AS "column", CASE WHEN k THEN 'numeric' ELSE 'categorical' END AS kind FROM v UNION ALL SELECT 'price_text', CASE WHEN p THEN 'numeric' ELSE 'categorical' END FROM v

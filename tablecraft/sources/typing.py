@@ -38,13 +38,23 @@ DATE_FORMATS = (
     "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy",
     "yyyyMMdd", "ddMMyyyy", "H:m:s", "h:m:s a", "MMM d, yyyy",
 )
-CLOCK_ONLY = ("H:m:s", "h:m:s a")
+#: Shapes that the patterns accept beside the formats above; month first where both readings fit.
+MORE_FORMATS = (
+    "M/d/yyyy H:m", "d/M/yyyy H:m", "yyyy-M-d H:m", "yyyy/M/d H:m",
+    "M-d-yyyy H:m:s", "d-M-yyyy H:m:s", "M-d-yyyy H:m", "d-M-yyyy H:m",
+    "d-MMM-yyyy", "d-MMMM-yyyy", "MMM-d-yyyy", "MMMM-d-yyyy",
+    "M/d/yy", "d/M/yy", "M-d-yy", "d-M-yy", "d-MMM-yy", "d MMM yy", "H:m", "h:m a",
+)
+#: Two-digit years reach from 1969 to 2068.
+LAST_SHORT_YEAR = 2068
+CLOCK_ONLY = ("H:m:s", "h:m:s a", "H:m", "h:m a")
 CLOCK_DAY = "1900-01-01"
 PATTERN_SHARE, PARSE_SHARE = 0.6, 0.5
 SERIAL_LOW, SERIAL_HIGH, SERIAL_SHARE = 20000, 60000, 0.9
 SERIAL_TEST_LOW, SERIAL_TEST_HIGH, SERIAL_TEST_SHARE = 1, 73500, 0.8
 SERIAL_ORIGIN = "1899-12-30"
 ISO = "iso"
+LONGEST_DATE = 64
 
 
 def date_named(name: str, words: Sequence[str] = DATE_WORDS) -> bool:
@@ -60,7 +70,7 @@ def shape_of(fmt: str) -> str:
     def part(run: str) -> str:
         letter, n = run[0], len(run)
         if letter == "y":
-            return r"\d{4}"
+            return rf"\d{{{n}}}"
         if letter == "M" and n > 2:
             return "[A-Za-z]{3,9}"
         if letter == "a":
@@ -76,13 +86,17 @@ def parse_with(text: Column, fmt: str) -> Column:
     fits = text.rlike(shape_of(fmt))
     if fmt in CLOCK_ONLY:
         text, fmt = F.concat(F.lit(f"{CLOCK_DAY} "), text), f"yyyy-MM-dd {fmt}"
-    return F.when(fits, F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
+    parsed = F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+    if "yy" in fmt and "yyyy" not in fmt:
+        parsed = F.when(F.year(parsed) > LAST_SHORT_YEAR, parsed - F.make_ym_interval(F.lit(100))).otherwise(parsed)
+    return F.when(fits, parsed)
 
 
 def parsed_date(text: Column) -> Column:
-    """First reading that fits, ISO first."""
+    """First reading that fits, ISO first. Long texts and texts without a digit are not tried."""
     trimmed = F.trim(text)
-    return F.coalesce(*[parse_with(trimmed, f) for f in (ISO, *DATE_FORMATS)])
+    readings = [parse_with(trimmed, f) for f in (ISO, *DATE_FORMATS, *MORE_FORMATS)]
+    return F.when((F.length(trimmed) <= LONGEST_DATE) & trimmed.rlike("[0-9]"), F.coalesce(*readings))
 
 
 def safe_datetime(df: DataFrame, column: str) -> DataFrame:
@@ -111,13 +125,19 @@ def coerce_numbers(df: DataFrame, columns: Sequence[str] | None = None, pattern:
 
 
 def date_choices(df: DataFrame) -> dict[str, str]:
-    """{column: format} for the text columns that hold dates. Two aggregate passes at most."""
+    """{column: format} for the text columns that hold dates.
+
+    Two aggregate passes at most: the first counts patterns and the formats' shapes, the second
+    parses with those formats only whose shape enough values have.
+    """
     text = columns_of(df, "text")
     if not text:
         return {}
+    formats = (ISO, *DATE_FORMATS, *MORE_FORMATS)
+    shapes = list(dict.fromkeys(shape_of(f) for f in formats[1:]))
     row = df.agg(*[
-        F.avg(F.trim(col(c)).rlike(p).cast("double")).alias(f"p{i}_{j}")
-        for i, c in enumerate(text) for j, p in enumerate(DATE_PATTERNS)
+        F.avg(F.trim(col(c)).rlike(p).cast("double")).alias(f"{what}{i}_{j}")
+        for i, c in enumerate(text) for what, tests in (("p", DATE_PATTERNS), ("s", shapes)) for j, p in enumerate(tests)
     ]).head()
     likely = [
         c for i, c in enumerate(text)
@@ -125,16 +145,18 @@ def date_choices(df: DataFrame) -> dict[str, str]:
     ]
     if not likely:
         return {}
-    formats = (ISO, *DATE_FORMATS)
+    possible = {
+        c: [f for f in formats if f == ISO or (row[f"s{text.index(c)}_{shapes.index(shape_of(f))}"] or 0) >= PARSE_SHARE] for c in likely
+    }
     shares = df.agg(*[
         F.avg(parse_with(F.trim(col(c)), f).isNotNull().cast("double")).alias(f"f{i}_{j}")
-        for i, c in enumerate(likely) for j, f in enumerate(formats)
+        for i, c in enumerate(likely) for j, f in enumerate(possible[c])
     ]).head()
     chosen = {}
     for i, c in enumerate(likely):
-        best = max(range(len(formats)), key=lambda j: (shares[f"f{i}_{j}"] or 0, -j))
+        best = max(range(len(possible[c])), key=lambda j: (shares[f"f{i}_{j}"] or 0, -j))
         if (shares[f"f{i}_{best}"] or 0) >= PARSE_SHARE:
-            chosen[c] = formats[best]
+            chosen[c] = possible[c][best]
     return chosen
 
 

@@ -76,3 +76,20 @@ def test_duplicate_header_and_no_header(spark, tmp_path):
     assert out.columns == ["a", "a.1", "b, c"] and tuple(out.head()) == (1, 2, "x, y")
     out = delimited.read_delimited(spark, str(tmp_path / "a.csv"), header=False)
     assert out.columns == ["0", "1", "2"] and out.count() == 2
+
+
+def test_more_date_shapes(spark):
+    given = {
+        "05/01/2024 10:30": (2024, 5, 1, 10, 30), "05-01-2024 10:30:00": (2024, 5, 1, 10, 30), "5-Jan-2024": (2024, 1, 5),
+        "1/5/24": (2024, 1, 5), "1/5/99": (1999, 1, 5), "Jan-05-2024": (2024, 1, 5), "10:30": (1900, 1, 1, 10, 30), "10:30 PM": (1900, 1, 1, 22, 30),
+    }
+    df = spark.createDataFrame([tuple(given)], [f"c{i}" for i in range(len(given))])
+    assert list(typing.convert_dates(df).head()) == [dt.datetime(*want) for want in given.values()]
+    plain = df.select(*[typing.parsed_date(F.col(c)) for c in df.columns])
+    assert list(plain.head()) == [dt.datetime(*want) for want in given.values()]
+
+
+def test_texts_that_are_no_dates(spark):
+    df = spark.createDataFrame([("no date", "1" * 70, "99:99", "13/13/24", "")], "a string, b string, c string, d string, e string")
+    assert typing.convert_dates(df).dtypes == df.dtypes
+    assert list(df.select(*[typing.parsed_date(F.col(c)) for c in df.columns]).head()) == [None] * 5
