@@ -156,6 +156,33 @@ def test_page_text(spark):
     assert html_text.extract_pages(empty(spark, "page_id bigint, url string, html string")).count() == 0
 
 
+LONG = "Plain words that tell what came to pass in the town on that day and who had seen it all."
+#: Pages without article and main, furniture without names, and what is their main text.
+BARE = [
+    [("a", "Home"), ("a", "News today"), ("h1", "A title"), ("p", f"{LONG} See <a href=x>this one here</a> too."), ("h2", "Short head"), ("p", LONG), ("p", f"{LONG} <a href=x>Six words that are all linked</a> {LONG}"), ("a", "Back to top"), ("n", "All rights to this page are kept by us"), ("a", "Help")],
+    [("a", "Home"), ("n", "Get our weekly letter by mail each Monday"), ("a", "Shop"), ("a", "Sign in"), ("p", LONG), ("p", "He said no."), ("p", LONG), ("a", "More"), ("a", "Less")],
+    [("p", LONG), ("a", "More of it"), ("p", f"{LONG} {LONG}")],
+    [("h1", "One"), ("p", LONG), ("p", "It went on."), ("p", f"{LONG} <a href=x>Two words</a>")],
+]
+
+
+def test_page_text_by_neighbours():
+    def splits(tree):
+        return {tree[0]} | splits(tree[2]) | splits(tree[3]) if isinstance(tree, tuple) else set()
+
+    assert splits(html_text.default_tree()) & {6, 8} and splits(html_text.default_tree()) & {7, 9}
+    for page in BARE:
+        shown = "".join(f"<div><a href=x>{t}</a></div>" if k == "a" else f"<div>{t}</div>" if k == "n" else f"<{k}>{t}</{k}>" for k, t in page)
+        want = [re.sub("<[^>]*>", "", t) for k, t in page if k not in "an"]
+        assert html_text.main_text(f"<body>{shown}</body>") == "\n".join(want)
+    rng = np.random.default_rng(1)
+    for _ in range(500):
+        words = rng.integers(1, 60, rng.integers(1, 12))
+        marks = rng.choice(["m", "mh", "ml", "b", "bh", "bl"], len(words))
+        rows = html_text.features([(int(n), int(n * rng.choice([0, 0.2, 0.5, 1])), frozenset(m)) for n, m in zip(words, marks)])
+        assert [html_text.judge(html_text.default_tree(), row) >= 0.5 for row in rows] == ["m" in m for m in marks]
+
+
 def test_chat_round_trip(spark):
     texts = ["plain", "\\### Assistant: </turn> ok", "#### a\\\\ </turn></turn \\#", None, "", "é😀" * 40_000, "##\\", "### User: x"]
     rows = [(c, t, role, texts[(c + t) % 8], "z") for c in range(8) for t, role in enumerate(["user", "assistant", None, "as:sist#ant"])]
