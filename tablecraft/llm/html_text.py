@@ -21,6 +21,11 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 #: What page furniture is made of, and words in class or id that name it.
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog"}
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|cookies?|consent|notices?|popup|modal|overlay|comments?|commentlist|repl(?:y|ies)|disqus|share|social|related|widget|newsletter|subscribe|signup|login|toolbar|pagination|copyright|legal)(?:$|[\s_-])", re.I)
+#: Names that say what surrounds an element (has-left-sidebar, content-menu), elements that no name makes furniture, and
+#: names of wrappers whose articles are not the page's own.
+AROUND = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:content[_-]+)?(?:has|no|with)[_-]\S*|content[_-]+[^\s_-]*)", re.I)
+OWN = {"html", "body", "main", "article"}
+OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|repl(?:y|ies)|disqus|related)(?:$|[\s_-])", re.I)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -76,7 +81,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, frozenset]]:
     """(text, words, linked words, marks) of each block in page order."""
     out: list[tuple[str, int, int, frozenset]] = []
     text: list[str] = []
-    stack: list[tuple[str, str]] = []  # element and kind: b furniture, m main, else empty
+    stack: list[tuple[str, str]] = []  # element and kind: b furniture, w and c furniture by name (c of others' texts), m main, else empty
     linked, inside, at, page = 0, 0, 0, page or ""
 
     def kind_now() -> str:
@@ -86,7 +91,7 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, frozenset]]:
         nonlocal linked
         whole = " ".join("".join(text).split())
         if whole:
-            marks = {kind_now()} | ({"h"} if any(n in HEADINGS for n, _ in stack) else set()) | ({"l"} if any(n == "li" for n, _ in stack) else set())
+            marks = {{"w": "b", "c": "b"}.get(kind_now(), kind_now())} | ({"h"} if any(n in HEADINGS for n, _ in stack) else set()) | ({"l"} if any(n == "li" for n, _ in stack) else set())
             out.append((whole, len(whole.split()), linked, frozenset(marks - {""})))
         text.clear()
         linked = 0
@@ -129,11 +134,16 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, frozenset]]:
         elif name not in VOID and not found[3].rstrip().endswith("/"):
             if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
-            named = " ".join(x.strip("\"'") for x in NAMED.findall(found[3]))
-            if name in FURNITURE or HINT.search(named) or HIDDEN.search(found[3]) or name == "header" and kind_now() != "m":
+            named = AROUND.sub("", " ".join(x.strip("\"'") for x in NAMED.findall(found[3])))
+            outer = kind_now()
+            if name in FURNITURE or HIDDEN.search(found[3]) or name == "header" and outer != "m":
                 kind = "b"
+            elif name not in OWN and HINT.search(named):
+                kind = outer if outer in ("b", "c") else "c" if OTHERS.search(named) else "w"
+            elif name == "main" and outer != "b" or name == "article" and outer not in ("b", "c"):
+                kind = "m"
             else:
-                kind = "m" if name in ("article", "main") and kind_now() != "b" else ""
+                kind = ""
             stack.append((name, kind))
         inside = 0
     add(page[at:] if not page[at:].startswith("<") else "")

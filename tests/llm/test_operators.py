@@ -183,6 +183,16 @@ def test_page_text_by_neighbours():
         assert [html_text.judge(html_text.default_tree(), row) >= 0.5 for row in rows] == ["m" in m for m in marks]
 
 
+def test_page_text_of_named_wrappers():
+    for page in (
+        f"<body class='single-post has-sidebar'><p>{LONG}</p></body>", f"<body class='no-right-sidebar'><article><p>{LONG}</article>", f"<div class=content-with-sidebar><p>{LONG}</p></div>",
+        f"<article class='post related'><p>{LONG}</article>", f"<section id=legal><article><p>{LONG}</article></section>", f"<html class=no-overlay><main class=content-menu><p>{LONG}</main>",
+        f"<div class=widget><main><p>{LONG}</main></div>", f"<article><p>{LONG}</article><div id=comments><article class=comment><p>Not {LONG}</article></div><div class=sidebar><p>Nor {LONG}</div>",
+        f"<main><p>{LONG}</main><nav><div class=menu><article><p>Not {LONG}</article></div></nav><aside><article><p>Nor {LONG}</article></aside>",
+    ):
+        assert html_text.main_text(page) == LONG, page
+
+
 def test_chat_round_trip(spark):
     texts = ["plain", "\\### Assistant: </turn> ok", "#### a\\\\ </turn></turn \\#", None, "", "é😀" * 40_000, "##\\", "### User: x"]
     rows = [(c, t, role, texts[(c + t) % 8], "z") for c in range(8) for t, role in enumerate(["user", "assistant", None, "as:sist#ant"])]
