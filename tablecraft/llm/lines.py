@@ -1,4 +1,6 @@
-"""Line dedup: winnowed line hashes find repeated runs of lines, which are extended both ways and deleted but for the first."""
+"""Line dedup: winnowed line hashes find repeated runs of lines, which are extended both ways and deleted but for the first.
+
+Long passages that stand inside longer lines are found word by word: word runs are winnowed in the same way."""
 
 from __future__ import annotations
 
@@ -12,6 +14,21 @@ from pyspark.sql import DataFrame, functions as F
 from tablecraft.llm.common import map_arrow, saved
 
 WORD = re.compile(r"\w+")
+#: Words of a run that is hashed for winnowing passages; a multiplier for running hashes and its inverse modulo 2**64.
+RUN = 8
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+
+
+class Known(dict):
+    """Hashes of the words met so far; case does not count."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "replace"))
+        return value
+
+
+KNOWN = Known()
 
 
 def lines_of(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -114,12 +131,142 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return cut.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 8) -> DataFrame:
-    """One row per input row: doc_id, text without the repeated runs, n_lines, n_deleted. Null and empty texts stay as they are."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word."""
+    words = WORD.findall(text or "")
+    if len(KNOWN) > 400_000:
+        KNOWN.clear()
+    return np.fromiter(map(KNOWN.__getitem__, words), np.uint64, len(words))
+
+
+def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of ``length`` words, by differences of a running sum."""
+    n = len(hashes) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = np.full(len(hashes), BASE, np.uint64), np.full(n, BACK, np.uint64)
+    up[0] = down[0] = 1
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * np.cumprod(up, dtype=np.uint64), dtype=np.uint64)])
+    mixed = (total[length:] - total[:n]) * np.cumprod(down, dtype=np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(BASE)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def passage_picks(hashes: np.ndarray, least: int) -> np.ndarray:
+    """For each window of ``least`` words the place of the last smallest hash of its short runs."""
+    runs = run_hashes(hashes, min(RUN, least))
+    width = least - min(RUN, least) + 1
+    if len(runs) < width:
+        return np.zeros(0, np.int64)
+    spread = np.lib.stride_tricks.sliding_window_view(runs[::-1], width)[::-1]
+    return np.arange(len(spread)) + width - 1 - spread.argmin(axis=1)
+
+
+def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 50) -> DataFrame:
+    """(doc, sig, starts): the first words of the windows of ``least_words`` words that occur earlier (by id, text hash and word).
+
+    Every window that repeats is found, wherever it begins or ends in a line, so any repeated run of so many words is
+    the union of its windows, whichever documents hold them. Of equal texts only the first is read: the others lose
+    all their words. Within one document a window does not overlap its first occurrence. Case and what stands between
+    words do not count.
+    """
+    text = F.col(f"`{text_column}`").cast("string")
+    chosen = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc"), F.xxhash64(text).alias("sig"), text.alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
+
+    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, places, picks = [], [], []
+        for x in batch["text"]:
+            hashes = word_hashes(x.as_py())
+            at = np.unique(passage_picks(hashes, least_words))
+            counts.append(len(hashes))
+            picks.append(run_hashes(hashes, min(RUN, least_words))[at].view(np.int64))
+            places.append(at.astype(np.int32))
+        columns = [pa.array(counts, pa.int32()), pa.array(picks, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([batch["doc"], batch["sig"], batch["whole"], *columns], ["doc", "sig", "whole", "n", "picks", "places"])
+
+    read = map_arrow(chosen.withColumn("whole", F.md5("text")), pick, "doc bigint, sig bigint, whole string, n int, picks array<bigint>, places array<int>")
+    read = saved(read.filter(F.col("n") >= least_words), "passage_picks")
+    first_of = saved(read.groupBy("whole").agg(F.min(F.struct("doc", "sig")).alias("f")).select("f.*"), "first_texts")
+    distinct = read.dropDuplicates(["doc", "sig"])
+    copies = distinct.join(first_of, ["doc", "sig"], "left_anti").select("doc", "sig", F.sequence(F.lit(0), F.col("n") - least_words).alias("starts"))
+    spread = distinct.join(first_of, ["doc", "sig"], "left_semi").select("doc", "sig", F.explode(F.arrays_zip("picks", "places")).alias("p")).select("doc", "sig", F.col("p.picks").alias("pick"), F.col("p.places").alias("at"))
+    spread = saved(spread, "passage_spread")
+    again = saved(spread.groupBy("pick").agg(F.count("*").alias("n")).filter("n > 1").select("pick"), "passage_again")
+    wanted = spread.join(again, "pick").groupBy("doc", "sig").agg(F.collect_list("at").alias("places"))  # bounded by the words of one document
+    texts = saved(wanted, "passage_places").join(chosen, ["doc", "sig"]).select("doc", "sig", "places", "text")
+
+    def windows_of(batch: pa.RecordBatch):
+        for doc, sig, places, x in zip(batch["doc"], batch["sig"], batch["places"], batch["text"]):
+            hashes = word_hashes(x.as_py())
+            starts = np.flatnonzero(np.isin(passage_picks(hashes, least_words), np.asarray(places.values)))
+            content = run_hashes(hashes, least_words)[starts].view(np.int64)
+            same = [pa.array(np.full(len(starts), v.as_py(), np.int64)) for v in (doc, sig)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(starts.astype(np.int32)), pa.array(content)], ["doc", "sig", "start", "content"])
+
+    windows = saved(map_arrow(texts, windows_of, "doc bigint, sig bigint, start int, content bigint").distinct(), "passages")
+    place = F.struct("doc", "sig", "start")
+    first = windows.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("content", "first")
+    later = windows.join(saved(first, "first_passages"), "content").filter(
+        (F.col("doc") != F.col("first.doc")) | (F.col("sig") != F.col("first.sig")) | (F.col("start") >= F.col("first.start") + least_words))
+    return later.groupBy("doc", "sig").agg(F.array_sort(F.collect_list("start")).alias("starts")).unionByName(copies)
+
+
+def without(text: str, gone: set[int], starts: np.ndarray, least: int) -> tuple[str, int]:
+    """The text without whole lines and without the words of the windows that begin at ``starts``; how many lines lost something."""
+    found = WORD.finditer(text)
+    n, lost, out, cut, place = 0, None, [], 0, 0
+    if len(starts):
+        edges = np.zeros(sum(1 for _ in WORD.finditer(text)) + 1, np.int64)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + least, -1)
+        lost = np.cumsum(edges) > 0
+        ahead = next(found, None)
+    for i, line in enumerate(text.split("\n")):
+        end, spans, kept = place + len(line), [], 0
+        if lost is not None:
+            inside = []
+            while ahead is not None and ahead.start() < end:
+                inside.append((ahead.start() - place, bool(lost[n])))
+                n, ahead = n + 1, next(found, None)
+            kept = sum(not x for _, x in inside)
+            spans = [(a, b) for (a, x), (b, _) in zip(inside, [*inside[1:], (len(line), False)]) if x]
+        place = end + 1
+        if i in gone or spans and not kept:
+            cut += 1
+        elif spans:
+            pieces, at = [], 0
+            for a, b in spans:
+                pieces.append(line[at:a])
+                at = b
+            out.append("".join([*pieces, line[at:]]).rstrip())
+            cut += 1
+        else:
+            out.append(line)
+    return "\n".join(out), cut
+
+
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 8, least_passage: int = 50) -> DataFrame:
+    """One row per input row: doc_id, text without the repeated runs of lines and the repeated passages, n_lines, n_deleted.
+
+    n_deleted counts the lines that are deleted whole or in part. Null and empty texts stay as they are.
+    """
     gone = saved(repeated_runs(docs, id_column, text_column, least_words), "gone")
+    passages = saved(repeated_passages(docs, id_column, text_column, least_passage), "starts")
+    passages = passages.groupBy("doc").agg(F.collect_list(F.struct("sig", "starts")).alias("passages"))
+    both = gone.withColumnRenamed("doc_id", "doc").join(passages, "doc", "full").withColumnRenamed("doc", "doc_id")
     plain = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("gone", i.cast("int")))
-    out = plain.join(gone, "doc_id", "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.select("doc_id", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_deleted"))
+    starts = F.get(F.filter("passages", lambda x: x["sig"] == F.xxhash64("text")), F.lit(0))["starts"]
+    out = plain.join(both, "doc_id", "left").select("doc_id", "text", "gone", starts.alias("starts"))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, lines, deleted = [], [], []
+        for text, lose, at in zip(batch["text"], batch["gone"], batch["starts"]):
+            text, n = text.as_py(), 0
+            lines.append(0 if text is None else text.count("\n") + 1)
+            if text is not None and (lose.is_valid or at.is_valid):
+                text, n = without(text, set(lose.as_py() or []), np.asarray(at.values if at.is_valid else [], np.int64), least_passage)
+            texts.append(text)
+            deleted.append(n)
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string()), pa.array(lines, pa.int32()), pa.array(deleted, pa.int32())], ["doc_id", "text", "n_lines", "n_deleted"])
+
+    return map_arrow(out, cut, "doc_id bigint, text string, n_lines int, n_deleted int")

@@ -141,6 +141,28 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(odd_docs(spark)).count() == 14 and lines.dedup_lines(empty(spark)).count() == 0
 
 
+def starts_by_force(docs, least):
+    """First words of the windows of ``least`` words that occurred earlier without overlap."""
+    first, out = {}, collections.defaultdict(list)
+    for d in sorted(docs):
+        w = [x.lower() for x in re.findall(r"\w+", docs[d] or "")]
+        for i in range(len(w) - least + 1):
+            source, at = first.setdefault(tuple(w[i : i + least]), (d, i))
+            if source != d or i >= at + least:
+                out[d].append(i)
+    return dict(out)
+
+
+def test_passages_inside_lines(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = starts_by_force({r.doc_id: r.text for r in given.collect()}, 50)
+    assert want and {r.doc: r.starts for r in lines.repeated_passages(given).collect()} == want
+    p, q = " ".join(words(31, 60)), " ".join(words(32, 20))
+    texts = {1: f"{q} before {p}, behind.", 2: f"other start, {p.title()} and on\nlast line", 3: f"x {p} {q} y", 4: f"{q} before {p}, behind.", 5: f"{p[: len(p) // 2]}", 6: "z " + p.replace(" ", "\n", 40) + " z"}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_deleted) for r in lines.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert got == {1: (texts[1], 1, 0), 2: ("other start, and on\nlast line", 2, 1), 3: (f"x {q} y", 1, 1), 4: ("", 1, 1), 5: (texts[5], 1, 0), 6: ("z\nz", 41, 41)}
+
+
 PAGES = [
     (None, ""), ("", ""), ("<p>", ""), ("just a few plain words that stand alone in a page without any markup at all here", None),
     ("<html><head><title>no</title><script>var a='<p>x</p>';</script></head><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>First\n  part<br>second&nbsp;part.<p>Last.</article><div class='comments'><p>I am the first to say something here</p></div><footer>c</footer>", "A & B\nFirst part second part.\nLast."),
