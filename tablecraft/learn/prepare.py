@@ -141,10 +141,14 @@ def _fit_numeric(df: DataFrame, columns: Sequence[str], scaler: str) -> list[dic
 
 
 def _best_lambdas(df: DataFrame, columns: dict[str, Column]) -> dict[str, float]:
-    """Likelihood of a grid of lambdas, one aggregate per round, the grid closing in on the best."""
+    """Likelihood of a grid of lambdas, one aggregate per round, the grid closing in on the best.
+
+    While the best is an edge of the grid, the grid moves there and doubles; it ends, as far out powers overflow.
+    """
     if not columns:
         return {}
-    names, reach = list(columns), LAMBDA_REACH
+    names = list(columns)
+    reach, left, inner = [LAMBDA_REACH] * len(names), [LAMBDA_ROUNDS] * len(names), [False] * len(names)
     weight = df.agg(*[
         e.alias(f"{t}{i}") for i, x in enumerate(columns.values())
         for t, e in (("n", F.count(x)), ("g", F.sum(F.signum(x) * F.log1p(F.abs(x)))))
@@ -156,21 +160,30 @@ def _best_lambdas(df: DataFrame, columns: dict[str, Column]) -> dict[str, float]
     up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / F.when(F.abs(lam) < 1e-12, 1.0).otherwise(lam))
     down = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(
         -(F.pow(1 - x, 2 - lam) - 1) / F.when(F.abs(lam - 2) < 1e-12, 1.0).otherwise(2 - lam))
-    for _ in range(LAMBDA_ROUNDS):
-        grids = [[m - reach + 2 * reach * j / (LAMBDA_GRID - 1) for j in range(LAMBDA_GRID)] for m in middle]
+    while any(left):
+        grids = [[m - r + 2 * r * j / (LAMBDA_GRID - 1) for j in range(LAMBDA_GRID)] for m, r in zip(middle, reach)]
+        active = [i for i in range(len(names)) if left[i]]
         table = F.array(*[F.array(*[F.lit(v) for v in g]) for g in grids])
         # LAMBDA_GRID cells per value, summed up before anything is shuffled
-        spread = long.select("idx", "x", F.posexplode(F.get(table, F.col("idx"))).alias("j", "lam"))
+        spread = long.where(F.col("idx").isin(active)).select("idx", "x", F.posexplode(F.get(table, F.col("idx"))).alias("j", "lam"))
         moments = spread.groupBy("idx", "j").agg(F.var_pop(F.when(x >= 0, up).otherwise(down)).alias("v"))
         found = {(r["idx"], r["j"]): r["v"] for r in moments.collect()}
-        for i in range(len(names)):
+        for i in active:
             def score(j):
                 v = found.get((i, j))
                 if v is None or not (0 < v < math.inf):
                     return -math.inf
                 return -weight[f"n{i}"] / 2 * math.log(v) + (grids[i][j] - 1) * weight[f"g{i}"]
-            middle[i] = grids[i][max(range(LAMBDA_GRID), key=score)]
-        reach = 2 * reach / (LAMBDA_GRID - 1) * 1.5
+            best = max(range(LAMBDA_GRID), key=score)
+            if score(best) == -math.inf:
+                left[i] = 0
+                continue
+            middle[i] = grids[i][best]
+            inner[i] = inner[i] or 0 < best < LAMBDA_GRID - 1
+            if inner[i]:
+                reach[i], left[i] = 2 * reach[i] / (LAMBDA_GRID - 1) * 1.5, left[i] - 1
+            else:
+                reach[i] *= 2
     return dict(zip(names, middle))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablecraft.learn import metrics, models, neighbours, select, split, workflow
+from tablecraft.learn import metrics, models, neighbours, prepare, select, split, workflow
 from tablecraft.learn.prepare import TabularPrep
 from tablecraft.plans.recipe import Recipe
 
@@ -135,3 +135,17 @@ def test_bundle(people, tmp_path):
     assert a.exceptAll(b).isEmpty() and a.count() == 200 and scores == {"accuracy": 0.9}
     with pytest.raises(ValueError):
         workflow.score_batch(again, fresh.drop("age"), kept, "fitted")
+
+
+def test_power_beyond_the_first_grid(spark):
+    rng = np.random.default_rng(6)
+    up, steep, plain = (1 - 11 * rng.uniform(0.02, 0.09, 400)) ** (-1 / 11) - 1, 10 - rng.exponential(size=400).clip(max=4), rng.exponential(size=400)
+
+    def likelihood(x, lam):
+        return -len(x) / 2 * np.log(np.var(((x + 1) ** lam - 1) / lam)) + (lam - 1) * np.log1p(x).sum()
+
+    want = {c: max(np.arange(-12.005, 12, 0.01), key=lambda lam: likelihood(x, lam)) for c, x in zip("abc", (up, steep, plain))}
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(up, steep, plain)], "a double, b double, c double")
+    found = prepare._best_lambdas(df, {c: F.col(c) for c in "abc"})
+    assert all(abs(found[c] - want[c]) < 0.03 for c in "abc"), (found, want)
+    assert want["a"] < -4 and want["b"] > 6
