@@ -165,10 +165,10 @@ def time_series(t):
     return series.time_series(t.events, "ts", ["value", "user_id"], "event_type")
 
 
-def resampled(unit: str, how: str, step: str, end: str) -> str:
+def resampled(unit: str, how: str, step: str, end: str, rows: str = "NOT (event_id BETWEEN 2000 AND 6000)") -> str:
     value = {"mean": "avg(value)", "sum": "sum(value)", "count": "count(value)"}[how]
     fill = f"coalesce(v, 0)" if how != "mean" else "v"
-    return f"""WITH e AS (SELECT * FROM events WHERE NOT (event_id BETWEEN 2000 AND 6000)), g AS (SELECT date_trunc('{unit}', ts)::DATE AS d, {value} AS v FROM e GROUP BY 1),
+    return f"""WITH e AS (SELECT * FROM events WHERE {rows}), g AS (SELECT date_trunc('{unit}', ts)::DATE AS d, {value} AS v FROM e GROUP BY 1),
   c AS (SELECT unnest(generate_series((SELECT min(d) FROM g), (SELECT max(d) FROM g), INTERVAL '{step}'))::DATE AS d)
   SELECT ({end})::DATE AS period, {r(fill) if how != 'count' else fill} AS value FROM c LEFT JOIN g USING (d)"""
 
@@ -187,6 +187,21 @@ def resample_week(t):
     return rounded(series.resample(with_hole(t), "ts", "value", "week", "mean"))
 
 
+@catalog.add("j23_resample_whole_day", resampled("day", "sum", "1 day", "d", "true"))
+def resample_whole_day(t):
+    return rounded(series.resample(t.events, "ts", "value", "day", "sum"))
+
+
+@catalog.add("j23_resample_whole_week", resampled("week", "mean", "7 days", "d + 6", "true"))
+def resample_whole_week(t):
+    return rounded(series.resample(t.events, "ts", "value", "week", "mean"))
+
+
+@catalog.add("j23_resample_day_hole", resampled("day", "sum", "1 day", "d", "day(ts) NOT BETWEEN 10 AND 12"))
+def resample_day_hole(t):
+    return rounded(series.resample(t.events.where("day(ts) NOT BETWEEN 10 AND 12"), "ts", "value", "day", "sum"))
+
+
 @catalog.add("j23_resample_month", f"SELECT last_day(o_orderdate::DATE) AS period, {r('sum(o_totalprice)', 2)} AS value FROM orders GROUP BY 1")
 def resample_month(t):
     return rounded(series.resample(t.orders, "o_orderdate", "o_totalprice", "month", "sum"), 2)

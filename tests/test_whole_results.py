@@ -57,3 +57,16 @@ def test_nan_is_missing_and_titles_may_repeat(spark):
     spec = {"components": [{"title": "t", "chart_type": "histogram", "config": {"x": "x"}}] * 2}
     frames, errors = dashboard_frames(df, spec)
     assert len(frames) + len(errors) == 2
+
+
+def test_resampling_reads_all_events(spark, folder):
+    from tablecraft import catalog
+
+    events, run = spark.read.parquet(f"{folder}/events.parquet"), catalog.queries()
+    total = events.selectExpr("sum(value)").head()[0]
+    assert abs(run["j23_resample_whole_day"](spark, folder).selectExpr("sum(value)").head()[0] - total) < 1e-3
+    days = {r.period: r.value for r in run["j23_resample_day_hole"](spark, folder).collect()}
+    inside = [v for d, v in days.items() if 10 <= d.day <= 12]
+    assert inside and not any(inside) and any(days.values())
+    weeks = events.selectExpr("count(distinct date_trunc('week', ts))").head()[0]
+    assert run["j23_resample_whole_week"](spark, folder).where("value IS NOT NULL").count() == weeks
