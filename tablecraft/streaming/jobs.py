@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -74,14 +75,22 @@ def resample_stream(stream: DataFrame, time: str, value: str, width: str = "1 da
     require(stream, time, value)
     timed = stream.withColumn("__at", event_time(stream, time)).withWatermark("__at", late)
     v = col(value).cast("double")
-    return timed.groupBy(F.window("__at", width)).agg(
+    return timed.groupBy(F.window("__at", width)).agg(  # see keyed.resample_periods for empty ones
         F.avg(v).alias("mean"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count"),
     ).select(_zone_free(F.col("window.start")).alias("window_start"), "mean", "sum", "min", "max", "count")
 
 
-def run_to_table(frame: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drive a stream over all available input and return its result."""
-    query = (frame.writeStream.format("memory").queryName(name).outputMode(mode)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return frame.sparkSession.table(name)
+def run_to_files(frame: DataFrame, output: str, checkpoint: str) -> DataFrame:
+    """Append what a stream settles over all available input to Parquet files below ``output``, and read them."""
+    (frame.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    return frame.sparkSession.read.schema(frame.schema).parquet(output)
+
+
+def close_stream(spark: SparkSession, folder: str, schema: T.StructType, time: str, moment: datetime) -> None:
+    """Add a row that holds nothing but ``moment`` to the files of a stream: the watermark then passes all that ends ``late`` before it.
+
+    A stream that goes on needs no such row, since later data closes what is open.
+    """
+    row = spark.range(1).select(*[(F.lit(moment) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    row.write.mode("append").parquet(folder)
