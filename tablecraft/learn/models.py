@@ -13,6 +13,8 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
+from tablecraft.learn.boosting import boosted_classes
+from tablecraft.learn.margins import support_vectors
 from tablecraft.learn.neighbours import NearestNeighbours
 
 SEED = 42
@@ -30,7 +32,7 @@ CLASSIFIERS = {
     "Logistic Regression": {"C": 1.0, "max_iter": 100},
     "Decision Tree": {"max_depth": 5, "min_samples_leaf": 1},
     "Random Forest": {"n_estimators": 100, "max_depth": 5, "min_samples_leaf": 1},
-    "SVM": {"C": 1.0, "max_iter": 100},
+    "SVM": {"C": 1.0, "max_iter": 100, "kernel": "rbf", "gamma": "scale", "components": 512},
     "Naive Bayes": {},
     "K-Nearest Neighbors": {"n_neighbors": 5},
     "Gradient Boosting": {"learning_rate": 0.1, "max_depth": 5, "max_iter": 20},
@@ -47,9 +49,9 @@ REGRESSORS = {
 }
 CLASSIFIER_GRIDS = {
     "Logistic Regression": {"C": [0.1, 1.0, 10.0]},
-    "Decision Tree": {"max_depth": [3, 5, 10]},
-    "Random Forest": {"n_estimators": [100, 200], "max_depth": [5, 10]},
-    "SVM": {"C": [0.1, 1.0, 10.0]},
+    "Decision Tree": {"max_depth": [3, 5, 10, None]},
+    "Random Forest": {"n_estimators": [100, 200], "max_depth": [5, 10, None]},
+    "SVM": {"C": [0.1, 1.0, 10.0], "kernel": ["rbf", "linear"]},
     "K-Nearest Neighbors": {"n_neighbors": [3, 5, 7, 11]},
     "Gradient Boosting": {"learning_rate": [0.05, 0.1], "max_depth": [3, 5]},
 }
@@ -57,8 +59,8 @@ REGRESSOR_GRIDS = {
     "Ridge Regression": {"alpha": [0.1, 1.0, 10.0]},
     "Lasso Regression": {"alpha": [0.01, 0.1, 1.0]},
     "Elastic Net": {"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.2, 0.5, 0.8]},
-    "Decision Tree Regressor": {"max_depth": [3, 5, 10]},
-    "Random Forest Regressor": {"n_estimators": [100, 200], "max_depth": [5, 10]},
+    "Decision Tree Regressor": {"max_depth": [3, 5, 10, None]},
+    "Random Forest Regressor": {"n_estimators": [100, 200], "max_depth": [5, 10, None]},
     "K-Nearest Neighbors": {"n_neighbors": [3, 5, 7, 11]},
     "Gradient Boosting": {"learning_rate": [0.05, 0.1], "max_depth": [3, 5]},
 }
@@ -138,15 +140,15 @@ class TabularModel(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         elif name == "Random Forest":
             made = C.RandomForestClassifier(numTrees=s["n_estimators"], **tree, **weights)
         elif name == "SVM":
-            made = C.LinearSVC(regParam=1.0 / (s["C"] * rows), standardization=False, maxIter=s["max_iter"], **weights)
-            made = made if classes == 2 else C.OneVsRest(classifier=made, **weights)
+            return support_vectors(dataset, classes, weights.get("weightCol"), s["C"], rows, s["max_iter"], s["kernel"], s["gamma"], s["components"], SEED)
         elif name == "Naive Bayes":
             made = C.NaiveBayes(modelType="gaussian")
         elif name == "K-Nearest Neighbors":
             made = NearestNeighbours(k=s["n_neighbors"], task="classification")
         else:
+            if classes > 2:
+                return boosted_classes(dataset, classes, weights.get("weightCol"), s["learning_rate"], s["max_iter"], tree)
             made = C.GBTClassifier(stepSize=s["learning_rate"], maxIter=s["max_iter"], **tree, **weights)
-            made = made if classes == 2 else C.OneVsRest(classifier=made, **weights)
         return made.fit(dataset)
 
     def _regressor(self, dataset, name, s):

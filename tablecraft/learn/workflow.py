@@ -90,7 +90,14 @@ class Trained:
     def importance(self, top: int | None = None) -> DataFrame | None:
         """(feature, importance) of trees, or mean absolute coefficients; None for other models."""
         fitted, names = self.model.stages[-1], self.prep.feature_names
-        if hasattr(fitted, "featureImportances"):
+        if isinstance(fitted, PipelineModel):  # machines behind a feature map, or boosted classes
+            trees = [s.featureImportances.toArray() for s in fitted.stages if hasattr(s, "featureImportances")]
+            fitted = fitted.stages[-1]
+        else:
+            trees = []
+        if trees:
+            values = sum(trees) / len(trees)
+        elif hasattr(fitted, "featureImportances"):
             values = fitted.featureImportances.toArray()
         elif hasattr(fitted, "coefficientMatrix"):
             values = abs(fitted.coefficientMatrix.toArray()).mean(axis=0)
