@@ -68,67 +68,71 @@ def extended(own: np.ndarray, source: np.ndarray, start: int, stop: int, at: int
 
 
 def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 8) -> DataFrame:
-    """(doc_id, gone): the numbers of the lines of each document that repeat an earlier run of at least ``least_words`` words.
+    """(doc_id, sig, gone): the numbers of the lines of each document that repeat an earlier run of at least ``least_words`` words.
 
     Winnowing: of each window, the shortest run of lines with so many words, the smallest line hash is picked. Two
     texts that share such a run pick the same line in it, so a pick that occurs nowhere else clears all its windows;
     only windows under a pick that occurs twice go on. Of these the whole content is compared: a window whose first
-    occurrence (by id, then line) lies elsewhere matches it, is extended line by line both ways, and its lines go.
+    occurrence (by id, text hash, line) lies elsewhere matches it, is extended line by line both ways, and its lines go.
 
     Lines without words and blanks at line ends do not count. Documents with nothing to delete give no row. Rows
-    with a null id neither give nor lose lines; rows that repeat an id are read as one document (of different texts
-    the first in text order).
+    with a null id neither give nor lose lines. A document is an id with a text (sig is the text's hash): rows that repeat
+    both are read once, different texts under one id are documents of their own.
     """
-    chosen = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc"), F.col(f"`{text_column}`").cast("string").alias("text")).filter("doc IS NOT NULL")
+    text = F.col(f"`{text_column}`").cast("string")
+    chosen = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc"), F.xxhash64(text).alias("sig"), text.alias("text")).filter("doc IS NOT NULL")
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [lines_of(x.as_py()) for x in batch["text"]]
         kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         columns = [[x[0] for x in found], [x[1].view(np.int64) for x in found], [x[2] for x in found]]
-        return pa.RecordBatch.from_arrays([batch["doc"], *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc", "numbers", "hashes", "words"])
+        return pa.RecordBatch.from_arrays([batch["doc"], batch["sig"], *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc", "sig", "numbers", "hashes", "words"])
 
     arrays = "numbers array<int>, hashes array<bigint>, words array<bigint>"
-    read_lines = map_arrow(chosen, read, f"doc bigint, {arrays}").filter("size(hashes) > 0")
-    lines = saved(read_lines, "lines")
+    read_lines = map_arrow(chosen, read, f"doc bigint, sig bigint, {arrays}").filter("size(hashes) > 0")
+    lines = saved(read_lines.dropDuplicates(["doc", "sig"]), "lines")
 
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc, h, w in zip(batch["doc"].to_pylist(), batch["hashes"], batch["words"]):
+        for doc, sig, h, w in zip(batch["doc"].to_pylist(), batch["sig"].to_pylist(), batch["hashes"], batch["words"]):
             hashes = np.asarray(h.values).view(np.uint64)
             for start, stop, at in windows(hashes, np.asarray(w.values), least_words):
-                rows.append((int(hashes[at].view(np.int64)), doc, at, start, stop, xxhash.xxh3_64_intdigest(hashes[start:stop]) - (1 << 63)))
-        columns = list(zip(*rows)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["pick", "doc", "at", "start", "stop", "content"])
+                rows.append((int(hashes[at].view(np.int64)), doc, sig, at, start, stop, xxhash.xxh3_64_intdigest(hashes[start:stop]) - (1 << 63)))
+        columns = list(zip(*rows)) or [[]] * 7
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["pick", "doc", "sig", "at", "start", "stop", "content"])
 
-    spans = map_arrow(lines.select("doc", "hashes", "words"), pick, "pick bigint, doc bigint, at int, start int, stop int, content bigint")
+    spans = map_arrow(lines.select("doc", "sig", "hashes", "words"), pick, "pick bigint, doc bigint, sig bigint, at int, start int, stop int, content bigint")
     spans = saved(spans, "windows")
-    place = F.xxhash64("doc", "at")
+    place = F.xxhash64("doc", "sig", "at")
     again = spans.groupBy("pick").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("pick")
-    suspects = saved(spans.join(saved(again, "picks"), "pick").select("doc", "start", "stop", "content").distinct(), "suspects")
-    first_doc = suspects.groupBy("content").agg(F.min("doc").alias("source"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    in_first = suspects.join(saved(first_doc, "first"), "content")
-    first_at = in_first.filter("doc = source").groupBy("content").agg(F.min("start").alias("source_at"))
-    matches = in_first.join(saved(first_at, "first_at"), "content").filter("doc > source OR start >= source_at + stop - start")
-    matches = saved(matches.select("doc", "start", "stop", "source", "source_at"), "matches")
-
-    runs = matches.groupBy("doc", "source").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "source_at"))).alias("runs"))  # bounded by the lines of one document
-    sources = lines.select(F.col("doc").alias("source"), F.col("hashes").alias("source_hashes"))
-    mine = saved(runs, "runs").join(sources, "source").join(lines.select("doc", "numbers", "hashes"), "doc")
+    suspects = saved(spans.join(saved(again, "picks"), "pick").select(F.struct("doc", "sig").alias("text"), "start", "stop", "content").distinct(), "suspects")
+    first_text = suspects.groupBy("content").agg(F.min("text").alias("source"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    in_first = suspects.join(saved(first_text, "first"), "content")
+    first_at = in_first.filter("text = source").groupBy("content").agg(F.min("start").alias("source_at"))
+    matches = in_first.join(saved(first_at, "first_at"), "content").filter("text > source OR start >= source_at + stop - start")
+    matches = saved(matches.select("text", "start", "stop", "source", "source_at"), "matches")
+
+    runs = matches.groupBy("text", "source").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "source_at"))).alias("runs"))  # bounded by the lines of one document
+    keyed = lines.select(F.struct("doc", "sig").alias("text"), "numbers", "hashes")
+    sources = keyed.select(F.col("text").alias("source"), F.col("hashes").alias("source_hashes"))
+    mine = saved(runs, "runs").join(sources, "source").join(keyed, "text")
 
     def extend(batch: pa.RecordBatch) -> pa.RecordBatch:
-        docs_out, gone = [], []
+        docs_out, sigs, gone = [], [], []
         for row in batch.to_pylist():
             own, source, lost = np.array(row["hashes"]), np.array(row["source_hashes"]), set()
             for run in row["runs"]:
-                a, b = extended(own, source, run["start"], run["stop"], run["source_at"], row["doc"] == row["source"])
+                a, b = extended(own, source, run["start"], run["stop"], run["source_at"], row["same"])
                 lost.update(range(a, b))
             docs_out.append(row["doc"])
+            sigs.append(row["sig"])
             gone.append([row["numbers"][i] for i in sorted(lost)])
-        return pa.RecordBatch.from_arrays([pa.array(docs_out, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc", "gone"])
+        return pa.RecordBatch.from_arrays([pa.array(docs_out, pa.int64()), pa.array(sigs, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc", "sig", "gone"])
 
-    cut = map_arrow(mine.select("doc", "source", "runs", "source_hashes", "numbers", "hashes"), extend, "doc bigint, gone array<int>")
-    return cut.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    given = mine.select("text.doc", "text.sig", (F.col("text") == F.col("source")).alias("same"), "runs", "source_hashes", "numbers", "hashes")
+    cut = map_arrow(given, extend, "doc bigint, sig bigint, gone array<int>")
+    return cut.groupBy(F.col("doc").alias("doc_id"), "sig").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -252,11 +256,10 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     gone = saved(repeated_runs(docs, id_column, text_column, least_words), "gone")
     passages = saved(repeated_passages(docs, id_column, text_column, least_passage), "starts")
-    passages = passages.groupBy("doc").agg(F.collect_list(F.struct("sig", "starts")).alias("passages"))
-    both = gone.withColumnRenamed("doc_id", "doc").join(passages, "doc", "full").withColumnRenamed("doc", "doc_id")
-    plain = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    starts = F.get(F.filter("passages", lambda x: x["sig"] == F.xxhash64("text")), F.lit(0))["starts"]
-    out = plain.join(both, "doc_id", "left").select("doc_id", "text", "gone", starts.alias("starts"))
+    both = gone.withColumnRenamed("doc_id", "doc").join(passages, ["doc", "sig"], "full").withColumnsRenamed({"doc": "doc_id"})
+    text = F.col(f"`{text_column}`").cast("string")
+    plain = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
+    out = plain.join(both, ["doc_id", "sig"], "left").select("doc_id", "text", "gone", "starts")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, lines, deleted = [], [], []

@@ -67,6 +67,31 @@ def polytope_codes(unit: np.ndarray, tables: int, functions: int, seed: int) ->
     return np.stack(own, 1), np.concatenate(probes, 1)
 
 
+def tables_for(width: int, functions: int, threshold: float, recall: float, seed: int, pairs: int = 600) -> int:
+    """Tables with which a pair at exactly ``threshold`` meets with probability ``recall``; closer pairs meet more often.
+
+    The chance to meet in one table is measured on random pairs of the given cosine; vectors are rotated at random, so it
+    does not depend on where a pair lies.
+    """
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(pairs, width)), rng.normal(size=(pairs, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    if width > 1:
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = threshold * a + math.sqrt(1 - threshold**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    else:
+        b = a
+    trial = 8
+    (own_a, more_a), (own_b, more_b) = (polytope_codes(x, trial, functions, seed + 1) for x in (a, b))
+    each = more_a.shape[1] // trial
+    met = 0.0
+    for t in range(trial):
+        part = slice(t * each, (t + 1) * each)
+        met += ((own_a[:, t] == own_b[:, t]) | (own_a[:, t, None] == more_b[:, part]).any(1) | (own_b[:, t, None] == more_a[:, part]).any(1)).mean() / trial
+    met = min(max(met - 2 * math.sqrt(met * (1 - met) / (pairs * trial)), 1e-3), 1 - 1e-9)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     """Vectors in double precision; None for null, empty, zero ones and those that hold a null or a non-finite number."""
     out: list[np.ndarray | None] = []
@@ -76,11 +101,12 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.9, tables: int = 24, seed: int = 5) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.9, recall: float = 0.9999, seed: int = 5) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors with a cosine of at least ``threshold``), component_id, kept.
 
-    Equal vectors are one node, so thousands of copies cost as much as one. A node's code in a table joins as many
-    cross-polytope functions as the number of nodes asks for (about one node in a bucket by chance). Nodes meet where one's
+    Equal vectors are one node, so thousands of copies cost as much as one. A node's code in a table joins so many
+    cross-polytope functions that less than one node is in a bucket by chance, and there are so many tables that a pair at exactly
+    ``threshold`` meets with probability ``recall`` whatever the number of functions (see ``tables_for``). Nodes meet where one's
     bucket is the other's bucket or probe; each pair that meets is verified once by its cosine in double precision.
     Vectors of different length never link.
 
@@ -102,7 +128,8 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     nodes = saved(named.select("vec_id", "node", "v").join(sizes.select("node", F.col("low").alias("vec_id")), ["vec_id", "node"]).select("node", "v").dropDuplicates(["node"]), "nodes")
     shape = nodes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).collect()[0]
     width = 1 << max(1, ((shape["width"] or 1) - 1).bit_length())
-    functions = max(2, round(math.log(max(2, shape["n"])) / math.log(2 * width)))
+    functions = max(2, math.ceil(math.log(max(2, shape["n"])) / math.log(2 * width)))
+    tables = tables_for(width, functions, threshold, recall, seed)
 
     def hashed(batch: pa.RecordBatch):
         found = [np.asarray(x.values) for x in batch["v"]]
@@ -124,11 +151,12 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch["x"], batch["y"])):
-            p, q = np.asarray(x.values), np.asarray(y.values)
-            if len(p) == len(q):
-                p, q = p / np.abs(p).max(), q / np.abs(q).max()
-                good[i] = p @ q / math.sqrt((p @ p) * (q @ q)) >= threshold
+        sizes = np.stack([np.diff(batch[c].offsets.to_numpy()) for c in "xy"])
+        for width in np.unique(sizes[0][sizes[0] == sizes[1]]):
+            rows = np.flatnonzero((sizes == width).all(0))
+            p, q = (batch[c].take(pa.array(rows)).flatten().to_numpy().reshape(-1, width) for c in "xy")
+            p, q = p / np.abs(p).max(1, keepdims=True), q / np.abs(q).max(1, keepdims=True)
+            good[rows] = (p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1)) >= threshold
         keep = pa.array(good)
         return pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
 

@@ -29,6 +29,9 @@ class Tokenizer:
     def encode(self, text: str | None) -> bytes:
         return array("H", self.coder.encode_ordinary(text)).tobytes() if text else b""
 
+    def count(self, text: str | None) -> int:
+        return len(self.coder.encode_ordinary(text)) if text else 0
+
     def decode(self, ids: np.ndarray) -> str:
         return self.coder.decode_bytes(ids.tolist()).decode("utf-8")
 

@@ -16,7 +16,8 @@ from tablecraft.llm.tokens import END, FOLDER, VOCABULARY, tokenizer
 from tablecraft.llm.words import MASK, mix
 from tablecraft.session import scratch_path
 
-#: A record: document id, number of the piece in the document, tokens that count, then the ids.
+#: A record: document id (NO_ID where there is none), number of the piece in the document, tokens that count, then the ids.
+NO_ID = -(1 << 63)
 HEAD = [("doc", "<i8"), ("piece", "<i4"), ("n", "<i4")]
 
 
@@ -55,7 +56,7 @@ def _pieces(ids, texts, length: int, folder: str, name: str) -> np.ndarray:
     pieces = -(-counts // length)
     out = np.zeros(pieces.sum(), record_type(length))
     out["ids"] = np.frombuffer(b"".join(parts), "<u2").reshape(-1, length)
-    out["doc"] = np.repeat(ids.fill_null(-1).to_numpy(zero_copy_only=False), pieces)
+    out["doc"] = np.repeat(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), pieces)
     out["piece"] = np.arange(len(out)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     out["n"] = np.minimum(length, np.repeat(counts, pieces) - out["piece"].astype(np.int64) * length)
     return out
@@ -67,20 +68,21 @@ def materialise(
 ) -> DataFrame:
     """Write all documents as shards of fixed-stride records in training order; returns (shard, path, first_slot, records).
 
-    A first pass counts the records of each input partition, which gives every record a dense global number; the
+    A first pass counts the tokens of each text and so the records of each input partition, which gives every record a dense global number; the
     second pass makes them again and sends each to the slot that the permutation names. Each shard is one range
     of ``shard_records`` slots, written by one task in slot order, so slot s is at byte (s mod shard_records) x
     stride of shard s div shard_records. ``docs`` must be a plain table scan, whose partitions are alike in both
     passes; a task that finds another count than before fails rather than write to wrong slots.
 
-    A null or empty text is a record that holds only the end mark; a null id becomes -1; repeated rows are
+    A null or empty text is a record that holds only the end mark; a null id is written as NO_ID and read back as null; repeated rows are
     written each; an empty table gives no shard. Other columns are ignored.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = len(_pieces(batch["doc"], batch["text"], length, folder, name))
+        size = tokenizer(folder, name).count
+        n = sum(-(-(size(text.as_py()) + 1) // length) for text in batch["text"])
         return pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n]}, pa.schema([("part", pa.int32()), ("n", pa.int64())]))
 
     counted = map_arrow(plain, count, "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n")).collect()  # a row per input partition
@@ -166,7 +168,7 @@ def read_back(manifest: DataFrame, length: int = 256) -> DataFrame:
                     got = np.frombuffer(read_range(row["path"], at * kind.itemsize, n * kind.itemsize), kind)
                     sums = [zlib.crc32(ids[:k].tobytes()) for ids, k in zip(got["ids"], got["n"])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(n) + row["first_slot"] + at), pa.array(np.full(n, row["shard"], np.int32)), pa.array(got["doc"].copy()), pa.array(got["piece"].copy()), pa.array(got["n"].copy()), pa.array(sums, pa.int64())],
+                        [pa.array(np.arange(n) + row["first_slot"] + at), pa.array(np.full(n, row["shard"], np.int32)), pa.array(got["doc"].copy(), mask=got["doc"] == NO_ID), pa.array(got["piece"].copy()), pa.array(got["n"].copy()), pa.array(sums, pa.int64())],
                         ["slot", "shard", "doc_id", "piece", "n_tokens", "ids_crc32"],
                     )
 

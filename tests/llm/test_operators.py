@@ -113,6 +113,34 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors.near_vectors(empty(spark, "vec_id bigint, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("width,functions", [(16, 2), (64, 2), (64, 3), (64, 4), (384, 3)])
+def test_tables_give_the_wanted_recall(width, functions):
+    """Pairs at exactly the threshold, of other random numbers than those the tables were chosen with."""
+    tables = near_vectors.tables_for(width, functions, 0.9, 0.99, 5)
+    rng = np.random.default_rng(77)
+    a, b = rng.normal(size=(700, width)), rng.normal(size=(700, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    (own_a, more_a), (own_b, more_b) = (near_vectors.polytope_codes(x, tables, functions, 5) for x in (a, b))
+    met = [len({*x} & ({*y} | {*q})) + len({*y} & {*p}) > 0 for x, p, y, q in zip(own_a.tolist(), more_a.tolist(), own_b.tolist(), more_b.tolist())]
+    assert np.mean(met) > 0.98
+
+
+def test_near_vectors_lose_no_link_near_the_threshold(spark):
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=(500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(500, 64))
+    side -= (base * side).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.86, 0.94, (500, 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side])
+    found = near_vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert {r.vec_id: r.n_links for r in found} == dict(enumerate(((unit @ unit.T >= 0.9).sum(1) - 1).tolist()))
+
+
 def deleted_by_force(docs, least):
     """Every line inside a run of at least ``least`` words that occurred earlier, extended from its first occurrence."""
     read = {d: lines.lines_of(t) for d, t in docs.items()}
@@ -133,11 +161,17 @@ def deleted_by_force(docs, least):
 def test_line_dedup(spark):
     given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     docs = {r.doc_id: r.text for r in given.collect()}
-    assert {r.doc_id: r.gone for r in lines.repeated_runs(given).collect()} == deleted_by_force(docs, 8)
+    assert {r.doc_id: r.gone for r in lines.repeated_runs(given).drop("sig").collect()} == deleted_by_force(docs, 8)
     passage = "one two three four five\nsix seven eight nine ten"
     small = spark.createDataFrame([(1, f"start\n{passage}\nend one"), (2, f"{passage}\nother"), (3, None), (4, ""), (5, f"x\n\n{passage.upper()} "), (None, passage)], "doc_id bigint, text string")
     got = {r.doc_id: (r.text, r.n_deleted) for r in lines.dedup_lines(small).collect()}
     assert got == {1: (f"start\n{passage}\nend one", 0), 2: ("other", 2), 3: (None, 0), 4: ("", 0), 5: ("x\n", 2), None: (passage, 0)}
+    long = "\n".join(" ".join(words(60 + i, 9)) for i in range(20))
+    other = "\n".join(" ".join(words(90 + i, 9)) for i in range(20))
+    twice = spark.createDataFrame([(1, long), (5, f"{long}\nmore of it"), (5, "short\ntext"), (5, other), (5, other), (6, other)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.text, r.n_deleted) for r in lines.dedup_lines(twice).collect())
+    first, second = ((5, other, 0), (5, other, 0)), (6, "", 20)
+    assert got == sorted([(1, long, 0), (5, "more of it", 20), (5, "short\ntext", 0), *first, second])
     assert lines.dedup_lines(odd_docs(spark)).count() == 14 and lines.dedup_lines(empty(spark)).count() == 0
 
 
@@ -308,9 +342,11 @@ def test_training_order_round_trip(spark):
         got[int(r["doc"])] += r["ids"][: r["n"]].tolist()
     want = collections.defaultdict(list)
     for row in docs.collect():
-        want[-1 if row.doc_id is None else row.doc_id] += tokenizer().coder.encode_ordinary(row.text or "") + [50256]
+        want[training_order.NO_ID if row.doc_id is None else row.doc_id] += tokenizer().coder.encode_ordinary(row.text or "") + [50256]
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert training_order.in_training_order(spark, empty(spark)).count() == 0
+    spark.createDataFrame([(-1, "one"), (None, "two")], "doc_id bigint, text string").write.parquet(few := scratch_path(spark, "docs"))
+    assert {r.doc_id for r in training_order.in_training_order(spark, spark.read.parquet(few)).collect()} == {-1, None}
 
 
 def test_pipeline(spark):
