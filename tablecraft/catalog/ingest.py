@@ -13,11 +13,11 @@ catalog = Catalog()
 TYPED = "SELECT o_orderkey AS key, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_orderdate AS TIMESTAMP) AS order_date, o_orderpriority AS priority FROM orders"
 
 
-def written(t, sep: str, encoding: str = "UTF-8", header: bool = True, accent: bool = False) -> str:
+def written(t, sep: str, encoding: str = "UTF-8", header: bool = True, accent: bool = False, path: str | None = None, orders=None) -> str:
     """orders as a delimited file of text in the shared folder."""
     priority = F.concat(F.col("o_orderpriority"), F.lit(" é")) if accent else F.col("o_orderpriority")
-    path = scratch_path(t.spark, "delimited")
-    t.orders.select(
+    path = path or scratch_path(t.spark, "delimited")
+    (orders or t.orders).select(
         F.col("o_orderkey").alias("key"), F.format_string("%.2f", "o_totalprice").alias("price"),
         F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss").alias("order_date"), priority.alias("priority"),
     ).write.csv(path, sep=sep, header=header, encoding=encoding)
@@ -34,6 +34,15 @@ def read_latin1(t):
     return read_delimited(t.spark, written(t, "\t", "ISO-8859-1", accent=True))
 
 
+@catalog.add("a01_read_unlike_files", """SELECT o_orderkey AS key, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_orderdate AS TIMESTAMP) AS order_date,
+  o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' é' END AS priority FROM orders""")
+def read_unlike_files(t):
+    folder = scratch_path(t.spark, "unlike")
+    for i, (sep, encoding) in enumerate(((";", "UTF-8"), (",", "UTF-8"), ("\t", "ISO-8859-1"))):
+        written(t, sep, encoding, accent=i > 0, path=f"{folder}/part={i}", orders=t.orders.where(F.col("o_orderkey") % 3 == i))
+    return read_delimited(t.spark, f"{folder}/*")
+
+
 @catalog.add("a02_read_without_header", 'SELECT o_orderkey AS "0", CAST(o_totalprice AS DOUBLE) AS "1", CAST(o_orderdate AS TIMESTAMP) AS "2", o_orderpriority AS "3" FROM orders')
 def read_without_header(t):
     return read_delimited(t.spark, written(t, ",", header=False), header=False)

@@ -93,3 +93,27 @@ def test_texts_that_are_no_dates(spark):
     df = spark.createDataFrame([("no date", "1" * 70, "99:99", "13/13/24", "")], "a string, b string, c string, d string, e string")
     assert typing.convert_dates(df).dtypes == df.dtypes
     assert list(df.select(*[typing.parsed_date(F.col(c)) for c in df.columns]).head()) == [None] * 5
+
+
+def test_files_of_unlike_dialects_are_one_table(spark, tmp_path):
+    """Delimiter, encoding and columns per file; names with blanks and brackets."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a comma.csv").write_text('id,name,price\n1,"Café, small",1.5\n2,x,NA\n', encoding="utf-8")
+    (folder / "b[1].csv").write_text("price;id;extra\n2.5;3;yes\n3.5;4;no\n", encoding="utf-8")
+    (folder / "c_latin.csv").write_bytes("id\tname\n5\tGröße\n6\tÉté\n".encode("latin-1"))
+    (folder / "d_empty.csv").write_text("")
+    out = delimited.read_delimited(spark, str(folder))
+    assert out.columns == ["id", "name", "price", "extra"] and dict(out.dtypes)["id"] == "bigint" and dict(out.dtypes)["price"] == "double"
+    assert sorted(map(tuple, out.collect())) == [
+        (1, "Café, small", 1.5, None), (2, "x", None, None), (3, None, 2.5, "yes"), (4, None, 3.5, "no"), (5, "Größe", None, None), (6, "Été", None, None)]
+    found = {r.file.rsplit("/", 1)[1]: (r.encoding, r.delimiter) for r in delimited.file_dialects(spark, str(folder)).collect()}
+    assert found == {"a comma.csv": ("UTF-8", ","), "b[1].csv": ("UTF-8", ";"), "c_latin.csv": ("ISO-8859-1", "\t")}
+
+
+def test_unlike_files_without_header(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("1,x\n2,y\n")
+    (tmp_path / "in" / "b.csv").write_text("3|z|0.5\n4|w|1.5\n")
+    out = delimited.read_delimited(spark, str(tmp_path / "in"), header=False)
+    assert sorted(map(tuple, out.collect())) == [(1, "x", None), (2, "y", None), (3, "z", 0.5), (4, "w", 1.5)]
