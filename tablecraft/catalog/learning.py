@@ -361,7 +361,12 @@ MI = """SELECT '{c}' AS feature, round(sum(n / t * ln(n * t / (tx::DOUBLE * ty))
 
 @catalog.add("k37_mutual_information", " UNION ALL ".join(MI.format(c=c) for c in ("l_quantity", "l_extendedprice")))
 def mutual_information(t):
-    return rounded(select.best_by_information(t.lineitem, ["l_quantity", "l_extendedprice"], "l_returnflag"), 9)
+    return rounded(select.best_by_information(t.lineitem, ["l_quantity", "l_extendedprice"], "l_returnflag", method="bins"), 9)
+
+
+@catalog.add("k37_neighbour_information")
+def neighbour_information(t):
+    return rounded(select.mutual_information(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag"), 9)
 
 
 @catalog.add("k38_recursive_elimination")

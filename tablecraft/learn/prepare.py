@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablecraft.functions.columns import col, columns_of
 from tablecraft.functions.quantiles import exact_quantiles
 from tablecraft.functions.stats import value_counts
+from tablecraft.session import scratch_path
 
 # Scaler names, width of a one-hot block, name of the block's rare column.
 SCALERS = ("standard", "robust", "minmax", "power")
 MAX_CATEGORIES = 50
 RARE = "__infrequent__"
+#: Rare values up to so many are kept within the model, more of them as a table in the shared folder.
 KNOWN_VALUES = 10_000
 LAMBDA_GRID, LAMBDA_ROUNDS, LAMBDA_REACH = 21, 5, 4.0
 
@@ -83,7 +85,7 @@ class TabularPrepModel(Model, _Shared, DefaultParamsReadable, DefaultParamsWrita
         return names
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        fitted, parts = self.fitted, []
+        fitted, parts, looked_up = self.fitted, [], []
         for n in fitted["numeric"]:
             x = F.coalesce(_number(n["column"]), F.lit(n["median"]))
             if n.get("lam") is not None:
@@ -92,11 +94,25 @@ class TabularPrepModel(Model, _Shared, DefaultParamsReadable, DefaultParamsWrita
         for c in fitted["categorical"]:
             value = F.coalesce(col(c["column"]).cast("string"), F.lit(c["mode"]))
             parts += [F.when(value == F.lit(v), 1.0).otherwise(0.0) for v in c["kept"]]
-            if c["rare"] is not None:
-                # all rare values are listed when there are few; otherwise whatever is not kept is rare
-                is_rare = value.isin(c["rare"]) if c["rare"] else ~value.isin(c["kept"])
+            if c.get("levels"):
+                dataset, is_rare = _looked_up(dataset, c, value, [n["column"] for n in (*fitted["numeric"], *fitted["categorical"])], f"__level{len(looked_up)}")
+                looked_up.append(f"__level{len(looked_up)}")
                 parts.append(F.when(is_rare, 1.0).otherwise(0.0))
-        return dataset.withColumn(self.getOrDefault("outputCol"), array_to_vector(F.array(*parts)))
+            elif c["rare"] is not None:
+                parts.append(F.when(value.isin(c["rare"]), 1.0).otherwise(0.0))
+        return dataset.withColumn(self.getOrDefault("outputCol"), array_to_vector(F.array(*parts))).drop(*looked_up)
+
+
+def _looked_up(dataset: DataFrame, entry: dict, value: Column, inputs: Sequence[str], name: str) -> tuple[DataFrame, Column]:
+    """Join the table of rare values; a value that is neither there nor kept was not seen in fitting.
+
+    Kept values are the frequent ones. They need no lookup and get a key spread by the other inputs instead, so that
+    no task has to take most of the rows.
+    """
+    levels = dataset.sparkSession.read.schema("level string").parquet(entry["levels"]).select(F.col("level").alias(name))
+    kept = value.isin(entry["kept"])
+    spread = F.concat(F.lit("\0"), F.xxhash64(*[col(c) for c in inputs]).cast("string"))
+    return dataset.join(levels, F.when(kept, spread).otherwise(value) == F.col(name), "left"), ~kept & F.col(name).isNotNull()
 
 
 def _number(name: str) -> Column:
@@ -204,8 +220,11 @@ def _fit_categorical(df: DataFrame, columns: Sequence[str], cap: int) -> list[di
         if len(values) <= cap:
             out.append({"column": c, "mode": mode, "kept": sorted(values), "rare": None})
         else:
-            rare = values[cap - 1:] if len(values) <= KNOWN_VALUES else []
-            out.append({"column": c, "mode": mode, "kept": sorted(values[: cap - 1]), "rare": rare})
+            entry = {"column": c, "mode": mode, "kept": sorted(values[: cap - 1]), "rare": values[cap - 1:]}
+            if len(values) > KNOWN_VALUES:
+                entry.update(rare=[], levels=scratch_path(df.sparkSession, "levels"))
+                counts.where((F.col("column") == c) & ~F.col("value").isin(entry["kept"])).select(F.col("value").alias("level")).write.parquet(entry["levels"])
+            out.append(entry)
     return out
 
 

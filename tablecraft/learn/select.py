@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablecraft.functions.columns import col, columns_of
 from tablecraft.functions.quantiles import exact_quantiles
 from tablecraft.functions.stats import pearson, to_long
+from tablecraft.learn.information import neighbour_information
 from tablecraft.operators.numeric import right_closed_bin
 
 MI_BINS = 10
@@ -52,9 +53,17 @@ def k_best(df: DataFrame, features: Sequence[str], target: str, k: int = 10, tas
     return f_scores(df, features, target, task).orderBy(F.desc_nulls_last("f"), "feature").limit(k)
 
 
-def mutual_information(df: DataFrame, features: Sequence[str], target: str, task: str = "classification", bins: int = MI_BINS) -> DataFrame:
-    """(feature, mi) from counts of quantile bins against the class, or against bins of a numeric target."""
+def mutual_information(df: DataFrame, features: Sequence[str], target: str, task: str = "classification", bins: int = MI_BINS, method: str = "neighbours") -> DataFrame:
+    """(feature, mi) of complete rows.
+
+    ``neighbours`` compares distances to the third neighbour (see ``neighbour_information``); it needs classes. ``bins``, and a
+    numeric target, take counts of quantile bins against the class or against bins of the target.
+    """
+    if method not in ("neighbours", "bins"):
+        raise ValueError(f"unknown method {method!r}")
     work, numeric = _complete(df, features, target)
+    if method == "neighbours" and task == "classification":
+        return neighbour_information(work, numeric, target)
     spots = [i / bins for i in range(bins + 1)]
     wanted = {c: (col(c), spots) for c in (*numeric, *([target] if task == "regression" else []))}
     edges = {c: sorted({e for e in q if e is not None}) for c, q in exact_quantiles(work, wanted).items()}
@@ -76,8 +85,8 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, task
     return sums.select(F.get(names, F.col("idx")).alias("feature"), F.greatest("mi", F.lit(0.0)).alias("mi"))
 
 
-def best_by_information(df: DataFrame, features: Sequence[str], target: str, k: int = 10, task: str = "classification") -> DataFrame:
-    return mutual_information(df, features, target, task).orderBy(F.desc("mi"), "feature").limit(k)
+def best_by_information(df: DataFrame, features: Sequence[str], target: str, k: int = 10, task: str = "classification", method: str = "neighbours") -> DataFrame:
+    return mutual_information(df, features, target, task, method=method).orderBy(F.desc("mi"), "feature").limit(k)
 
 
 def recursive_elimination(

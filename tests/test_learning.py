@@ -149,3 +149,18 @@ def test_power_beyond_the_first_grid(spark):
     found = prepare._best_lambdas(df, {c: F.col(c) for c in "abc"})
     assert all(abs(found[c] - want[c]) < 0.03 for c in "abc"), (found, want)
     assert want["a"] < -4 and want["b"] > 6
+
+
+def test_unseen_and_rare_differ_at_any_number_of_levels(spark, monkeypatch, tmp_path):
+    """With the levels in a table beside the model the vectors are those of a model that lists them."""
+    df = spark.range(300).select(F.when(F.col("id") % 2 == 0, "often").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("c"), F.col("id").cast("double").alias("n"))
+    asked = spark.createDataFrame([("often", 1.0), ("never seen", 2.0), ("k1", 3.0), ("k299", 4.0), (None, 5.0)], "c string, n double")
+    wanted = {r.n: r.features for r in TabularPrep(numericCols=["n"], categoricalCols=["c"]).fit(df).transform(asked).collect()}
+    monkeypatch.setattr("tablecraft.learn.prepare.KNOWN_VALUES", 60)
+    model = TabularPrep(numericCols=["n"], categoricalCols=["c"]).fit(df)
+    assert model.fitted["categorical"][0]["rare"] == [] and model.fitted["categorical"][0]["levels"]
+    model.write().save(str(tmp_path / "prep"))
+    for one in (model, type(model).load(str(tmp_path / "prep"))):
+        out = one.transform(asked)
+        assert out.columns == ["c", "n", "features"] and {r.n: r.features for r in out.collect()} == wanted
+    assert wanted[2.0].toArray()[1:].sum() == 0 and wanted[4.0].toArray()[-1] == 1
