@@ -83,8 +83,8 @@ def mix_sources(docs: DataFrame, targets: Targets, domain: Column, id_column: st
     order; only rows of the one bucket at the cut are ordered, so a leaf with a third of all rows is no hot task.
 
     Null names are a name of their own, ``(none)``. Documents without tokens cost nothing: those before the cut
-    are taken. A leaf whose budget is 0 gives no rows. Ties in the order go by id; repeated rows are separate rows. An
-    empty table gives an empty one. Columns of the input keep their names; names starting with ``mix_`` are refused.
+    are taken. A leaf whose budget is 0 gives no rows. Rows with a null id take their place by a hash of the text; ties in the
+    order go by id, then by that hash; repeated rows are separate rows. An empty table gives an empty one. Columns of the input keep their names; names starting with ``mix_`` are refused.
     """
     if clash := [c for c in docs.columns if c.startswith("mix_")]:
         raise ValueError(f"columns named mix_: {clash}")
@@ -101,7 +101,9 @@ def mix_sources(docs: DataFrame, targets: Targets, domain: Column, id_column: st
     rows = [(*path, min(b // held[path], targets.epochs) if held[path] else 0, b % held[path] if held[path] and b < held[path] * targets.epochs else 0) for path, b in budgets.items() if b > 0 and held[path]]
     plan = spark.createDataFrame(rows, "mix_domain string, mix_lang string, mix_source string, mix_full bigint, mix_rest bigint")
     plan = F.broadcast(plan) if len(rows) <= 100_000 else plan
-    order = F.md5(F.concat_ws(":", F.lit(targets.seed), F.col("mix_full"), F.col(f"`{id_column}`")).cast("binary"))
+    told_apart = F.xxhash64(F.col(f"`{text_column}`").cast("string"))
+    place = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.concat(F.lit("none:"), told_apart.cast("string")))
+    order = F.md5(F.concat_ws(":", F.lit(targets.seed), F.col("mix_full"), place).cast("binary"))
     ordered = sized.join(plan, keys).withColumn("mix_order", order).withColumn("mix_bucket", F.substring("mix_order", 1, BUCKET_DIGITS))
 
     per = ordered.filter("mix_rest > 0").groupBy(*keys, "mix_rest", "mix_bucket").agg(F.sum("mix_tokens").alias("n"))
@@ -114,6 +116,6 @@ def mix_sources(docs: DataFrame, targets: Targets, domain: Column, id_column: st
     repeated = marked.filter("mix_full > 0").select(*own, *extra, F.explode(F.sequence(F.lit(0), F.col("mix_full").cast("int") - 1)).alias("mix_epoch"))
     last = F.col("mix_full").cast("int").alias("mix_epoch")
     whole = marked.filter("mix_rest > 0 AND (mix_cut IS NULL OR mix_bucket < mix_cut)").select(*own, *extra, last)
-    so_far = F.sum("mix_tokens").over(Window.partitionBy(*keys).orderBy("mix_order", F.col(f"`{id_column}`")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    so_far = F.sum("mix_tokens").over(Window.partitionBy(*keys).orderBy("mix_order", F.col(f"`{id_column}`"), told_apart).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = marked.filter("mix_rest > 0 AND mix_bucket = mix_cut").withColumn("mix_upto", so_far).filter("mix_before + mix_upto <= mix_rest").select(*own, *extra, last)
     return repeated.unionByName(whole).unionByName(edge)
