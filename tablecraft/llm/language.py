@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablecraft.llm.common import BATCH_ROWS, map_arrow
 
@@ -155,19 +155,22 @@ def held_out(id_column: str = "doc_id"):
 
 
 def fit_language_model(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = 800) -> LanguageModel:
-    """Fit on a bounded sample: about ``per_language`` labelled rows of each language outside the held-out quarter.
+    """Fit on a bounded sample: ``per_language`` labelled rows of each language outside the held-out quarter, all where there are fewer.
 
-    Counting the languages and picking by a hash of the id cover the whole table; rows with a null id, language
-    or text are not learned from. Whole texts are used. Repeated rows count as often as they occur.
+    The rows with the smallest hashes of id and text are taken, ranked over the whole table, so no language is left out and
+    none has more. Rows with a null id, language or text are not learned from. Whole texts are used. Repeated rows count as often as they occur.
     """
     ids, lang, text = (F.col(f"`{x}`") for x in (id_column, lang_column, text_column))
     usable = docs.filter(ids.isNotNull() & lang.isNotNull() & text.isNotNull() & ~held_out(id_column))
-    sizes = {row["lang"]: row["n"] for row in usable.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not sizes:
+    keyed = usable.select(ids.cast("bigint").alias("doc"), lang.cast("string").alias("lang"), text.cast("string").alias("text"), F.xxhash64(ids, text, F.lit(17)).alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    ranked = keyed.select("lang", "h").withColumn("rank", rank).filter(F.col("rank") <= per_language)  # each task sends on so many rows of a language
+    cuts = {row["lang"]: row["cut"] for row in ranked.groupBy("lang").agg(F.max("h").alias("cut")).collect()}  # a row per language
+    if not cuts:
         return train([])
-    share = F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, per_language / n)])
-    place = F.pmod(F.xxhash64(ids, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.select(ids.cast("bigint").alias("doc"), lang.cast("string").alias("lang"), text.cast("string").alias("text"), (place < share[lang]).alias("take")).filter("take")
+    cut = F.create_map(*[F.lit(x) for pair in sorted(cuts.items()) for x in pair])
+    # copies of the row at the cut may be more than are wanted; they are alike, so any of them will do
+    picked = keyed.filter(F.col("h") <= cut[F.col("lang")]).withColumn("rank", rank).filter(F.col("rank") <= per_language)
 
     def gather(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = [bucket_counts(x.as_py()) for x in batch["text"]]
