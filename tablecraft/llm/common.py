@@ -21,6 +21,22 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Saved tables by name, to be deleted one by one when what was made of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def save(self, df: DataFrame, label: str) -> DataFrame:
+        path = self.paths[label] = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            forget(self.spark, self.paths.pop(label))
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder after its last reader."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

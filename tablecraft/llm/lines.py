@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tablecraft.llm.common import map_arrow, saved
+from tablecraft.llm.common import Tables, map_arrow, saved
 
 WORD = re.compile(r"\w+")
 #: Words of a run that is hashed for winnowing passages; a multiplier for running hashes and its inverse modulo 2**64.
@@ -103,20 +103,25 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["pick", "doc", "sig", "at", "start", "stop", "content"])
 
     spans = map_arrow(lines.select("doc", "sig", "hashes", "words"), pick, "pick bigint, doc bigint, sig bigint, at int, start int, stop int, content bigint")
-    spans = saved(spans, "windows")
+    tables = Tables(docs.sparkSession)
+    spans = tables.save(spans, "windows")
     place = F.xxhash64("doc", "sig", "at")
     again = spans.groupBy("pick").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("pick")
-    suspects = saved(spans.join(saved(again, "picks"), "pick").select(F.struct("doc", "sig").alias("text"), "start", "stop", "content").distinct(), "suspects")
+    suspects = tables.save(spans.join(tables.save(again, "picks"), "pick").select(F.struct("doc", "sig").alias("text"), "start", "stop", "content").distinct(), "suspects")
+    tables.drop("windows", "picks")
     first_text = suspects.groupBy("content").agg(F.min("text").alias("source"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    in_first = suspects.join(saved(first_text, "first"), "content")
+    in_first = suspects.join(tables.save(first_text, "first"), "content")
     first_at = in_first.filter("text = source").groupBy("content").agg(F.min("start").alias("source_at"))
-    matches = in_first.join(saved(first_at, "first_at"), "content").filter("text > source OR start >= source_at + stop - start")
-    matches = saved(matches.select("text", "start", "stop", "source", "source_at"), "matches")
+    matches = in_first.join(tables.save(first_at, "first_at"), "content").filter("text > source OR start >= source_at + stop - start")
+    matches = tables.save(matches.select("text", "start", "stop", "source", "source_at"), "matches")
+    tables.drop("suspects", "first", "first_at")
 
     runs = matches.groupBy("text", "source").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "source_at"))).alias("runs"))  # bounded by the lines of one document
     keyed = lines.select(F.struct("doc", "sig").alias("text"), "numbers", "hashes")
     sources = keyed.select(F.col("text").alias("source"), F.col("hashes").alias("source_hashes"))
-    mine = saved(runs, "runs").join(sources, "source").join(keyed, "text")
+    runs = tables.save(runs, "runs")
+    tables.drop("matches")
+    mine = runs.join(sources, "source").join(keyed, "text")
 
     def extend(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs_out, sigs, gone = [], [], []
@@ -189,15 +194,18 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
         return pa.RecordBatch.from_arrays([batch["doc"], batch["sig"], batch["whole"], *columns], ["doc", "sig", "whole", "n", "picks", "places"])
 
     read = map_arrow(chosen.withColumn("whole", F.md5("text")), pick, "doc bigint, sig bigint, whole string, n int, picks array<bigint>, places array<int>")
-    read = saved(read.filter(F.col("n") >= least_words), "passage_picks")
-    first_of = saved(read.groupBy("whole").agg(F.min(F.struct("doc", "sig")).alias("f")).select("f.*"), "first_texts")
+    tables = Tables(docs.sparkSession)
+    read = tables.save(read.filter(F.col("n") >= least_words), "picks")
+    first_of = tables.save(read.groupBy("whole").agg(F.min(F.struct("doc", "sig")).alias("f")).select("f.*"), "firsts")
     distinct = read.dropDuplicates(["doc", "sig"])
-    copies = distinct.join(first_of, ["doc", "sig"], "left_anti").select("doc", "sig", F.sequence(F.lit(0), F.col("n") - least_words).alias("starts"))
+    copies = tables.save(distinct.join(first_of, ["doc", "sig"], "left_anti").select("doc", "sig", "n"), "copies").select("doc", "sig", F.sequence(F.lit(0), F.col("n") - least_words).alias("starts"))
     spread = distinct.join(first_of, ["doc", "sig"], "left_semi").select("doc", "sig", F.explode(F.arrays_zip("picks", "places")).alias("p")).select("doc", "sig", F.col("p.picks").alias("pick"), F.col("p.places").alias("at"))
-    spread = saved(spread, "passage_spread")
-    again = saved(spread.groupBy("pick").agg(F.count("*").alias("n")).filter("n > 1").select("pick"), "passage_again")
+    spread = tables.save(spread, "spread")
+    tables.drop("picks", "firsts")
+    again = tables.save(spread.groupBy("pick").agg(F.count("*").alias("n")).filter("n > 1").select("pick"), "again")
     wanted = spread.join(again, "pick").groupBy("doc", "sig").agg(F.collect_list("at").alias("places"))  # bounded by the words of one document
-    texts = saved(wanted, "passage_places").join(chosen, ["doc", "sig"]).select("doc", "sig", "places", "text")
+    texts = tables.save(wanted, "places").join(chosen, ["doc", "sig"]).select("doc", "sig", "places", "text")
+    tables.drop("spread", "again")
 
     def windows_of(batch: pa.RecordBatch):
         for doc, sig, places, x in zip(batch["doc"], batch["sig"], batch["places"], batch["text"]):
@@ -207,12 +215,15 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
             same = [pa.array(np.full(len(starts), v.as_py(), np.int64)) for v in (doc, sig)]
             yield pa.RecordBatch.from_arrays([*same, pa.array(starts.astype(np.int32)), pa.array(content)], ["doc", "sig", "start", "content"])
 
-    windows = saved(map_arrow(texts, windows_of, "doc bigint, sig bigint, start int, content bigint").distinct(), "passages")
-    place = F.struct("doc", "sig", "start")
-    first = windows.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("content", "first")
-    later = windows.join(saved(first, "first_passages"), "content").filter(
+    windows = tables.save(map_arrow(texts, windows_of, "doc bigint, sig bigint, start int, content bigint"), "passages")
+    tables.drop("places")
+    place = F.struct("doc", "sig", "start")  # repeated rows give the same places again
+    first = windows.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("content", "first")
+    later = windows.join(tables.save(first, "first_passages"), "content").filter(
         (F.col("doc") != F.col("first.doc")) | (F.col("sig") != F.col("first.sig")) | (F.col("start") >= F.col("first.start") + least_words))
-    return later.groupBy("doc", "sig").agg(F.array_sort(F.collect_list("start")).alias("starts")).unionByName(copies)
+    found = saved(later.groupBy("doc", "sig").agg(F.array_sort(F.collect_set("start")).alias("starts")), "starts")
+    tables.drop("passages", "first_passages")
+    return found.unionByName(copies)
 
 
 def without(text: str, gone: set[int], starts: np.ndarray, least: int) -> tuple[str, int]:
@@ -255,7 +266,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     n_deleted counts the lines that are deleted whole or in part. Null and empty texts stay as they are.
     """
     gone = saved(repeated_runs(docs, id_column, text_column, least_words), "gone")
-    passages = saved(repeated_passages(docs, id_column, text_column, least_passage), "starts")
+    passages = repeated_passages(docs, id_column, text_column, least_passage)
     both = gone.withColumnRenamed("doc_id", "doc").join(passages, ["doc", "sig"], "full").withColumnsRenamed({"doc": "doc_id"})
     text = F.col(f"`{text_column}`").cast("string")
     plain = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))

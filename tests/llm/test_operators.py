@@ -285,6 +285,25 @@ def test_language_odd_rows(spark):
     assert language.bucket_counts(long).sum() == sum(len(language.subwords(language.codes_of(f" {long} "))) for _ in [0])
 
 
+def test_language_sample_is_bounded_and_leaves_no_language_out(spark):
+    """All rows of a language under one id, and copies of one row, which have one hash."""
+    rows = [(4, f"der text nummer {i} ist ein deutscher satz", "de") for i in range(900)] + [(i * 4, f"this is english text number {i}", "en") for i in range(60)]
+    rows += [(8, "le texte est en français", "fr")] * 500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").filter(~language.held_out())
+    model = language.fit_language_model(docs, per_language=50)
+    assert sorted(model.languages) == sorted({r.lang for r in docs.select("lang").distinct().collect()})
+
+
+def test_mixing_spreads_rows_without_id(spark):
+    """Null ids take places by their text; of repeated ids the same texts are chosen again, however the rows are dealt."""
+    rows = [(None, f"one two three {i}", "en", "web 1") for i in range(200)] + [(7, f"four five {i}", "en", "web 1") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    targets = mixture.Targets(share=0.5, seed=3)
+    chosen = [sorted(r.text for r in mixture.mix_sources(docs.repartition(n, *by), targets, F.lit("d")).collect()) for n, by in ((1, ()), (5, ("text",)))]
+    assert chosen[0] == chosen[1] and 0 < sum(len(t.split()) for t in chosen[0]) <= 0.5 * (200 * 4 + 50 * 3)
+    assert any(t.startswith("one") for t in chosen[0]) and sum(t.startswith("one") for t in chosen[0]) < 200
+
+
 def test_contamination_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
