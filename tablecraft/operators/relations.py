@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,7 +12,7 @@ from tablecraft.functions.ordering import ROWS_PER_BUCKET, running_sums, value_r
 from tablecraft.functions.sampling import seeded_sample
 from tablecraft.functions.stats import pearson, to_long
 from tablecraft.operators.rows import keep_tops
-from tablecraft.session import small_frame
+from tablecraft.session import freeze, small_frame
 
 PAIRS_PER_PASS = 300
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}
@@ -36,12 +37,43 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
         return _mirrored(_pearson_pairs(df, pairs))
     if method not in ("spearman", "kendall"):
         raise ValueError(f"unknown method {method!r}")
-    one = spearman if method == "spearman" else kendall
+    if method == "spearman":
+        return _mirrored(_spearman_pairs(df, columns))
+    return _mirrored(_one_by_one(df, pairs, kendall))
+
+
+def _one_by_one(df: DataFrame, pairs: Sequence[tuple[str, str]], one: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
     frames = [one(df, a, b).select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col("correlation")) for a, b in pairs]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return _mirrored(out)
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _spearman_pairs(df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Rank correlations of all pairs. Columns without missing values are ranked together, once each.
+
+    One unpivoted pass counts and ranks the distinct values of all these columns, each is looked up once by the rows, and
+    one aggregate sums the products. Ranks of a pair with missing values depend on both columns, so such pairs are ranked by themselves.
+    """
+    numbers = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    known = numbers.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"x{i}").alias(f"x{i}") for i in range(len(columns))]).head()
+    whole = [i for i in range(len(columns)) if known[f"x{i}"] == known["rows"]]
+    shared = [(columns[i], columns[j], i, j) for a, i in enumerate(whole) for j in whole[a:]]
+    apart = [(a, b) for a, b in _pairs(columns) if (a, b) not in {(a, b) for a, b, *_ in shared}]
+    frames = [_one_by_one(df, apart, spearman)] if apart else []
+    if shared:
+        values = F.array(*[F.struct(F.lit(i).alias("idx"), F.col(f"x{i}").alias("x")) for i in whole])
+        ranked = value_ranks(numbers.select(F.inline(values)), "x", ("idx",), rows=known["rows"] * len(whole), rows_per_bucket=rows_per_bucket)
+        ranks = freeze(ranked.select("idx", "x", (F.col("upto_n") - (F.col("n") - 1) / 2.0 - (F.col("all_n") + 1) / 2.0).alias("r")))
+        rows = numbers
+        for i in whole:
+            rows = rows.join(ranks.where(F.col("idx") == i).select(F.col("x").alias(f"x{i}"), F.col("r").alias(f"r{i}")), f"x{i}")
+        rows = rows.select(*[f"r{i}" for i in whole])
+        rows = freeze(rows) if len(shared) > PAIRS_PER_PASS else rows
+        for start in range(0, len(shared), PAIRS_PER_PASS):
+            part = shared[start:start + PAIRS_PER_PASS]
+            length = {i: F.sqrt(F.sum(F.col(f"r{i}") * F.col(f"r{i}"))) for i in whole}
+            wide = rows.agg(*[F.try_divide(F.sum(F.col(f"r{i}") * F.col(f"r{j}")), length[i] * length[j]).alias(f"c{k}") for k, (_, _, i, j) in enumerate(part)])
+            frames.append(to_long(wide, [{"column_a": F.lit(a), "column_b": F.lit(b), "correlation": F.col(f"c{k}")} for k, (a, b, *_) in enumerate(part)]))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def _pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
