@@ -18,6 +18,7 @@ from tablecraft.functions.columns import col, require
 from tablecraft.learn import metrics
 from tablecraft.learn.models import TabularModel, param_grid, random_settings
 from tablecraft.learn.prepare import TabularPrepModel, prep_for
+from tablecraft.learn.products import curve_scores, fold_scores, summed
 from tablecraft.learn.split import nested_subset, safe_folds, with_folds
 from tablecraft.plans.recipe import Recipe
 from tablecraft.session import small_frame
@@ -35,6 +36,7 @@ def _aside(name: str) -> str:
 def _put_aside(df: DataFrame) -> DataFrame:
     return df.select(*[col(c).alias(_aside(c)) for c in df.columns])
 SMALLER_IS_BETTER = ("rmse", "mae", "mse")
+CURVE_SCHEMA = "fraction double, train_mean double, train_std double, test_mean double, test_std double"
 
 
 def pipeline_for(df: DataFrame, target: str, features: Sequence[str], task: str, model: str, settings: dict | None = None,
@@ -139,12 +141,17 @@ def evaluate(trained: Trained, test: DataFrame) -> DataFrame:
 
 def cross_validate(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str], task: str, model: str, settings: dict | None = None,
                    folds: int = 5, metric: str | None = None, parallelism: int = 2, scaler: str = "standard") -> list[float]:
-    """One score per fold; preprocessing is refitted on each fold's training rows."""
+    """One score per fold; preprocessing is refitted on each fold's training rows.
+
+    Linear models of numeric features come from sums of products of every fold, without a fit of their own.
+    """
     k = safe_folds(df, target, folds, task)
     if k is None:
         raise ValueError("cross-validation needs two or more rows of each class")
     metric = metric or ("accuracy" if task == "classification" else "r2")
     marked = with_folds(df, target, key, k, task)
+    if summed(df, features, task, model, settings, scaler, metric):
+        return fold_scores(marked, target, features, k, model, [settings or {}], scaler, metric)[0]
 
     def score(i: int) -> float:
         fitted = train(marked.where(F.col("fold") != i).drop("fold"), target, features, task, model, settings, scaler)
@@ -163,7 +170,10 @@ def tune(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str]
         return train(df, target, features, task, model), {}
     metric = metric or ("accuracy" if task == "classification" else "r2")
     sign = -1 if metric in SMALLER_IS_BETTER else 1
-    means = [fmean(cross_validate(df, target, features, key, task, model, o, k, metric)) for o in options]
+    if all(summed(df, features, task, model, o, "standard", metric) for o in options):
+        means = [fmean(s) for s in fold_scores(with_folds(df, target, key, k, task), target, features, k, model, options, "standard", metric)]
+    else:
+        means = [fmean(cross_validate(df, target, features, key, task, model, o, k, metric)) for o in options]
     best = options[max(range(len(options)), key=lambda i: sign * means[i])]
     return train(df, target, features, task, model, best), best
 
@@ -176,6 +186,10 @@ def learning_curve(df: DataFrame, target: str, features: Sequence[str], key: Seq
         raise ValueError("not enough data for a learning curve")
     metric = "accuracy" if task == "classification" else "r2"
     marked, lines = with_folds(df, target, key, k, task), []
+    if summed(df, features, task, model, settings, "standard", metric):
+        for fraction, fitted, held in curve_scores(marked, target, features, key, k, model, settings, fractions, metric):
+            lines.append((float(fraction), fmean(fitted), pstdev(fitted), fmean(held), pstdev(held)))
+        return small_frame(df.sparkSession, lines, CURVE_SCHEMA)
     for fraction in fractions:
         train_scores, test_scores = [], []
         for i in range(k):
@@ -184,7 +198,7 @@ def learning_curve(df: DataFrame, target: str, features: Sequence[str], key: Seq
             train_scores.append(evaluate(fitted, part).head()[metric])
             test_scores.append(evaluate(fitted, marked.where(F.col("fold") == i).drop("fold")).head()[metric])
         lines.append((float(fraction), fmean(train_scores), pstdev(train_scores), fmean(test_scores), pstdev(test_scores)))
-    return small_frame(df.sparkSession, lines, "fraction double, train_mean double, train_std double, test_mean double, test_std double")
+    return small_frame(df.sparkSession, lines, CURVE_SCHEMA)
 
 
 def score_batch(trained: Trained, table: DataFrame, recipe: Recipe | None = None, mode: str = "recompute") -> DataFrame:
