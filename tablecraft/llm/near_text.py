@@ -16,8 +16,8 @@ from tablecraft.llm.words import MASK, STEP, mix, shingles_of, word_hashes
 GOLD = np.uint64(STEP)
 #: Texts whose darts are thrown together, and their shingles.
 GROUP_TEXTS, GROUP_ITEMS = 256, 100_000
-#: Leaders of a bucket in a round after the first.
-LEADERS = 8
+#: Leaders of a bucket: one in the first round, then so many times more a round, up to the most.
+LEADERS, MOST_LEADERS = 8, 64
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, n_sets: int, k: int) -> np.ndarray:
@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
        other candidate has prove that no partner can reach the threshold (an exact bound).
     3. In each bucket the node with the most company leads; every member is compared with the leader on the whole
        multisets. Those that fail, and by the bound of 2 may still match another of them, go on under the next
-       leaders (one for each of 8 parts of the bucket), until no bucket has two members left. Work is linear in bucket rows for each round; no pairs within a bucket are
+       leaders (one for each of 8 parts of the bucket, then of 64), until no bucket has two members left. Work is linear in bucket rows for each round; no pairs within a bucket are
        listed and nothing is capped.
     4. A node that matched its leader left the bucket; one that missed it may still be linked to that node. By the
        triangle inequality only narrow misses can be, and only with some of the matches; these pairs are compared
@@ -140,34 +140,37 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = plain.join(wanted.select("doc", F.col("node").alias("wanted"), "least", "weight"), "doc")
     items = saved(_items(texts, size), "items")
 
-    candidates = items
+    candidates, rounds = items, 0
     able = saved(_able(items, items.select("node", "least"), threshold), "able")
-    rows_left = crowd.join(able, "node").select("bucket", "node", "weight")
+    rows_left = crowd.join(able.select("node", "weight"), "node").select("bucket", "node", "weight")
     size_of = rows_left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     company = rows_left.join(size_of, "bucket").groupBy("node").agg(F.sum("n").alias("company"))
     live = saved(rows_left.join(company, "node").select("bucket", "node", "weight", (F.col("company") * 1024 + F.pmod("node", F.lit(1024))).alias("rank")), "live")
     found: list[DataFrame] = []
     while True:
-        salt = F.pmod("node", F.lit(LEADERS if found else 1))
-        leaders = saved(live.groupBy("bucket", salt.alias("salt")).agg(F.max_by("node", "rank").alias("leader")).select("bucket", "leader"), "leaders")
-        members = saved(live.join(leaders, "bucket").filter("node <> leader"), "members")
-        if members.isEmpty():
-            break
-        pairs = members.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        salt = F.pmod("node", F.lit(min(LEADERS**rounds, MOST_LEADERS)))
+        leaders = live.groupBy("bucket", salt.alias("salt")).agg(F.max_by("node", "rank").alias("leader")).select("bucket", "leader")
+        met = saved(live.join(leaders, "bucket").withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}), "met")
+        pairs = met.filter("a <> b").select("a", "b").distinct()
         tested = saved(_compared(pairs, items, threshold), "tested")
+        if tested.isEmpty():
+            break
         found.append(tested)
-        known = members.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}).join(tested.select("a", "b", "alike"), ["a", "b"])
-        failed = known.groupBy("bucket", "node").agg(F.max("weight").alias("weight"), F.max("rank").alias("rank"), F.max("alike").alias("alike")).filter("NOT alike").drop("alike")
-        over = saved(failed.join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), "over")
+        settled = F.max(F.col("a") == F.col("b")) | F.coalesce(F.max("alike"), F.lit(False))
+        known = met.join(tested.select("a", "b", "alike"), ["a", "b"], "left").groupBy("bucket", "node")
+        over = saved(known.agg(F.max("weight").alias("weight"), F.max("rank").alias("rank"), settled.alias("settled")).filter("NOT settled").drop("settled"), "over")
+        if over.isEmpty():
+            break
         least = over.groupBy("bucket").agg(F.min("weight").alias("least"), F.count("*").alias("n")).filter("n > 1").select("bucket", "least")
-        lows = saved(over.join(least, "bucket").groupBy("node").agg(F.min("least").alias("least")), "lows")
-        items = saved(items.join(lows.select("node"), "node", "left_semi"), "items")
-        live = saved(over.join(_able(items, lows, threshold).select("node"), "node"), "live")
+        lows = over.join(least, "bucket").groupBy("node").agg(F.min("least").alias("least"))
+        items = saved(items.drop("least").join(lows, "node"), "items")
+        live = saved(over.join(_able(items, items.select("node", "least"), threshold).select("node"), "node"), "live")
+        rounds += 1
 
     tests = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a bigint, b bigint, weight_a bigint, weight_b bigint, alike boolean, sim double")
     edges = tests.filter("alike").select("a", "b")
     labels = components(edges)
-    passed_over = saved(_passed_over(tests, labels, threshold), "passed-over")
+    passed_over = saved(_passed_over(tests, labels, able, threshold), "passed-over")
     if not passed_over.isEmpty():
         labels = components(edges.unionByName(_compared(passed_over, candidates, threshold).filter("alike").select("a", "b")))
     named = signs.select("doc", F.when(F.col("weight") > 0, F.col("node")).alias("node")).join(labels, "node", "left")
@@ -187,31 +190,37 @@ def _compared(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame
     return pairs.join(mine, "a").join(theirs, "b").select("a", "b", "weight_a", "weight_b", judged.alias("judged")).select("a", "b", "weight_a", "weight_b", "judged.*")
 
 
-def _passed_over(tests: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+def _passed_over(tests: DataFrame, labels: DataFrame, able: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) not yet compared that may be linked and would join two components.
 
     One of them matched some leader and the other missed it. One minus the weighted Jaccard is a metric, so a link
-    needs the leader's two similarities to differ by no more than 1 - threshold.
+    needs the leader's two similarities to differ by no more than 1 - threshold. Besides, what the two share lies
+    within the leader, where each has no more than it shares with the leader, or outside it, where items that no
+    other node has do not count. Both bounds are exact.
     """
     def each_way(df: DataFrame, node: str) -> DataFrame:
-        ways = (df.select(F.col(x).alias("leader"), F.col(y).alias(node), F.col(f"weight_{y}").alias(f"{node}_weight"), F.col("sim").alias(f"{node}_sim")) for x, y in ("ab", "ba"))
-        return reduce(DataFrame.unionByName, ways).distinct()
+        inside = F.round(F.col("sim") * (F.col("weight_a") + F.col("weight_b")) / (1 + F.col("sim"))).cast("bigint").alias(f"{node}_inside")
+        ways = (df.select(F.col(x).alias("leader"), F.col(y).alias(node), F.col(f"weight_{y}").alias(f"{node}_weight"), F.col("sim").alias(f"{node}_sim"), inside) for x, y in ("ab", "ba"))
+        lefts = able.select(F.col("node").alias(node), F.col("left").alias(f"{node}_left"))
+        return reduce(DataFrame.unionByName, ways).distinct().join(lefts, node).withColumn(f"{node}_outside", F.col(f"{node}_left") - F.col(f"{node}_inside"))
 
     part_a, part_b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
     narrow = tests.filter(~F.col("alike") & (F.col("sim") >= 2 * threshold - 1 - 1e-9))
     apart = narrow.join(part_a, "a", "left").join(part_b, "b", "left").filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
     met = each_way(apart, "missed").join(each_way(tests.filter("alike"), "matched"), "leader")
     can = (F.col("matched_sim") - F.col("missed_sim") <= 1 - threshold + 1e-9) & (F.least("missed_weight", "matched_weight") >= threshold * F.greatest("missed_weight", "matched_weight"))
-    return met.filter(can).select(F.least("missed", "matched").alias("a"), F.greatest("missed", "matched").alias("b")).distinct()
+    common = F.least("missed_inside", "matched_inside") + F.least("missed_outside", "matched_outside")
+    enough = common * (1 + threshold) >= threshold * (F.col("missed_weight") + F.col("matched_weight")) - 1e-9
+    return met.filter(can & enough).select(F.least("missed", "matched").alias("a"), F.greatest("missed", "matched").alias("b")).distinct()
 
 
 def _able(items: DataFrame, lows: DataFrame, threshold: float) -> DataFrame:
-    """(node, weight) of the nodes that some other of these may still match. Items that no other node has cannot be
-    shared, so the common part is at most the rest, and the partner weighs at least that and at least ``least``."""
+    """(node, weight, left) of the nodes that some other of these may still match. Items that no other node has cannot be
+    shared, so the common part is at most the rest (``left``), and the partner weighs at least that and at least ``least``."""
     rare = items.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other").groupBy("node").agg(F.count("*").alias("own"))
     left = F.col("weight") - F.coalesce("own", F.lit(0))
     can = left >= threshold * (F.col("weight") - left + F.greatest(left, F.col("least")))
-    return items.select("node", "weight").join(lows, "node").join(rare, "node", "left").filter(can).select("node", "weight").distinct()
+    return items.select("node", "weight").join(lows, "node").join(rare, "node", "left").filter(can).select("node", "weight", left.alias("left")).distinct()
 
 
 def _items(texts: DataFrame, size: int) -> DataFrame:
