@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecraft.functions.columns import col, columns_of, kind
+from tablecraft.functions.frequent import most_frequent
 from tablecraft.functions.quantiles import exact_quantiles
 
 
@@ -154,8 +155,7 @@ def gather(df: DataFrame, needs: Needs) -> dict:
         stats.update({k: row[k] for k in needs.aggs})
     stats.update(exact_quantiles(df, needs.quantiles))
     for as_type, names in _buckets_by_type(df, needs.modes).items():
-        found = {r["column"]: r["value"] for r in top_values(df, names, as_type).collect()}
-        stats.update({f"mode:{n}": found.get(n) for n in names})
+        stats.update({f"mode:{n}": best[0][0] if best else None for n, best in most_frequent(df, names, 1, as_type).items()})
     for as_type, names in _buckets_by_type(df, needs.levels).items():
         seen = unpivot(df, names, as_type).where(F.col("value").isNotNull()).distinct()
         listed: dict[str, list] = {n: [] for n in names}

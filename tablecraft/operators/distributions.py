@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablecraft.functions.columns import as_double, col, percent, require
+from tablecraft.functions.frequent import most_frequent
 from tablecraft.functions.ordering import value_ranks
 from tablecraft.functions.quantiles import grouped_quantiles
 from tablecraft.functions.stats import to_long
@@ -172,6 +173,8 @@ def value_bars(df: DataFrame, x: str, sort: str = "freq_desc", top: int | None =
     if sort not in orders:
         raise ValueError(f"unknown sort {sort!r}")
     label = F.coalesce(col(x).cast("string"), F.lit(MISSING_LABEL)).alias("value")
+    if sort == "freq_desc" and top is not None:
+        return small_frame(df.sparkSession, most_frequent(df.select(label), ["value"], top)["value"], "value string, n bigint").orderBy(*orders[sort])
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(*orders[sort])
     return counts if top is None else counts.limit(top)
 
@@ -180,11 +183,9 @@ def pie_with_other(df: DataFrame, x: str, top: int = 10) -> DataFrame:
     """The ``top`` values and the rest summed to Other, when there is a rest."""
     require(df, x)
     label = F.coalesce(col(x).cast("string"), F.lit(MISSING_LABEL)).alias("value")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    first = counts.orderBy(F.desc("n"), "value").limit(top)
-    rest = df.agg(F.count(F.lit(1)).alias("rows")).join(first.agg(F.sum("n").alias("shown")), F.lit(True)).select(
-        F.lit("Other").alias("value"), (F.col("rows") - F.coalesce("shown", F.lit(0))).alias("n"))
-    return first.unionByName(rest.where(F.col("n") > 0))
+    shown = most_frequent(df.select(label), ["value"], top)["value"]
+    rest = df.agg((F.count(F.lit(1)) - F.lit(sum(n for _, n in shown))).cast("bigint").alias("n")).select(F.lit("Other").alias("value"), "n")
+    return small_frame(df.sparkSession, shown, "value string, n bigint").unionByName(rest.where(F.col("n") > 0))
 
 
 def shares(df: DataFrame, x: str) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablecraft.functions.columns import col, columns_of, kind, nan_to_null, percent
+from tablecraft.functions.frequent import most_frequent
 from tablecraft.functions.quantiles import exact_quantiles
 from tablecraft.functions.stats import (
-    distinct_and_top, missing, pearson, sample_skewness, to_long, top_values, value_counts,
+    distinct_and_top, missing, pearson, sample_skewness, to_long, value_counts,
 )
 from tablecraft.sources.typing import parsed_date
 from tablecraft.session import small_frame
@@ -116,8 +117,8 @@ def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None) ->
     """Most common value with its count and share of all rows; columns without values stay, empty."""
     columns = list(columns or columns_of(df, "text", "boolean"))
     rows = df.count()
-    top = top_values(df, columns)
-    found = top.select(
+    top = [(c, *best[0]) for c, best in most_frequent(df, columns, 1, "string").items() if best]
+    found = small_frame(df.sparkSession, top, "column string, value string, n bigint").select(
         "column", F.col("value").alias("most_common"), F.col("n").alias("most_common_count"),
         F.round(percent(F.col("n"), F.lit(rows)), 2).alias("most_common_percentage"),
     )

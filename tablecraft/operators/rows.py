@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tablecraft.functions.columns import col, columns_of, require
+from tablecraft.functions.frequent import most_frequent
 
 LISTED_KEYS = 2000
 
@@ -63,8 +64,7 @@ def filter_options(df: DataFrame, column: str) -> DataFrame:
 
 def top_categories(df: DataFrame, column: str, n: int) -> list:
     """The ``n`` most frequent values; equal counts go by value."""
-    counts = df.where(col(column).isNotNull()).groupBy(col(column).alias("value")).count()
-    return [r["value"] for r in counts.orderBy(F.desc("count"), "value").limit(n).collect()]
+    return [value for value, _ in most_frequent(df, [column], n)[column]]
 
 
 def keep_top(df: DataFrame, column: str, n: int) -> DataFrame:
