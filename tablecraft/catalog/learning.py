@@ -157,7 +157,13 @@ def train_pipeline(t):
     return trained.predict(test).groupBy("l_returnflag", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-@catalog.add("k41_model_round_trip")
+# Least squares of two features in closed form.
+TWO_FEATURES = """m AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_tax) AS m2, var_pop(l_quantity) AS s11, var_pop(l_tax) AS s22, covar_pop(l_quantity, l_tax) AS s12,
+  covar_pop(l_extendedprice, l_quantity) AS c1, covar_pop(l_extendedprice, l_tax) AS c2 FROM lineitem),
+  b AS (SELECT *, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) AS b1, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM m)"""
+
+
+@catalog.add("k41_model_round_trip", f"WITH {TWO_FEATURES} SELECT l_orderkey, l_linenumber, round(my + b1 * (l_quantity - m1) + b2 * (l_tax - m2), 4) AS prediction FROM lineitem, b")
 def model_round_trip(t):
     from pyspark.ml import PipelineModel
 
