@@ -141,17 +141,20 @@ def carry_fill(
     forward: bool = True,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> Column | DataFrame:
-    """Fill missing values of ``name`` with the nearest earlier (or later) one in order."""
+    """Fill missing values of ``name`` with the nearest earlier (or later) one in order.
+
+    A backward fill is a forward fill in reverse order: a frame that runs from a row to the end would be read again for every row.
+    """
     rows = df.count()
     buckets = bucket_total(rows, rows_per_bucket)
-    span = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
-    nearest = F.last if forward else F.first
+    upto = (Window.unboundedPreceding, 0)
+    sequence = sort_columns(order_by) if forward else [col(n).desc_nulls_first() for n in order_by]
 
     def filled(window) -> Column:
-        return nearest(col(name), ignorenulls=True).over(window.rowsBetween(*span))
+        return F.last(col(name), ignorenulls=True).over(window.rowsBetween(*upto))
 
     if buckets == 1:
-        window = Window.partitionBy(F.lit(0)).orderBy(*sort_columns(order_by))
+        window = Window.partitionBy(F.lit(0)).orderBy(*sequence)
         return df.select(*[filled(window).alias(c) if c == name else col(c) for c in df.columns])
 
     cut = df.withColumn(BUCKET, bucket_column(df, order_by, split_points(df, order_by, rows, buckets)))
@@ -159,11 +162,10 @@ def carry_fill(
     edge = F.max_by if forward else F.min_by
     known = F.when(col(name).isNotNull(), place)
     per_bucket = cut.groupBy(BUCKET).agg(edge(col(name), known).alias(PIECE))
-    across = Window.partitionBy(F.lit(0)).orderBy(BUCKET)
-    across = across.rowsBetween(Window.unboundedPreceding, -1) if forward else across.rowsBetween(1, Window.unboundedFollowing)
+    across = Window.partitionBy(F.lit(0)).orderBy(BUCKET if forward else F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     # at most MAX_BUCKETS rows, so this window and the broadcast stay small
-    carried = per_bucket.select(BUCKET, nearest(F.col(PIECE), ignorenulls=True).over(across).alias(PIECE))
-    window = Window.partitionBy(BUCKET).orderBy(*sort_columns(order_by))
+    carried = per_bucket.select(BUCKET, F.last(F.col(PIECE), ignorenulls=True).over(across).alias(PIECE))
+    window = Window.partitionBy(BUCKET).orderBy(*sequence)
     joined = cut.join(F.broadcast(carried), BUCKET)
     return joined.select(*[
         F.coalesce(filled(window), F.col(PIECE)).alias(c) if c == name else col(c) for c in df.columns

@@ -35,6 +35,19 @@ def test_bucketed_fill_equals_plain(skewed):
         assert same(ordering.carry_fill(skewed, "v", ["t", "id"], forward, 100), ordering.carry_fill(skewed, "v", ["t", "id"], forward))
 
 
+def test_backward_fill_reads_a_row_once(skewed):
+    rows = sorted(skewed.collect(), key=lambda r: (r["t"], r["id"]), reverse=True)
+    wanted, last = {}, None
+    for r in rows:
+        last = r["v"] if r["v"] is not None else last
+        wanted[r["id"]] = last
+    for size in (100, 10 ** 6):
+        got = ordering.carry_fill(skewed, "v", ["t", "id"], False, size)
+        assert {r["id"]: r["v"] for r in got.collect()} == wanted
+        # a frame to the end of the partition is read again for every row
+        assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_bucketed_running_sums(skewed):
     for keys in ((), ("g",)):
         assert same(ordering.value_ranks(skewed, "v", keys, rows_per_bucket=20), ordering.value_ranks(skewed, "v", keys))
