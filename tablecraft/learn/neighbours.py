@@ -2,9 +2,10 @@
 
 Training rows are assigned to the nearest of a bounded set of pivots. For a query row the
 pivot distances and cell radii bound the distance of its k-th neighbour, so only cells that
-can hold a nearer row are visited (triangle inequality: nothing is lost). A cell with many
-rows is split into blocks of bounded size, as are its queries. Each task compares one block
-with one chunk of queries and passes on k candidates per query.
+can hold a nearer row are visited (triangle inequality: nothing is lost). Small cells share a
+page, so that a query that reaches many cells is sent to few pages; a page with many rows is
+split into blocks of bounded size, as are its queries. Each task compares one block with one
+chunk of queries and passes on k candidates per query.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from tablecraft.session import scratch_path
 MAX_PIVOTS = 512
 BLOCK_ROWS = 20_000
 QUERY_CHUNK = 20_000
+#: A task compares so many pairs at a time.
+PAIRS = 4_000_000
 
 
 class _Shared(Params):
@@ -79,6 +82,27 @@ class NearestNeighboursModel(Model, _Shared, DefaultParamsReadable, DefaultParam
         return dataset.withColumn("__query", vector_to_array("features")).join(found, "__query", "left").drop("__query")
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+
+
+def _closest(a: np.ndarray, b: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the row of ``a``, from ``first`` on, row of ``b``, distance to 12 digits) of the k nearest, earlier rows of ``b`` first."""
+    squares = _squares(a, b)
+    squares = np.where(np.isnan(squares), np.inf, np.maximum(squares, 0.0, out=squares)) if np.isnan(squares).any() else np.maximum(squares, 0.0, out=squares)
+    if k < len(b):
+        # rounded distances are equal within 1e-12, so a little more than the k-th distance is let through
+        limit = (np.sqrt(np.partition(squares, k - 1, axis=1)[:, k - 1:k]) + 2e-12) ** 2 * (1 + 1e-12)
+        row, to = np.nonzero(squares <= limit)
+    else:
+        row, to = (x.ravel() for x in np.indices(squares.shape))
+    d = np.round(np.sqrt(squares[row, to]), 12)
+    order = np.lexsort((to, d, row))
+    row, to, d = row[order], to[order], d[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept] + first, to[kept], d[kept]
+
+
 def nearest(train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, query_chunk: int = QUERY_CHUNK) -> DataFrame:
     """(q, distance, label, n): the k nearest training rows of every distinct query vector.
 
@@ -96,8 +120,7 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOC
     shared = spark.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors
 
     def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-        return np.sqrt(np.maximum(squared, 0.0))
+        return np.sqrt(np.maximum(_squares(a, b), 0.0))
 
     @F.pandas_udf("cell int, away double")
     def cell_of(v: pd.Series) -> pd.DataFrame:
@@ -112,6 +135,15 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOC
     counts = np.array([sizes[c][0] for c in cells])
     radius = np.array([sizes[c][1] for c in cells])
 
+    pages, filled = [], block_rows  # neighbouring cells fill a page one after the other
+    for c in cells:
+        if not pages or filled + sizes[c][2] > block_rows:
+            pages.append([])
+            filled = 0
+        pages[-1].append(int(c))
+        filled += sizes[c][2]
+    page_of = np.array([i for i, page in enumerate(pages) for _ in page], dtype="int32")
+
     @F.pandas_udf("array<int>")
     def reachable(q: pd.Series) -> pd.Series:
         d = distances(np.array(q.tolist(), dtype=float), shared.value[cells])
@@ -120,34 +152,32 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOC
         enough = (counts[order].cumsum(1) >= k).argmax(1)
         line = np.arange(len(d))
         limit = far[line, order[line, enough]] * (1 + 1e-9) + 1e-9
-        return pd.Series([cells[c <= m].tolist() for c, m in zip(close, limit)])
+        return pd.Series([np.unique(page_of[c <= m]).tolist() for c, m in zip(close, limit)])
 
-    blocks = {int(c): max(1, -(-int(sizes[c][2]) // block_rows)) for c in cells}
+    blocks = {i: max(1, -(-sum(sizes[c][2] for c in page) // block_rows)) for i, page in enumerate(pages)}
+    page_map = F.create_map(*[F.lit(x) for i, page in enumerate(pages) for c in page for x in (c, i)])
     block_map = F.create_map(*[F.lit(x) for item in blocks.items() for x in item])
-    searches = queries.select("q", F.explode(reachable("q")).alias("cell"))
-    asked = {r["cell"]: r["count"] for r in searches.groupBy("cell").count().collect()}
-    chunk_map = F.create_map(*[F.lit(x) for c in blocks for x in (c, max(1, -(-asked.get(c, 0) // query_chunk)))])
-    chunks = chunk_map[F.col("cell")]
+    searches = queries.select("q", F.explode(reachable("q")).alias("page"))
+    asked = {r["page"]: r["count"] for r in searches.groupBy("page").count().collect()}
+    chunk_map = F.create_map(*[F.lit(x) for i in blocks for x in (i, max(1, -(-asked.get(i, 0) // query_chunk)))])
+    chunks = chunk_map[F.col("page")]
     left = searches.withColumn("chunk", F.pmod(F.xxhash64("q"), chunks).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), block_map[F.col("cell")] - 1)))
-    right = placed.withColumn("block", F.pmod(F.col("h"), block_map[F.col("cell")]).cast("int")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("cell", "block", "chunk", "h", "v", "label", "n")
+        "block", F.explode(F.sequence(F.lit(0), block_map[F.col("page")] - 1)))
+    paged = placed.withColumn("page", page_map[F.col("cell")])
+    right = paged.withColumn("block", F.pmod(F.col("h"), block_map[F.col("page")]).cast("int")).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("page", "block", "chunk", "h", "v", "label", "n")
 
     def compare(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"q": [], "distance": [], "label": [], "h": [], "n": []})
-        vectors, h = np.array(t["v"].tolist(), dtype=float), t["h"].to_numpy()
-        label, n = t["label"].to_numpy(), t["n"].to_numpy()
-        out = []
-        for start in range(0, len(q), 512):
-            part = q["q"].iloc[start:start + 512]
-            d = np.round(distances(np.array(part.tolist(), dtype=float), vectors), 12)
-            for i, vector in enumerate(part):
-                best = np.lexsort((h, d[i]))[:k]
-                out.append(pd.DataFrame({"q": [vector] * len(best), "distance": d[i][best], "label": label[best], "h": h[best], "n": n[best]}))
-        return pd.concat(out)
-
-    grouping = ["cell", "block", "chunk"]
+        t = t.sort_values("h", kind="stable")  # of rows equally far, the first are those with the smallest h
+        vectors, asked_for = np.array(t["v"].tolist(), dtype=float), q["q"].to_numpy()
+        size = max(1, PAIRS // len(t))
+        found = [_closest(np.array(asked_for[i:i + size].tolist(), dtype=float), vectors, k, i) for i in range(0, len(q), size)]
+        at, to, d = (np.concatenate(part) for part in zip(*found))
+        return pd.DataFrame({"q": asked_for[at], "distance": d, "label": t["label"].to_numpy()[to], "h": t["h"].to_numpy()[to], "n": t["n"].to_numpy()[to]})
+
+    grouping = ["page", "block", "chunk"]
     found = left.groupBy(*grouping).cogroup(right.groupBy(*grouping)).applyInPandas(
         compare, "q array<double>, distance double, label double, h bigint, n bigint")
     nearer = Window.partitionBy("q").orderBy("distance", "h").rowsBetween(Window.unboundedPreceding, -1)
