@@ -16,6 +16,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
+from tablecraft.session import dealt
+
 KERNELS = ("rbf", "linear")
 #: A sigmoid is fitted on margins of each of so many folds, from machines that were fitted without it.
 PLATT_FOLDS = 2
@@ -101,11 +103,12 @@ def scale_gamma(dataset: DataFrame) -> float:
 
 
 def _sigmoid(margins: DataFrame) -> tuple[float, float]:
-    """Slope and shift of Platt's sigmoid over (margin, hit), with his smoothed targets."""
-    n = margins.agg(F.count_if(F.col("hit") == 1).alias("pos"), F.count_if(F.col("hit") == 0).alias("neg")).head()
-    high, low = (n["pos"] + 1) / (n["pos"] + 2), 1 / (n["neg"] + 2)
-    target = F.when(F.col("hit") == 1, high).otherwise(low)
-    both = margins.select(F.array("margin").alias("m"), F.inline(F.array(F.struct(F.lit(1.0).alias("hit"), target.alias("w")), F.struct(F.lit(0.0).alias("hit"), (1 - target).alias("w")))))
+    """Slope and shift of Platt's sigmoid over (margin, hit, n equal rows), with his smoothed targets."""
+    hit, n = F.col("hit") == 1, F.col("n")
+    rows = margins.agg(F.coalesce(F.sum(F.when(hit, n)), F.lit(0)).alias("pos"), F.coalesce(F.sum(F.when(~hit, n)), F.lit(0)).alias("neg")).head()
+    high, low = (rows["pos"] + 1) / (rows["pos"] + 2), 1 / (rows["neg"] + 2)
+    target = F.when(hit, high).otherwise(low)
+    both = margins.select(F.array("margin").alias("m"), F.inline(F.array(F.struct(F.lit(1.0).alias("hit"), (n * target).alias("w")), F.struct(F.lit(0.0).alias("hit"), (n * (1 - target)).alias("w")))))
     fitted = C.LogisticRegression(featuresCol="v", labelCol="hit", weightCol="w", maxIter=50).fit(both.select(array_to_vector("m").alias("v"), "hit", "w"))
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
@@ -114,29 +117,41 @@ def support_vectors(dataset: DataFrame, classes: int, weight: str | None, C_: fl
     """A fitted machine: one linear SVM for two classes, else one per class against the rest.
 
     The sigmoids are fitted on margins of rows that the machine did not see: ``PLATT_FOLDS`` further fits per machine.
+    With a kernel the given features are kept, equal rows once with their sum of weights, and mapped in the passes that need
+    them: a mapped row takes ``components`` numbers, and the solver keeps those of one fit.
     """
     if kernel not in KERNELS:
         raise ValueError(f"unknown kernel {kernel!r}")
-    stages, source, data = [], "features", dataset
-    if kernel == "rbf":
-        width = scale_gamma(dataset) if gamma == "scale" else float(gamma)
-        stages.append(FourierFeatures(gamma=width, count=components, seed=seed))
-        source, data = "__kernel", stages[0].transform(dataset)
-    fold = F.pmod(F.xxhash64(vector_to_array("features"), F.lit(seed)), F.lit(PLATT_FOLDS))
-    data = data.select(F.col(source).alias("x"), "label", (F.col(weight) if weight else F.lit(1.0)).alias("w"), fold.alias("fold")).persist()
-    machines = []
+    stages, source = [], "features"
+    vector, w = vector_to_array("features"), F.col(weight) if weight else F.lit(1.0)
+    fold = F.pmod(F.xxhash64(vector, F.lit(seed)), F.lit(PLATT_FOLDS))
+    kept = []
     try:
+        if kernel == "rbf":
+            width = scale_gamma(dataset) if gamma == "scale" else float(gamma)
+            stages.append(FourierFeatures(gamma=width, count=components, seed=seed))
+            source = "__kernel"
+            alike = dataset.groupBy(vector.alias("v"), "label").agg(F.sum(w).alias("w"), F.count(F.lit(1)).alias("n")).persist()
+            kept.append(alike)
+            spread = dealt(alike, alike.count(), 8 * components, "v", "label").select(array_to_vector("v").alias("features"), "label", "w", "n").persist()
+            kept.append(spread)
+            data = stages[0].transform(spread.withColumn("fold", fold)).withColumnRenamed("__kernel", "x")
+        else:
+            data = dataset.select(F.col("features").alias("x"), "label", w.alias("w"), F.lit(1).alias("n"), fold.alias("fold")).persist()
+            kept.append(data)
+        machines = []
         for k in range(classes) if classes > 2 else [1]:
             hit = data.withColumn("hit", (F.col("label") == k).cast("double"))
             maker = C.LinearSVC(featuresCol="x", labelCol="hit", weightCol="w", regParam=1.0 / (C_ * rows), standardization=False, maxIter=max_iter)
             held = None
             for part in range(PLATT_FOLDS):
                 one = maker.fit(hit.where(F.col("fold") != part)).transform(hit.where(F.col("fold") == part))
-                one = one.select(vector_to_array("rawPrediction")[1].alias("margin"), "hit")
+                one = one.select(vector_to_array("rawPrediction")[1].alias("margin"), "hit", "n")
                 held = one if held is None else held.unionByName(one)
             slope, shift = _sigmoid(held)
             fitted = maker.fit(hit)
             machines.append({"w": fitted.coefficients.toArray().tolist(), "b": fitted.intercept, "slope": slope, "shift": shift})
     finally:
-        data.unpersist()
+        for frame in kept:
+            frame.unpersist()
     return PipelineModel([*stages, Margins(machines=json.dumps(machines), source=source)])

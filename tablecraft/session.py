@@ -10,6 +10,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+TASK_BYTES = 128 * 2**20
 ARROW = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
 
 
@@ -40,6 +41,11 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, rows: int, row_bytes: int, *keys: str) -> DataFrame:
+    """Rows dealt by a hash of ``keys`` over tasks of some 128 MB, over all cores at least."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows * row_bytes // TASK_BYTES)), *keys)
+
+
 def small_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
     """A frame of a few driver-side rows; it becomes a local relation, which needs no job."""
     fields = [f.strip().split(" ") for f in schema.split(",")]

@@ -93,3 +93,23 @@ def test_density_reads_each_row_once_into_few_cells(spark):
     df = spark.range(50_000).select((F.sin(F.col("id").cast("double")) * 100).alias("v"))
     plan = distributions.density(df, "v")._jdf.queryExecution().executedPlan().toString()
     assert "__cell" in plan and distributions.density(df, "v").count() == 200
+
+
+def test_equal_rows_of_a_kernel_machine_are_mapped_once(spark, monkeypatch):
+    data = ring(spark, 60).select(array_to_vector(F.array("x", "y")).alias("features"), (F.col("kind") == "ring1").cast("double").alias("label"))
+    seen = []
+    made = margins.FourierFeatures._transform
+
+    def counted(self, dataset):
+        seen.append(dataset.count())
+        return made(self, dataset)
+
+    monkeypatch.setattr(margins.FourierFeatures, "_transform", counted)
+    fits = []
+    for copies in (1, 20):
+        rows = data.crossJoin(spark.range(copies)).drop("id")
+        fits.append(margins.support_vectors(rows, 2, None, 1.0, 60, 30, "rbf", 0.5, 32, 1))
+    assert seen == [60, 60]
+    # copies weigh alike, so machine and margins stay what they were
+    one, many = ([r.m for r in f.transform(data).select(F.col("rawPrediction")[1].alias("m")).collect()] for f in fits)
+    assert np.mean(np.sign(one) == np.sign(many)) > 0.98
