@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import SparkContext, keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml import regression as R
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablecraft.session import freeze
+from tablecraft.session import dealt, freeze
 
 #: Least curvature of a row, so that sure rows do not get huge steps.
 CURVE = 1e-3
+#: A row's score state takes about so many bytes beside its features; trees of so many classes grow at the same time.
+STATE_BYTES, TOGETHER = 256, 4
 
 
 def softmax(scores: Column) -> Column:
@@ -50,25 +54,34 @@ def log_loss(df: DataFrame, label: str = "label", probability: str = "probabilit
 
 def boosted_classes(dataset: DataFrame, classes: int, weight: str | None, rate: float, rounds: int, tree: dict) -> PipelineModel:
     """``rounds`` of ``classes`` trees. A tree is fitted to gradient over curvature, weighted by curvature, so that a leaf's value is
-    the Newton step of its rows: sum of gradients by sum of curvatures. Scores are checkpointed once a round.
+    the Newton step of its rows: sum of gradients by sum of curvatures. Scores are checkpointed once a round. Equal rows of
+    a class have equal scores in every round, so they are one row with their sum of weights; the trees of a round grow together.
     """
     names = [f"__score{k}" for k in range(classes)]
     w = F.col(weight) if weight else F.lit(1.0)
     sums = {r["label"]: r["n"] for r in dataset.groupBy("label").agg(F.sum(w).alias("n")).collect()}
     total = sum(sums.values())
     starts = [float(math.log(max(sums.get(float(k), 0.0), 1e-9) / total)) for k in range(classes)]
-    state = freeze(dataset.select("features", F.col("label").cast("int").alias("label"), w.cast("double").alias("w"), F.array(*[F.lit(s) for s in starts]).alias("scores")))
+    alike = freeze(dataset.groupBy(vector_to_array("features").alias("v"), F.col("label").cast("int").alias("label")).agg(F.sum(w.cast("double")).alias("w")))
+    width = len((alike.select("v").head() or [[]])[0])
+    state = freeze(dealt(alike, alike.count(), STATE_BYTES + 8 * width, "v", "label").select(
+        array_to_vector("v").alias("features"), "label", "w", F.array(*[F.lit(s) for s in starts]).alias("scores")))
     grown: list[list] = [[] for _ in names]
     for _ in range(rounds):
         judged = state.withColumn("p", softmax(F.col("scores")))
-        moved, steps = judged, []
-        for k in range(classes):
+
+        def grow(k: int) -> R.DecisionTreeRegressionModel:
             p = F.col("p")[k]
             curve = F.greatest(p * (1 - p), F.lit(CURVE))
             aim = judged.select("features", (((F.col("label") == k).cast("double") - p) / curve).alias("aim"), (F.col("w") * curve).alias("cw"))
-            fitted = R.DecisionTreeRegressor(labelCol="aim", weightCol="cw", predictionCol=f"__step{k}", **tree).fit(aim)
-            grown[k].append(fitted)
-            moved = fitted.transform(moved)
+            return R.DecisionTreeRegressor(labelCol="aim", weightCol="cw", predictionCol=f"__step{k}", **tree).fit(aim)
+
+        with ThreadPoolExecutor(min(classes, TOGETHER)) as pool:
+            fitted = list(pool.map(grow, range(classes)))
+        moved, steps = judged, []
+        for k, one in enumerate(fitted):
+            grown[k].append(one)
+            moved = one.transform(moved)
             steps.append((F.col("scores")[k] + F.lit(rate) * F.col(f"__step{k}")).alias(f"s{k}"))
         state = freeze(moved.select("features", "label", "w", F.array(*steps).alias("scores")))
     return PipelineModel([*[_summed(trees, rate, name) for trees, name in zip(grown, names)], Softmax(scores=names, starts=starts)])

@@ -113,3 +113,13 @@ def test_equal_rows_of_a_kernel_machine_are_mapped_once(spark, monkeypatch):
     # copies weigh alike, so machine and margins stay what they were
     one, many = ([r.m for r in f.transform(data).select(F.col("rawPrediction")[1].alias("m")).collect()] for f in fits)
     assert np.mean(np.sign(one) == np.sign(many)) > 0.98
+
+
+def test_equal_rows_of_a_boosted_class_are_one_row(spark, monkeypatch):
+    data = ring(spark, 90, 3).select(array_to_vector(F.array("x", "y")).alias("features"), F.substring("kind", 5, 1).cast("double").alias("label"))
+    sizes, freeze = [], boosting.freeze
+    monkeypatch.setattr(boosting, "freeze", lambda df: sizes.append(freeze(df).count()) or freeze(df))
+    one, many = (boosting.boosted_classes(data.crossJoin(spark.range(n)).drop("id"), 3, None, 0.3, 2, {"maxDepth": 3, "seed": 1}) for n in (1, 10))
+    assert set(sizes) == {90}
+    a, b = ([r.p for r in f.transform(data).select(F.col("probability")[0].alias("p")).collect()] for f in (one, many))
+    assert a == pytest.approx(b, abs=1e-6)
