@@ -9,6 +9,8 @@ is one small row per bucket.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -19,7 +21,8 @@ from tablecraft.session import freeze, small_frame
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 48
-FAN = 64
+#: Types whose values JSON keeps as they are.
+PLAIN = (T.IntegerType, T.LongType, T.DoubleType, T.StringType)
 BUCKET, HALO, PIECE = "__bucket", "__halo", "__piece"
 
 
@@ -60,28 +63,30 @@ def _names(order_by: Sequence[str]) -> list[str]:
 
 
 def bucket_column(df: DataFrame, order_by: Sequence[str], splits: list) -> Column:
-    """Number of split points at or below the row's order tuple (two-level search)."""
+    """Number of split points at or below the row's order tuple, by halving; the tuple is made once a row."""
     if not splits:
         return F.lit(0)
     fields = order_fields(df, order_by)
     types = df.select(*fields).schema
-    here = F.struct(*fields)
 
     def point(row) -> Column:
         return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in types.fields])
 
-    def at_or_below(points: Column) -> Column:
-        return F.size(F.filter(points, lambda p: p <= here))
-
-    chunks = [splits[i:i + FAN] for i in range(0, len(splits), FAN)]
-    if len(chunks) == 1:
-        return at_or_below(F.array(*[point(r) for r in splits]))
-    heads = F.array(*[point(c[0]) for c in chunks])
-    table = F.array(*[F.array(*[point(r) for r in c]) for c in chunks])
-    level = at_or_below(heads)
-    return F.when(level == 0, 0).otherwise(
-        (level - 1) * FAN + at_or_below(F.element_at(table, F.greatest(level, F.lit(1))))
-    )
+    if all(isinstance(f.dataType, PLAIN) for f in types.fields) and all(map(math.isfinite, (v for r in splits for v in r if isinstance(v, float)))):
+        # one literal for thousands of points, which are slow to make one by one
+        points = F.from_json(F.lit(json.dumps([{f.name: r[f.name] for f in types.fields} for r in splits])), T.ArrayType(types))
+    else:
+        points = F.array(*[point(r) for r in splits])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(splits).bit_length()))])
+
+    def search(here: Column) -> Column:
+        def further(at, step):
+            # beyond the last point there is nothing, and a comparison with nothing is not true
+            return F.when(F.get(points, at + step - 1) <= here, at + step).otherwise(at)
+
+        return F.aggregate(steps, F.lit(0), further)
+
+    return F.get(F.transform(F.array(F.struct(*fields)), search), F.lit(0))
 
 
 def over_sorted(

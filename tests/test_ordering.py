@@ -130,3 +130,22 @@ def test_split_of_tiny_classes(spark):
     marked = split.prepare_split(df, "y", ["id"], test_size=0.2)
     assert {(r["y"], r["is_test"]): r["count"] for r in marked.groupBy("y", "is_test").count().collect()} == {
         ("a", False): 2, ("b", False): 8, ("b", True): 2}
+
+
+def test_bucket_numbers_are_found_by_halving(spark):
+    from bisect import bisect_right
+
+    from tablecraft.functions.ordering import bucket_column, split_points
+
+    df = spark.range(20_000).selectExpr("IF(id % 9 = 0, NULL, CONCAT('k\"', id % 7)) AS k", "IF(id % 11 = 0, NULL, CAST(xxhash64(id) AS DOUBLE)) AS x", "id")
+    splits = split_points(df, ["k", "x", "id"], 20_000, 300)
+    assert len(splits) > 200
+    numbered = df.withColumn("b", bucket_column(df, ["k", "x", "id"], splits))
+
+    def place(k, x, i):
+        return (k is None, k or "", x is None, x or 0.0, False, i)
+
+    points = [place(r["v0"], r["v1"], r["v2"]) for r in splits]
+    assert all(r["b"] == bisect_right(points, place(r["k"], r["x"], r["id"])) for r in numbered.collect())
+    # every point is not compared with every row
+    assert "filter(" not in numbered._jdf.queryExecution().optimizedPlan().toString()
