@@ -11,6 +11,8 @@ from tablecraft.functions.columns import col
 SPACE = 1 << 52
 PREFILTER_ROWS = 10_000_000
 PLAIN_CUTS = 64
+#: Bins counted in one pass over all brackets; so many rows of a bracket may be ranked.
+BINS, NEAR_ROWS = 65_536, 50_000
 
 
 def row_hash(key: Sequence[str], seed: int) -> Column:
@@ -40,7 +42,8 @@ def rank_cuts(
 
     ``wanted`` lists equally many ranks for every class. Hashes are uniform, so a narrow
     bracket around each rank is known beforehand; one pass counts what lies below it and
-    only the rows in it are ranked. A bracket that missed is widened.
+    only the rows in it are ranked. Where it missed (rows already chosen by the same hash are not
+    uniform) passes that count bins close in on the rank, so that never many rows are ranked.
     """
     base = df.select(
         (col(label) if label else F.lit(0)).alias("__class"), row_hash(key, seed).alias("__h"),
@@ -50,31 +53,64 @@ def rank_cuts(
     width = max((len(ranks) for ranks in wanted.values()), default=0)
     todo = {(c, j) for c, ranks in wanted.items() for j, r in enumerate(ranks) if 0 < r <= sizes[c]}
     found: dict = {}
-    spread = 8.0
+    brackets: dict = {}
+    for c, ranks in wanted.items():
+        n = max(1, sizes[c])
+        slack = (8 * n ** 0.5 + 16) / n
+        for j, r in enumerate(ranks):
+            brackets[(c, j)] = (int(max(0.0, r / n - slack) * SPACE), int(min(1.0, r / n + slack) * SPACE))
+    below = {r["__class"]: r["b"] for r in base.groupBy("__class").agg(
+        F.array(*[F.count_if(F.col("__h") < _bounds(wanted, brackets, todo, 0)[j]) for j in range(width)]).alias("b")).collect()} if todo else {}
+    skipped = {(c, j): below[c][j] for c, j in todo if c in below}
     while todo:
-        brackets: dict = {}
-        for c, ranks in wanted.items():
-            n = max(1, sizes[c])
-            slack = (spread * n ** 0.5 + 16) / n
-            brackets[c] = [
-                (int(max(0.0, r / n - slack) * SPACE), int(min(1.0, r / n + slack) * SPACE)) if (c, j) in todo else (-1, -1)
-                for j, r in enumerate(ranks)
-            ]
-        # a class gives a few numbers, so both tables stay small
-        lows, highs = (_by_class({c: [b[i] for b in bs] for c, bs in brackets.items()}) for i in (0, 1))
-        below = {r["__class"]: r["b"] for r in base.groupBy("__class").agg(
-            F.array(*[F.count_if(F.col("__h") < lows[j]) for j in range(width)]).alias("b")).collect()}
-        at = _by_class({c: [ranks[j] - below[c][j] for j in range(width)] for c, ranks in wanted.items() if c in below})
-        hits = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.col("__h").between(F.get(lows, j), F.get(highs, j)))
-        near = base.select("*", F.explode(hits).alias("__j"))
+        # a class gives a few numbers, so these tables stay small
+        at = _by_class({c: [ranks[j] - skipped.get((c, j), 0) for j in range(width)] for c, ranks in wanted.items()})
+        near = _hits(base, wanted, brackets, todo, width)
         rank = F.row_number().over(Window.partitionBy("__class", "__j").orderBy(*order))
         for row in near.withColumn("__r", rank).where(F.col("__r") == F.get(at, F.col("__j"))).collect():
             found[(row["__class"], row["__j"])] = [row[o] for o in order]
         todo -= set(found)
-        spread *= 16
+        if todo:
+            brackets, skipped = _closed_in(base, wanted, sizes, todo, width)
     return {c: [found.get((c, j)) for j in range(len(ranks))] for c, ranks in wanted.items()}
 
 
+def _bounds(wanted, brackets, todo, side: int) -> Column:
+    """For the row's class, the lower or upper ends of its brackets; -1 where nothing is asked."""
+    return _by_class({c: [brackets[(c, j)][side] if (c, j) in todo else -1 for j in range(len(ranks))] for c, ranks in wanted.items()})
+
+
+def _hits(base: DataFrame, wanted, brackets, todo, width: int) -> DataFrame:
+    """Each row once for every bracket ``__j`` of its class that it lies in."""
+    lows, highs = (_bounds(wanted, brackets, todo, side) for side in (0, 1))
+    hits = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.col("__h").between(F.get(lows, j), F.get(highs, j)))
+    return base.select("*", F.explode(hits).alias("__j"))
+
+
+def _closed_in(base: DataFrame, wanted, sizes, todo, width: int) -> tuple[dict, dict]:
+    """Brackets that hold the ranks and few rows (or one hash), and how many rows of the class lie before each."""
+    bins = max(16, BINS // len(todo))
+    brackets, skipped = {k: (0, SPACE - 1) for k in todo}, dict.fromkeys(todo, 0)
+    wide = {k for k in todo if sizes[k[0]] > NEAR_ROWS}
+    while wide:
+        steps = {k: -(-(hi - lo + 1) // bins) for k, (lo, hi) in brackets.items()}
+        step = F.get(_by_class({c: [steps.get((c, j), 1) for j in range(width)] for c in wanted}), F.col("__j"))
+        low = F.get(_bounds(wanted, brackets, wide, 0), F.col("__j"))
+        start = (F.col("__h") - F.pmod(F.col("__h") - low, step)).alias("start")
+        counted: dict = {}
+        for r in _hits(base, wanted, brackets, wide, width).groupBy("__class", "__j", start).count().collect():
+            counted.setdefault((r["__class"], r["__j"]), []).append((r["start"], r["count"]))
+        for c, j in list(wide):
+            for at, n in sorted(counted[(c, j)]):
+                if skipped[(c, j)] + n >= wanted[c][j]:
+                    break
+                skipped[(c, j)] += n
+            brackets[(c, j)] = (at, at + steps[(c, j)] - 1)
+            if n <= NEAR_ROWS or steps[(c, j)] == 1:
+                wide.remove((c, j))
+    return brackets, skipped
+
+
 def _by_class(values: Mapping[object, Sequence[int]]) -> Column:
     """The row's class turned into its list of numbers."""
     items = [part for c, numbers in values.items() for part in (F.lit(c), F.array(*[F.lit(v).cast("bigint") for v in numbers]))]

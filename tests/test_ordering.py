@@ -149,3 +149,20 @@ def test_bucket_numbers_are_found_by_halving(spark):
     assert all(r["b"] == bisect_right(points, place(r["k"], r["x"], r["id"])) for r in numbered.collect())
     # every point is not compared with every row
     assert "filter(" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cuts_of_rows_chosen_by_the_same_hash_rank_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "NEAR_ROWS", 200)
+    df = spark.range(30_000).select(F.col("id").alias("k"), (F.col("id") % 2).cast("string").alias("g"))
+    hashed = df.select("k", "g", sampling.row_hash(["k"], 42).alias("h"))
+    cut = hashed.approxQuantile("h", [0.2], 0)[0]
+    left = hashed.where(F.col("h") > cut)
+    rows = sorted((r["h"], r["k"], r["g"]) for r in left.collect())
+    mine = {g: [r[:2] for r in rows if r[2] == g] for g in "01"}
+    ranks = {g: [1, len(m) // 10, len(m) // 2] for g, m in mine.items()}
+    ranked = []
+    plain = sampling._hits
+    monkeypatch.setattr(sampling, "_hits", lambda base, wanted, brackets, *rest: ranked.append(max(hi - lo for lo, hi in brackets.values())) or plain(base, wanted, brackets, *rest))
+    found = sampling.rank_cuts(left, ["k"], 42, ranks, {g: len(m) for g, m in mine.items()}, "g")
+    assert {g: [tuple(c) for c in cuts] for g, cuts in found.items()} == {g: [m[r - 1] for r in ranks[g]] for g, m in mine.items()}
+    assert ranked[-1] < sampling.SPACE // 50
