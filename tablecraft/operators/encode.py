@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablecraft.functions.columns import col, literal, require
 from tablecraft.functions.stats import Needs, gather
+from tablecraft.session import looked_up
 
 ONE_HOT_CAP = 1000
 
@@ -54,7 +55,7 @@ def label_mapping(df: DataFrame, column: str) -> DataFrame:
 def label_encode(df: DataFrame, column: str, mapping: Mapping | DataFrame | None = None) -> DataFrame:
     """``<c>_encoded`` by sorted order or a given mapping; unseen and missing become NULL.
 
-    The join is left to adaptive execution, which broadcasts the mapping when it turns out small.
+    A mapping of few values goes to every task, so that no task reads all rows of a frequent value.
     """
     require(df, column)
     if mapping is None:
@@ -66,7 +67,7 @@ def label_encode(df: DataFrame, column: str, mapping: Mapping | DataFrame | None
             rule = F.when(col(column) == literal(value, dtype), F.lit(code).cast("bigint")).otherwise(rule)
         return df.withColumn(f"{column}_encoded", rule)
     codes = mapping.select(F.col("value").alias(column), F.col("code").alias(f"{column}_encoded"))
-    return df.join(codes, column, "left").select(*[col(c) for c in df.columns], col(f"{column}_encoded"))
+    return looked_up(df, codes, column).select(*[col(c) for c in df.columns], col(f"{column}_encoded"))
 
 
 def label_tables(df: DataFrame, column: str, mapping: Mapping | None = None) -> dict[str, DataFrame]:

@@ -8,9 +8,11 @@ import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TASK_BYTES = 128 * 2**20
+#: A table of at most so many keys goes to every task.
+FEW_KEYS = 10_000
 ARROW = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
 
 
@@ -46,6 +48,14 @@ def dealt(df: DataFrame, rows: int, row_bytes: int, *keys: str) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows * row_bytes // TASK_BYTES)), *keys)
 
 
+def looked_up(df: DataFrame, table: DataFrame, keys: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table of one row per key. One of few keys is counted, kept and sent to every task, so that rows of a frequent
+    key are not gathered in one; one of many is joined by a shuffle, where adaptive execution splits frequent keys.
+    """
+    kept = freeze(table)
+    return df.join(F.broadcast(kept) if kept.count() <= FEW_KEYS else kept, keys, how)
+
+
 def small_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
     """A frame of a few driver-side rows; it becomes a local relation, which needs no job."""
     fields = [f.strip().split(" ") for f in schema.split(",")]
