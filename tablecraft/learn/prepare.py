@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablecraft.functions.columns import col, columns_of
 from tablecraft.functions.quantiles import exact_quantiles
 from tablecraft.functions.stats import value_counts
-from tablecraft.session import scratch_path
+from tablecraft.session import freeze, scratch_path
 
 # Scaler names, width of a one-hot block, name of the block's rare column.
 SCALERS = ("standard", "robust", "minmax", "power")
@@ -25,6 +25,8 @@ RARE = "__infrequent__"
 #: Rare values up to so many are kept within the model, more of them as a table in the shared folder.
 KNOWN_VALUES = 10_000
 LAMBDA_GRID, LAMBDA_ROUNDS, LAMBDA_REACH = 21, 5, 4.0
+#: Bins of the logarithm of a column, powers summed in each, and the most that a bin's width times a lambda may be.
+LAMBDA_BINS, POWERS, NARROW = 4096, 10, 0.25
 
 
 def yeo_johnson(x: Column, lam: float) -> Column:
@@ -159,7 +161,9 @@ def _fit_numeric(df: DataFrame, columns: Sequence[str], scaler: str) -> list[dic
 def _best_lambdas(df: DataFrame, columns: dict[str, Column]) -> dict[str, float]:
     """Likelihood of a grid of lambdas, one aggregate per round, the grid closing in on the best.
 
-    While the best is an edge of the grid, the grid moves there and doubles; it ends, as far out powers overflow.
+    While the best is an edge of the grid, the grid moves there and doubles; it ends, as far out powers overflow. The rows are
+    read once: with u = log(1 + |x|) the transform is an exponential of u, whose mean and spread within a narrow bin of u
+    follow to rounding from the sums of powers of its distances to the bin's middle. Rounds read the bins.
     """
     if not columns:
         return {}
@@ -167,23 +171,24 @@ def _best_lambdas(df: DataFrame, columns: dict[str, Column]) -> dict[str, float]
     reach, left, inner = [LAMBDA_REACH] * len(names), [LAMBDA_ROUNDS] * len(names), [False] * len(names)
     weight = df.agg(*[
         e.alias(f"{t}{i}") for i, x in enumerate(columns.values())
-        for t, e in (("n", F.count(x)), ("g", F.sum(F.signum(x) * F.log1p(F.abs(x)))))
+        for t, e in (("n", F.count(x)), ("g", F.sum(F.signum(x) * F.log1p(F.abs(x)))), ("a", F.max(F.log1p(F.abs(x)))))
     ]).head()
     middle = [1.0] * len(names)
     cells = F.array(*[F.struct(F.lit(i).alias("idx"), x.alias("x")) for i, x in enumerate(columns.values())])
     long = df.select(F.inline(cells)).where(F.col("x").isNotNull())
-    x, lam = F.col("x"), F.col("lam")
-    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / F.when(F.abs(lam) < 1e-12, 1.0).otherwise(lam))
-    down = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(
-        -(F.pow(1 - x, 2 - lam) - 1) / F.when(F.abs(lam - 2) < 1e-12, 1.0).otherwise(2 - lam))
+    widths = [max((weight[f"a{i}"] or 0.0) / LAMBDA_BINS, 1e-300) for i in range(len(names))]
+    even = [i for i, w in enumerate(widths) if math.isfinite(w)]
+    binned = freeze(_log_bins(long.where(F.col("idx").isin(even)), widths))
     while any(left):
         grids = [[m - r + 2 * r * j / (LAMBDA_GRID - 1) for j in range(LAMBDA_GRID)] for m, r in zip(middle, reach)]
         active = [i for i in range(len(names)) if left[i]]
         table = F.array(*[F.array(*[F.lit(v) for v in g]) for g in grids])
-        # LAMBDA_GRID cells per value, summed up before anything is shuffled
-        spread = long.where(F.col("idx").isin(active)).select("idx", "x", F.posexplode(F.get(table, F.col("idx"))).alias("j", "lam"))
-        moments = spread.groupBy("idx", "j").agg(F.var_pop(F.when(x >= 0, up).otherwise(down)).alias("v"))
-        found = {(r["idx"], r["j"]): r["v"] for r in moments.collect()}
+        # bins are too wide only for powers that nearly overflow on the largest value
+        narrow = [i for i in active if i in even and widths[i] * max(max(abs(v), abs(2 - v)) for v in grids[i]) <= NARROW]
+        found: dict = {}
+        for group, moments in ((narrow, _binned_moments(binned, table)), ([i for i in active if i not in narrow], _row_moments(long, table))):
+            if group:
+                found.update({(r["idx"], r["j"]): r["v"] for r in moments.where(F.col("idx").isin(group)).collect()})
         for i in active:
             def score(j):
                 v = found.get((i, j))
@@ -203,6 +208,48 @@ def _best_lambdas(df: DataFrame, columns: dict[str, Column]) -> dict[str, float]
     return dict(zip(names, middle))
 
 
+def _row_moments(long: DataFrame, table: Column) -> DataFrame:
+    """(idx, j, v): variance of each column's values under lambda j of its grid, LAMBDA_GRID cells per value."""
+    x, lam = F.col("x"), F.col("lam")
+    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / F.when(F.abs(lam) < 1e-12, 1.0).otherwise(lam))
+    down = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(
+        -(F.pow(1 - x, 2 - lam) - 1) / F.when(F.abs(lam - 2) < 1e-12, 1.0).otherwise(2 - lam))
+    spread = long.select("idx", "x", F.posexplode(F.get(table, F.col("idx"))).alias("j", "lam"))
+    return spread.groupBy("idx", "j").agg(F.var_pop(F.when(x >= 0, up).otherwise(down)).alias("v"))
+
+
+def _log_bins(long: DataFrame, widths: Sequence[float]) -> DataFrame:
+    """(idx, sign, mid, n, d1, d2, ...): rows of each bin of log(1 + |x|) and sums of powers of their distance to its middle."""
+    width = F.get(F.array(*[F.lit(w) for w in widths]), F.col("idx"))
+    placed = long.select("idx", F.when(F.col("x") >= 0, 1).otherwise(-1).alias("sign"), F.log1p(F.abs("x")).alias("u"), width.alias("w"))
+    cell = placed.select("idx", "sign", "u", ((F.floor(F.col("u") / F.col("w")) + 0.5) * F.col("w")).alias("mid")).withColumn("d", F.col("u") - F.col("mid"))
+    power, sums = F.lit(1.0), [F.count(F.lit(1)).alias("n")]
+    for k in range(1, POWERS + 1):
+        power = power * F.col("d")
+        sums.append(F.sum(power).alias(f"d{k}"))
+    return cell.groupBy("idx", "sign", "mid").agg(*sums)
+
+
+def _binned_moments(binned: DataFrame, table: Column) -> DataFrame:
+    """The same as :func:`_row_moments`, from bins: a value is sign * (exp(p * u) - 1) / p with power p = lambda, or 2 - lambda below zero.
+
+    Within a bin it is the value at the middle plus exp(p * mid) * f, with f the sum of p^(k-1) d^k / k! over k from 1.
+    """
+    spread = binned.select("*", F.posexplode(F.get(table, F.col("idx"))).alias("j", "lam"))
+    p = F.when(F.col("sign") > 0, F.col("lam")).otherwise(2 - F.col("lam"))
+    zero = F.abs("p") < 1e-12
+    at = F.when(zero, F.col("mid")).otherwise(F.expm1(F.col("p") * F.col("mid")) / F.when(zero, 1.0).otherwise(F.col("p")))
+    once = sum((F.pow("p", F.lit(float(k - 1))) * F.col(f"d{k}") / float(math.factorial(k)) for k in range(1, POWERS + 1)), F.lit(0.0))
+    twice = sum((F.pow("p", F.lit(float(k - 2))) * F.col(f"d{k}") * float(2**k - 2) / float(math.factorial(k)) for k in range(2, POWERS + 1)), F.lit(0.0))
+    shifts = spread.withColumn("p", p).select("idx", "j", "n", F.col("sign").alias("s"), at.alias("at"), F.exp(F.col("p") * F.col("mid")).alias("e"), (once / F.col("n")).alias("m1"), (twice / F.col("n")).alias("m2"))
+    # mean and spread of each bin, then around the mean of all
+    own = shifts.select("idx", "j", "n", (F.col("s") * (F.col("at") + F.col("e") * F.col("m1"))).alias("m"), (F.col("e") * F.col("e") * F.greatest(F.col("m2") - F.col("m1") * F.col("m1"), F.lit(0.0))).alias("v"))
+    whole = own.groupBy("idx", "j").agg(F.collect_list(F.struct("n", "m", "v")).alias("bins"), F.sum(F.col("n") * F.col("m")).alias("t"), F.sum("n").alias("rows"))
+    mean = F.col("t") / F.col("rows")
+    parts = F.transform("bins", lambda b: b["n"] * (b["v"] + (b["m"] - F.col("mean")) * (b["m"] - F.col("mean"))))
+    return whole.withColumn("mean", mean).select("idx", "j", (F.aggregate(parts, F.lit(0.0), lambda t, q: t + q) / F.col("rows")).alias("v"))
+
+
 def _fit_categorical(df: DataFrame, columns: Sequence[str], cap: int) -> list[dict]:
     if not columns:
         return []

@@ -164,3 +164,28 @@ def test_unseen_and_rare_differ_at_any_number_of_levels(spark, monkeypatch, tmp_
         out = one.transform(asked)
         assert out.columns == ["c", "n", "features"] and {r.n: r.features for r in out.collect()} == wanted
     assert wanted[2.0].toArray()[1:].sum() == 0 and wanted[4.0].toArray()[-1] == 1
+
+
+def test_power_lambdas_from_bins_equal_those_of_rows(spark):
+    from tablecraft.learn import prepare
+
+    df = spark.range(6000).selectExpr("CAST(id % 50 AS DOUBLE) AS a", "EXP(PMOD(xxhash64(id), 9973) / 1000) AS b", "PMOD(xxhash64(id, 7), 997) / 100 - 3 AS c",
+                                      "POW(1 + PMOD(xxhash64(id), 997) / 997, 60) AS d")
+    names = ["a", "b", "c", "d"]
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("idx"), F.col(n).alias("x")) for i, n in enumerate(names)])))
+    table = F.array(*[F.array(*[F.lit(v) for v in (-1.7, -0.3, 0.0, 0.45, 1.0, 2.0, 3.1)]) for _ in names])
+    tops = df.agg(*[F.max(F.log1p(F.abs(n))) for n in names]).head()
+    made = prepare._binned_moments(prepare._log_bins(long, [t / prepare.LAMBDA_BINS for t in tops]), table)
+    got, want = ({(r["idx"], r["j"]): r["v"] for r in m.collect()} for m in (made, prepare._row_moments(long, table)))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, rel=1e-9) for k, v in want.items())
+
+
+def test_power_fit_reads_the_rows_once_for_all_lambdas(spark, monkeypatch):
+    from tablecraft.learn import prepare
+
+    def no_rows(*_):
+        return spark.range(0).selectExpr("0 AS idx", "0 AS j", "0D AS v").where("1 / 0 > 0")
+
+    df = spark.range(3000).selectExpr("EXP(PMOD(xxhash64(id), 997) / 300) AS x")
+    monkeypatch.setattr(prepare, "_row_moments", no_rows)
+    assert prepare._best_lambdas(df, {"x": F.col("x")})["x"] < 0.5
