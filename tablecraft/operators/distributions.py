@@ -13,7 +13,7 @@ from tablecraft.functions.ordering import value_ranks
 from tablecraft.functions.quantiles import grouped_quantiles
 from tablecraft.functions.stats import to_long
 from tablecraft.operators.rows import keep_tops
-from tablecraft.session import small_frame
+from tablecraft.session import looked_up, small_frame
 
 MISSING_LABEL = "Missing/NaN"
 KDE_POINTS = 200
@@ -85,7 +85,7 @@ def box(df: DataFrame, y: str, groups: Sequence[str] = (), tops: Sequence[int |
     reach = FENCE * (F.col("q3") - F.col("q1"))
     inside = F.col("__y").between(F.col("q1") - reach, F.col("q3") + reach)
     if groups:
-        with_quartiles = work.join(quartiles, keys)
+        with_quartiles = looked_up(work, quartiles, keys, "inner")
     else:  # one row of figures, put in as constants
         row = quartiles.head()
         with_quartiles = work.withColumns({c: F.lit(row[c] if row else None).cast("double") for c in ("q1", "median", "q3")})
@@ -118,7 +118,7 @@ def density(df: DataFrame, x: str, points: int = KDE_POINTS, group: str | None =
     shape = shape.where(F.col("__a") < F.col("__b")).withColumn("__h", F.col("__s") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))).drop("__s")
     shared = ("__n", "__a", "__b", "__h")
     if group:
-        with_shape = rows.join(shape, "__g")
+        with_shape = looked_up(rows, shape, "__g", "inner")
     else:
         row = shape.head()
         if row is None:

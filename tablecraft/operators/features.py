@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablecraft.functions.columns import col, columns_of, require
 from tablecraft.functions.ordering import ROWS_PER_BUCKET, over_sorted
 from tablecraft.functions.quantiles import grouped_quantiles
+from tablecraft.session import looked_up
 
 # Periods by words in the column name, tried in this order.
 PERIODS = ((("hour",), 24), (("day", "week"), 7), (("month",), 12), (("day",), 31))
@@ -67,14 +68,14 @@ def group_features(
 ) -> DataFrame:
     """``<v>_<f>_by_<g>`` on every row; NULL where the group is missing, or not in the fitted ``tables``.
 
-    The one-row-per-group result joins back by an ordinary left join, which adaptive execution
-    broadcasts when it is small and splits where one group holds a large share of the rows.
+    Figures of few groups go to every task, so that no task reads all rows of a large group; those of many are
+    joined by a shuffle, in which adaptive execution splits large groups.
     """
     require(df, group_col, agg_col)
     made = tables or group_tables(df, group_col, agg_col, functions=functions)
     figures = made[f"groups:{group_col}:{agg_col}"]
     new = [c for c in figures.columns if c != group_col]
-    return df.join(figures, group_col, "left").select(*[col(c) for c in df.columns], *[col(c) for c in new])
+    return looked_up(df, figures, group_col).select(*[col(c) for c in df.columns], *[col(c) for c in new])
 
 
 def rolling(

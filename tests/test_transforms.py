@@ -114,3 +114,12 @@ def test_rows(spark):
         rows.complete_cases(df.where("c is null"), ["c"], True)
     with pytest.raises(ValueError):
         rows.choose_columns(df, ["zzz"])
+
+
+def test_figures_and_codes_of_few_keys_shuffle_no_rows(spark):
+    df = spark.range(500).selectExpr("id", "IF(id % 10 = 0, NULL, IF(id % 10 < 8, 'a', 'b')) AS g", "CAST(id AS DOUBLE) AS x")
+    for out, name in ((encode.label_encode(df, "g"), "g_encoded"), (features.group_features(df, "g", "x", ["max"]), "x_max_by_g")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        want = {None: None, "a": 0 if name == "g_encoded" else 497.0, "b": 1 if name == "g_encoded" else 499.0}
+        assert out.count() == 500 and all(r[name] == want[r["g"]] for r in out.collect())
