@@ -149,16 +149,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found: list[DataFrame] = []
     while True:
         salt = F.pmod("node", F.lit(min(LEADERS**rounds, MOST_LEADERS)))
-        leaders = live.groupBy("bucket", salt.alias("salt")).agg(F.max_by("node", "rank").alias("leader")).select("bucket", "leader")
-        met = saved(live.join(leaders, "bucket").withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}), "met")
-        pairs = met.filter("a <> b").select("a", "b").distinct()
+        chosen = live.groupBy("bucket", salt.alias("salt")).agg(F.max_by("node", "rank").alias("leader"))
+        # at most MOST_LEADERS of a bucket, kept as one list: the joins below give a row for each node of a bucket, not for each leader
+        leaders = chosen.groupBy("bucket").agg(F.collect_set("leader").alias("leaders"))
+        met = saved(live.join(leaders, "bucket"), "met")
+        asked = met.select("node", "leaders").distinct().select("node", F.explode("leaders").alias("leader")).withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")})
+        pairs = asked.filter("a <> b").select("a", "b").distinct()
         tested = saved(_compared(pairs, items, threshold), "tested")
         if tested.isEmpty():
             break
         found.append(tested)
-        settled = F.max(F.col("a") == F.col("b")) | F.coalesce(F.max("alike"), F.lit(False))
-        known = met.join(tested.select("a", "b", "alike"), ["a", "b"], "left").groupBy("bucket", "node")
-        over = saved(known.agg(F.max("weight").alias("weight"), F.max("rank").alias("rank"), settled.alias("settled")).filter("NOT settled").drop("settled"), "over")
+        alike = tested.filter("alike").select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("like")), F.struct(F.col("b").alias("node"), F.col("a").alias("like")))))
+        likes = alike.groupBy("node").agg(F.collect_set("like").alias("likes"))
+        settled = F.array_contains("leaders", F.col("node")) | F.coalesce(F.arrays_overlap("leaders", "likes"), F.lit(False))
+        over = saved(met.join(likes, "node", "left").filter(~settled).select("bucket", "node", "weight", "rank").distinct(), "over")
         if over.isEmpty():
             break
         least = over.groupBy("bucket").agg(F.min("weight").alias("least"), F.count("*").alias("n")).filter("n > 1").select("bucket", "least")

@@ -384,3 +384,22 @@ def test_pipeline(spark):
     for i, n in pieces.items():
         assert sum(n) % (len(tokenizer().coder.encode_ordinary(docs[i])) + 1) == 0
     assert set(queries.oracles()) <= set(queries.queries())
+
+
+def test_near_duplicates_keep_one_row_per_node_of_a_bucket_in_every_round(spark, monkeypatch):
+    import itertools
+
+    parts = [" ".join(f"w{p}x{i}" for i in range(12)) for p in range(12)]
+    chosen = list(itertools.combinations(range(12), 8))[::6]
+    docs = spark.createDataFrame([(n, " ".join(parts[p] for p in c)) for n, c in enumerate(chosen)], "doc_id bigint, text string")
+    sizes, plain = {}, near_text.saved
+
+    def spied(df, label):
+        made = plain(df, label)
+        sizes.setdefault(label, []).append(made.count())
+        return made
+
+    monkeypatch.setattr(near_text, "saved", spied)
+    found = near_text.near_duplicates(docs).collect()
+    assert len(found) == len(chosen) and all(r.kept for r in found)
+    assert len(sizes["met"]) > 1 and all(met <= live for met, live in zip(sizes["met"], sizes["live"]))
