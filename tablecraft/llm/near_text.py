@@ -151,10 +151,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         salt = F.pmod("node", F.lit(min(LEADERS**rounds, MOST_LEADERS)))
         chosen = live.groupBy("bucket", salt.alias("salt")).agg(F.max_by("node", "rank").alias("leader"))
         # at most MOST_LEADERS of a bucket, kept as one list: the joins below give a row for each node of a bucket, not for each leader
-        leaders = chosen.groupBy("bucket").agg(F.collect_set("leader").alias("leaders"))
+        leaders = chosen.groupBy("bucket").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
         met = saved(live.join(leaders, "bucket"), "met")
-        asked = met.select("node", "leaders").distinct().select("node", F.explode("leaders").alias("leader")).withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")})
-        pairs = asked.filter("a <> b").select("a", "b").distinct()
+        pairs = _asked(met).select("node", F.explode("leaders").alias("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         tested = saved(_compared(pairs, items, threshold), "tested")
         if tested.isEmpty():
             break
@@ -184,6 +183,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return result.select(F.col("doc").alias("doc_id"), "component_id", "group_size", (F.col("doc") == F.col("component_id")).alias("kept"))
 
 
+def _asked(met: DataFrame) -> DataFrame:
+    """(node, leaders): the other leaders that a node meets in any bucket, each once; lists of its buckets name many of them again."""
+    lists = met.groupBy("node").agg(F.collect_set("leaders").alias("lists"))
+    return lists.select("node", F.array_remove(F.array_distinct(F.flatten("lists")), F.col("node")).alias("leaders"))
+
+
 def _compared(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """(a, b, weight_a, weight_b, alike, sim) of the pairs, on whole multisets; sim is 0 where the weights alone show a far miss."""
     mine, theirs = (items.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"), F.col("weight").alias(f"weight_{x}")) for x in "ab")

@@ -93,6 +93,12 @@ def test_near_texts_chains(spark):
     assert {r.doc_id: (r.component_id, r.group_size) for r in found} == {i: (i % 40, 10) for i in texts}
 
 
+def test_near_texts_ask_each_leader_once(spark):
+    """A node whose buckets share leaders meets each of them once, whatever the order of the lists, and never itself."""
+    met = spark.createDataFrame([(1, 10, [5, 7]), (1, 11, [7, 5]), (1, 12, [5, 1, 9]), (2, 10, [5, 7]), (5, 10, [5])], "node bigint, bucket bigint, leaders array<bigint>")
+    assert {r.node: sorted(r.leaders) for r in near_text._asked(met).collect()} == {1: [5, 7, 9], 2: [5, 7], 5: []}
+
+
 def test_near_texts_odd_rows(spark):
     got = {r.doc_id: (r.component_id, r.kept) for r in near_text.near_duplicates(odd_docs(spark)).collect()}
     assert got == {1: (1, True), 2: (1, False), 3: (1, False), 4: (4, True), 5: (5, True), 6: (6, True), 7: (7, True), 8: (7, False), 9: (9, True), 10: (9, False), 11: (11, True), 12: (12, True)}
