@@ -14,6 +14,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from tablecraft.learn.boosting import boosted_classes
+from tablecraft.learn.cells import MOST_CELLS, boosted_cells, cells_of, forest_of_cells
 from tablecraft.learn.margins import support_vectors
 from tablecraft.learn.neighbours import NearestNeighbours
 
@@ -138,6 +139,8 @@ class TabularModel(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         elif name == "Decision Tree":
             made = C.DecisionTreeClassifier(**tree, **weights)
         elif name == "Random Forest":
+            if s["min_samples_leaf"] == 1 and (cells := cells_of(dataset, rows, classes, weight=weights.get("weightCol"))):
+                return forest_of_cells(dataset, cells, task="classification", weight=weights.get("weightCol"), trees=s["n_estimators"], seed=SEED, classes=classes, maxDepth=tree["maxDepth"])
             made = C.RandomForestClassifier(numTrees=s["n_estimators"], **tree, **weights)
         elif name == "SVM":
             return support_vectors(dataset, classes, weights.get("weightCol"), s["C"], rows, s["max_iter"], s["kernel"], s["gamma"], s["components"], SEED)
@@ -148,6 +151,8 @@ class TabularModel(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         else:
             if classes > 2:
                 return boosted_classes(dataset, classes, weights.get("weightCol"), s["learning_rate"], s["max_iter"], tree)
+            if cells := cells_of(dataset, rows, classes, weight=weights.get("weightCol")):
+                return boosted_cells(dataset, cells, "classification", weights.get("weightCol"), stepSize=s["learning_rate"], maxIter=s["max_iter"], **tree)
             made = C.GBTClassifier(stepSize=s["learning_rate"], maxIter=s["max_iter"], **tree, **weights)
         return made.fit(dataset)
 
@@ -158,10 +163,14 @@ class TabularModel(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         if name == "Decision Tree Regressor":
             made = R.DecisionTreeRegressor(**tree)
         elif name == "Random Forest Regressor":
+            if s["min_samples_leaf"] == 1 and (cells := cells_of(dataset, dataset.count(), most=MOST_CELLS)):
+                return forest_of_cells(dataset, cells, task="regression", weight=None, trees=s["n_estimators"], seed=SEED, maxDepth=tree["maxDepth"])
             made = R.RandomForestRegressor(numTrees=s["n_estimators"], **tree)
         elif name == "K-Nearest Neighbors":
             made = NearestNeighbours(k=s["n_neighbors"], task="regression")
         elif name == "Gradient Boosting":
+            if cells := cells_of(dataset, dataset.count()):
+                return boosted_cells(dataset, cells, "regression", None, stepSize=s["learning_rate"], maxIter=s["max_iter"], **tree)
             made = R.GBTRegressor(stepSize=s["learning_rate"], maxIter=s["max_iter"], **tree)
         else:
             row = dataset.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("s")).head()
