@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablecraft.functions.columns import col, columns_of
 from tablecraft.functions.quantiles import exact_quantiles
 from tablecraft.functions.stats import pearson, to_long
+from tablecraft.learn import cells
 from tablecraft.learn.information import neighbour_information
 from tablecraft.operators.numeric import right_closed_bin
 
@@ -100,14 +101,24 @@ def recursive_elimination(
     else:
         work = work.withColumn("__label", col(target).cast("double"))
         forest = RandomForestRegressor(numTrees=trees, seed=42, labelCol="__label", featuresCol="__x")
+    rows = work.count()
     while len(left) > n:
         vectors = VectorAssembler(inputCols=left, outputCol="__x").transform(work).select("__x", "__label")
-        weights = forest.fit(vectors).featureImportances.toArray()
+        weights = _forest(vectors, forest, rows, task, trees).featureImportances.toArray()
         worst = sorted(range(len(left)), key=lambda i: (weights[i], left[i]))[: min(step, len(left) - n)]
         left = [c for i, c in enumerate(left) if i not in worst]
     return left
 
 
+def _forest(vectors: DataFrame, forest: RandomForestClassifier | RandomForestRegressor, rows: int, task: str, trees: int):
+    """The forest, grown on cells of equal bins where rows are many."""
+    classes = int(vectors.agg(F.max("__label")).head()[0]) + 1 if task == "classification" and rows >= cells.MANY_ROWS else 1
+    made = cells.cells_of(vectors, rows, classes, "__x", None if task == "classification" else cells.MOST_CELLS)
+    if made is None:
+        return forest.fit(vectors)
+    return cells.forest_of_cells(vectors, made, task, None, trees, 42, classes if task == "classification" else 0, "__label", maxDepth=forest.getMaxDepth()).stages[-1]
+
+
 def choose_features(
     df: DataFrame, target: str, mode: str = "all", chosen: Sequence[str] = (), k: int = 10, task: str = "classification", method: str = "f",
 ) -> list[str]:

@@ -4,7 +4,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tablecraft.learn import cells, workflow
+from tablecraft.learn import cells, select, workflow
+
+
+@pytest.fixture()
+def few_rows_are_many(monkeypatch):
+    monkeypatch.setattr(cells, "MANY_ROWS", 1000)
 
 
 def table(spark, n=4000, seed=5):
@@ -63,6 +68,15 @@ def test_trees_of_cells_judge_like_trees_of_rows(spark, monkeypatch, tmp_path, t
     assert again.select("id", "prediction").exceptAll(made.raw(test).select("id", "prediction")).isEmpty()
 
 
+def test_elimination_by_cells(spark, few_rows_are_many, monkeypatch):
+    monkeypatch.setattr(cells, "ROWS_A_CELL", 4)
+    used, grow = [], cells.forest_of_cells
+    monkeypatch.setattr(cells, "forest_of_cells", lambda *a, **b: used.append(a) or grow(*a, **b))
+    assert select.recursive_elimination(table(spark), ["idle", "wide", "few"], "y", 2, "regression", trees=8) == ["wide", "few"]
+    assert select.recursive_elimination(table(spark), ["idle", "wide", "few"], "kind", 2, trees=8) == ["wide", "few"]
+    assert len(used) == 2
+
+
 def test_small_tables_and_many_cells_stay_with_rows(spark):
     data = table(spark).select(array_to_vector(F.array("few", "wide")).alias("features"), "y")
     assert cells.cells_of(data, 4000) is None
