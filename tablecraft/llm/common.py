@@ -13,14 +13,27 @@ from tablecraft.session import scratch_path
 BATCH_ROWS = 256
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: later passes survive lost executors."""
+#: Where this is set, the shuffle files of a query are deleted at its end, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back; the shuffle files of the writing go at once, as nothing reads them again."""
     spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: later passes survive lost executors."""
+    return stored(df, scratch_path(df.sparkSession, label))
+
+
 class Tables:
     """Saved tables by name, to be deleted one by one when what was made of them is written."""
 
@@ -29,8 +42,7 @@ class Tables:
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path = self.paths[label] = scratch_path(self.spark, label)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return stored(df, path)
 
     def drop(self, *labels: str) -> None:
         for label in labels:

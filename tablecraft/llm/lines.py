@@ -5,6 +5,7 @@ Long passages that stand inside longer lines are found word by word: word runs a
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +19,75 @@ WORD = re.compile(r"\w+")
 RUN = 8
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
+#: Letters whose lower case is two letters or depends on the letters beside.
+ODD = "\u0130\u03a3"
+#: Bits of a place that tell the line or word within a text; a string has less than 2**31 bytes.
+PLACES = 30
 
 
-class Known(dict):
-    """Hashes of the words met so far; case does not count."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads the high bits of each number."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(BASE)
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: str) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "replace"))
-        return value
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier, and of its inverse."""
+    up, down = np.full(n, BASE, np.uint64), np.full(n, BACK, np.uint64)
+    up[:1] = down[:1] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
-KNOWN = Known()
 
+POWERS = powers(1 << 14)
 
-def lines_of(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
+
+def stretch_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each stretch values[start:stop], by differences of a running sum; equal stretches have equal hashes."""
+    up, down = POWERS if len(values) < len(POWERS[0]) else powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
+    return mixed((total[stops] - total[starts]) * down[starts])
+
+
+@lru_cache(maxsize=2)
+def letters(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the first n code points: whether they belong to words, and a number of their lower case (but for those in ODD)."""
+    inside = np.array([chr(i).isalnum() or i == ord("_") for i in range(n)])
+    lower = np.array([i if chr(i) in ODD else ord(chr(i).lower()) for i in range(n)], np.uint64)
+    return inside, mixed((lower + np.uint64(1)) * np.uint64(BACK))
+
+
+def words_in(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash of each word, how many words end before the end of each line). Case does not count.
+
+    Code points of the first plane are looked up; texts that hold others, or letters whose lower case is longer or depends
+    on the neighbours, are lower-cased word by word. Both ways give a word the same hash.
+    """
+    if text.isascii():
+        codes, kinds = np.frombuffer(text.encode(), np.uint8), letters(1 << 7)
+    else:
+        codes, kinds = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), letters(1 << 16)
+        if codes.max() >= 1 << 16 or any(x in text for x in ODD):
+            found = [[word.lower() for word in WORD.findall(line)] for line in text.split("\n")]
+            flat = [word for words in found for word in words]
+            codes = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            stops = np.cumsum([len(word) for word in flat], dtype=np.int64)
+            return stretch_hashes(mixed((codes + np.uint64(1)) * np.uint64(BACK)), np.concatenate([[0], stops])[: len(flat)], stops), np.cumsum([len(words) for words in found])
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = kinds[0][codes]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, stops = edges[::2], edges[1::2]
+    return stretch_hashes(kinds[1][codes], starts, stops), np.searchsorted(starts, np.append(np.flatnonzero(codes == 10), len(codes)))
+
+
+def lines_of(text: str | None, breaks: np.ndarray | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
     """(numbers of the lines with words, their hashes, their words). Case and blanks at the ends do not count."""
-    numbers, hashes, words = [], [], []
-    for i, line in enumerate((text or "").split("\n")):
-        n = len(WORD.findall(line))
-        if n:
-            numbers.append(i)
-            hashes.append(xxhash.xxh3_64_intdigest(line.strip().lower().encode("utf-8", "replace")))
-            words.append(n)
-    return numbers, np.array(hashes, np.uint64), np.array(words, np.int64)
+    text = text or ""
+    words = np.diff(words_in(text)[1] if breaks is None else breaks, prepend=0)
+    numbers = np.flatnonzero(words)
+    found = text.split("\n")
+    hashes = [xxhash.xxh3_64_intdigest(found[i].strip().lower().encode("utf-8", "replace")) for i in numbers]
+    return numbers.tolist(), np.array(hashes, np.uint64), words[numbers].astype(np.int64)
 
 
 def windows(hashes: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -67,7 +114,71 @@ def extended(own: np.ndarray, source: np.ndarray, start: int, stop: int, at: int
     return start, stop
 
 
-def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 8) -> DataFrame:
+def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of ``length`` words."""
+    starts = np.arange(max(0, len(hashes) - length + 1))
+    return stretch_hashes(hashes, starts, starts + length)
+
+
+def passage_picks(runs: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` runs the place of the last smallest hash: minima of twice as many runs from step to step."""
+    if len(runs) < width:
+        return np.zeros(0, np.int64)
+    mask = (np.uint64(1) << np.uint64(len(runs).bit_length())) - np.uint64(1)  # the low bits tell the place, later ones first
+    low, have = runs & ~mask | mask - np.arange(len(runs), dtype=np.uint64), 1
+    while have < width:
+        step = min(have, width - have)
+        low, have = np.minimum(low[:-step], low[step:]), have + step
+    return (mask - (low & mask)).astype(np.int64)
+
+
+def read_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_passage: int = 50) -> DataFrame:
+    """One row per text, an id with a text: key, doc, sig (hash of the text), whole, numbers, hashes, words of its lines, n words, picks, places.
+
+    Rows that repeat id and text are one, those with a null id or text none. Keys rise with (doc, sig) and leave room for
+    all places of a text: key + i is its i-th line or word, and such places order the lines or words of all texts.
+    """
+    text = F.col(f"`{text_column}`").cast("string")
+    chosen = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc"), F.xxhash64(text).alias("sig"), text.alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
+    run = min(RUN, least_passage)
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for x in batch["text"]:
+            text = x.as_py()
+            hashes, breaks = words_in(text)
+            runs = run_hashes(hashes, run)
+            at = passage_picks(runs, least_passage - run + 1)
+            at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+            numbers, line_hashes, words = lines_of(text, breaks)
+            rows.append((numbers, line_hashes.view(np.int64), words, len(hashes), runs[at].view(np.int64), at))
+        kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([batch["doc"], batch["sig"], batch["whole"], *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], ["doc", "sig", "whole", *arrays])
+
+    arrays = {"numbers": "array<int>", "hashes": "array<bigint>", "words": "array<int>", "n": "int", "picks": "array<bigint>", "places": "array<int>"}
+    tables = Tables(docs.sparkSession)
+    found = map_arrow(chosen.withColumn("whole", F.md5("text")), read, "doc bigint, sig bigint, whole string, " + ", ".join(map(" ".join, arrays.items()))).filter("size(hashes) > 0")
+    ordered = tables.save(found, "read").repartitionByRange("doc", "sig").dropDuplicates(["doc", "sig"]).sortWithinPartitions("doc", "sig")
+    texts = saved(ordered.withColumn("id", F.monotonically_increasing_id()), "texts")
+    tables.drop("read")
+    part, row = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    parts, rows = texts.agg(F.max(part), F.max(row)).first()
+    shift = (rows or 0).bit_length()
+    if (parts or 0).bit_length() + shift + PLACES > 63:
+        raise ValueError("too many texts to number their words")
+    return texts.withColumn("key", F.shiftleft(F.shiftleft(part, shift) + row, PLACES)).drop("id")
+
+
+def text_of(place: str):
+    """The key of the text that holds a place."""
+    return F.shiftleft(F.shiftright(place, PLACES), PLACES)
+
+
+def place_in(place: str):
+    return F.col(place).bitwiseAND((1 << PLACES) - 1).cast("int")
+
+
+def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 8, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, sig, gone): the numbers of the lines of each document that repeat an earlier run of at least ``least_words`` words.
 
     Winnowing: of each window, the shortest run of lines with so many words, the smallest line hash is picked. Two
@@ -77,172 +188,117 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Lines without words and blanks at line ends do not count. Documents with nothing to delete give no row. Rows
     with a null id neither give nor lose lines. A document is an id with a text (sig is the text's hash): rows that repeat
-    both are read once, different texts under one id are documents of their own.
+    both are read once, different texts under one id are documents of their own. ``texts`` are those of ``read_texts``.
     """
-    text = F.col(f"`{text_column}`").cast("string")
-    chosen = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc"), F.xxhash64(text).alias("sig"), text.alias("text")).filter("doc IS NOT NULL")
-
-    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [lines_of(x.as_py()) for x in batch["text"]]
-        kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        columns = [[x[0] for x in found], [x[1].view(np.int64) for x in found], [x[2] for x in found]]
-        return pa.RecordBatch.from_arrays([batch["doc"], batch["sig"], *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc", "sig", "numbers", "hashes", "words"])
-
-    arrays = "numbers array<int>, hashes array<bigint>, words array<bigint>"
-    read_lines = map_arrow(chosen, read, f"doc bigint, sig bigint, {arrays}").filter("size(hashes) > 0")
-    lines = saved(read_lines.dropDuplicates(["doc", "sig"]), "lines")
+    lines = read_texts(docs, id_column, text_column) if texts is None else texts
 
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc, sig, h, w in zip(batch["doc"].to_pylist(), batch["sig"].to_pylist(), batch["hashes"], batch["words"]):
+        for key, h, w in zip(batch["key"].to_pylist(), batch["hashes"], batch["words"]):
             hashes = np.asarray(h.values).view(np.uint64)
             for start, stop, at in windows(hashes, np.asarray(w.values), least_words):
-                rows.append((int(hashes[at].view(np.int64)), doc, sig, at, start, stop, xxhash.xxh3_64_intdigest(hashes[start:stop]) - (1 << 63)))
-        columns = list(zip(*rows)) or [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["pick", "doc", "sig", "at", "start", "stop", "content"])
+                rows.append((int(hashes[at].view(np.int64)), key + at, key + start, stop - start, xxhash.xxh3_64_intdigest(hashes[start:stop]) - (1 << 63)))
+        columns = list(zip(*rows)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["pick", "at", "start", "n", "content"])
 
-    spans = map_arrow(lines.select("doc", "sig", "hashes", "words"), pick, "pick bigint, doc bigint, sig bigint, at int, start int, stop int, content bigint")
     tables = Tables(docs.sparkSession)
-    spans = tables.save(spans, "windows")
-    place = F.xxhash64("doc", "sig", "at")
-    again = spans.groupBy("pick").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("pick")
-    suspects = tables.save(spans.join(tables.save(again, "picks"), "pick").select(F.struct("doc", "sig").alias("text"), "start", "stop", "content").distinct(), "suspects")
+    spans = tables.save(map_arrow(lines.select("key", "hashes", "words"), pick, "pick bigint, at bigint, start bigint, n int, content bigint"), "windows")
+    again = spans.groupBy("pick").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a <> b").select("pick")
+    suspects = tables.save(spans.join(tables.save(again, "picks"), "pick").select("start", "n", "content"), "suspects")
     tables.drop("windows", "picks")
-    first_text = suspects.groupBy("content").agg(F.min("text").alias("source"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    in_first = suspects.join(tables.save(first_text, "first"), "content")
-    first_at = in_first.filter("text = source").groupBy("content").agg(F.min("start").alias("source_at"))
-    matches = in_first.join(tables.save(first_at, "first_at"), "content").filter("text > source OR start >= source_at + stop - start")
-    matches = tables.save(matches.select("text", "start", "stop", "source", "source_at"), "matches")
-    tables.drop("suspects", "first", "first_at")
-
-    runs = matches.groupBy("text", "source").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "source_at"))).alias("runs"))  # bounded by the lines of one document
-    keyed = lines.select(F.struct("doc", "sig").alias("text"), "numbers", "hashes")
-    sources = keyed.select(F.col("text").alias("source"), F.col("hashes").alias("source_hashes"))
+    first = suspects.groupBy("content").agg(F.min("start").alias("first"), F.max("start").alias("last")).filter("first <> last").select("content", "first")
+    matches = suspects.join(tables.save(first, "first"), "content").filter("start >= first + n")  # places of a later text are beyond
+    runs = matches.groupBy(text_of("start").alias("text"), text_of("first").alias("source")).agg(
+        F.collect_list(F.struct(place_in("start").alias("start"), "n", place_in("first").alias("source_at"))).alias("runs"))  # bounded by the lines of one document
     runs = tables.save(runs, "runs")
-    tables.drop("matches")
-    mine = runs.join(sources, "source").join(keyed, "text")
+    tables.drop("suspects", "first")
+    sources = lines.select(F.col("key").alias("source"), F.col("hashes").alias("source_hashes"))
+    mine = runs.join(sources, "source").join(lines.select(F.col("key").alias("text"), "doc", "sig", "numbers", "hashes"), "text")
 
     def extend(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs_out, sigs, gone = [], [], []
         for row in batch.to_pylist():
             own, source, lost = np.array(row["hashes"]), np.array(row["source_hashes"]), set()
             for run in row["runs"]:
-                a, b = extended(own, source, run["start"], run["stop"], run["source_at"], row["same"])
+                a, b = extended(own, source, run["start"], run["start"] + run["n"], run["source_at"], row["same"])
                 lost.update(range(a, b))
             docs_out.append(row["doc"])
             sigs.append(row["sig"])
             gone.append([row["numbers"][i] for i in sorted(lost)])
         return pa.RecordBatch.from_arrays([pa.array(docs_out, pa.int64()), pa.array(sigs, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc", "sig", "gone"])
 
-    given = mine.select("text.doc", "text.sig", (F.col("text") == F.col("source")).alias("same"), "runs", "source_hashes", "numbers", "hashes")
+    given = mine.select("doc", "sig", (F.col("text") == F.col("source")).alias("same"), "runs", "source_hashes", "numbers", "hashes")
     cut = map_arrow(given, extend, "doc bigint, sig bigint, gone array<int>")
     return cut.groupBy(F.col("doc").alias("doc_id"), "sig").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A hash of each word."""
-    words = WORD.findall(text or "")
-    if len(KNOWN) > 400_000:
-        KNOWN.clear()
-    return np.fromiter(map(KNOWN.__getitem__, words), np.uint64, len(words))
+def marked(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with the column likely: false only where ``wanted`` has no row of these keys.
 
-
-def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each run of ``length`` words, by differences of a running sum."""
-    n = len(hashes) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = np.full(len(hashes), BASE, np.uint64), np.full(n, BACK, np.uint64)
-    up[0] = down[0] = 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * np.cumprod(up, dtype=np.uint64), dtype=np.uint64)])
-    mixed = (total[length:] - total[:n]) * np.cumprod(down, dtype=np.uint64)
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(BASE)
-    return mixed ^ (mixed >> np.uint64(29))
-
-
-def passage_picks(hashes: np.ndarray, least: int) -> np.ndarray:
-    """For each window of ``least`` words the place of the last smallest hash of its short runs."""
-    runs = run_hashes(hashes, min(RUN, least))
-    width = least - min(RUN, least) + 1
-    if len(runs) < width:
-        return np.zeros(0, np.int64)
-    spread = np.lib.stride_tricks.sliding_window_view(runs[::-1], width)[::-1]
-    return np.arange(len(spread)) + width - 1 - spread.argmin(axis=1)
+    Keys are hashed to the bits of at most 2**18 numbers, which go to every task, so rows without a partner need no shuffle.
+    """
+    spot = F.xxhash64(*keys).bitwiseAND((1 << 24) - 1)
+    bits = wanted.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(spot & 63))")).alias("bits"))
+    placed = df.withColumn("spot", spot).withColumn("word", F.shiftright("spot", 6)).join(F.broadcast(bits), "word", "left")
+    return placed.withColumn("likely", F.expr("coalesce(shiftright(bits, int(spot & 63)) & 1, 0) = 1")).drop("spot", "word", "bits")
 
 
-def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = 50, texts: DataFrame | None = None) -> DataFrame:
     """(doc, sig, starts): the first words of the windows of ``least_words`` words that occur earlier (by id, text hash and word).
 
     Every window that repeats is found, wherever it begins or ends in a line, so any repeated run of so many words is
     the union of its windows, whichever documents hold them. Of equal texts only the first is read: the others lose
     all their words. Within one document a window does not overlap its first occurrence. Case and what stands between
-    words do not count.
+    words do not count. ``texts`` are those of ``read_texts`` for so many words.
     """
     text = F.col(f"`{text_column}`").cast("string")
-    chosen = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc"), F.xxhash64(text).alias("sig"), text.alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
-
-    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, places, picks = [], [], []
-        for x in batch["text"]:
-            hashes = word_hashes(x.as_py())
-            at = np.unique(passage_picks(hashes, least_words))
-            counts.append(len(hashes))
-            picks.append(run_hashes(hashes, min(RUN, least_words))[at].view(np.int64))
-            places.append(at.astype(np.int32))
-        columns = [pa.array(counts, pa.int32()), pa.array(picks, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays([batch["doc"], batch["sig"], batch["whole"], *columns], ["doc", "sig", "whole", "n", "picks", "places"])
-
-    read = map_arrow(chosen.withColumn("whole", F.md5("text")), pick, "doc bigint, sig bigint, whole string, n int, picks array<bigint>, places array<int>")
+    chosen = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc"), F.xxhash64(text).alias("sig"), text.alias("text"))
+    read = (read_texts(docs, id_column, text_column, least_words) if texts is None else texts).filter(F.col("n") >= least_words)
     tables = Tables(docs.sparkSession)
-    read = tables.save(read.filter(F.col("n") >= least_words), "picks")
-    first_of = tables.save(read.groupBy("whole").agg(F.min(F.struct("doc", "sig")).alias("f")).select("f.*"), "firsts")
-    distinct = read.dropDuplicates(["doc", "sig"])
-    copies = tables.save(distinct.join(first_of, ["doc", "sig"], "left_anti").select("doc", "sig", "n"), "copies").select("doc", "sig", F.sequence(F.lit(0), F.col("n") - least_words).alias("starts"))
-    spread = distinct.join(first_of, ["doc", "sig"], "left_semi").select("doc", "sig", F.explode(F.arrays_zip("picks", "places")).alias("p")).select("doc", "sig", F.col("p.picks").alias("pick"), F.col("p.places").alias("at"))
+    first_of = tables.save(read.groupBy("whole").agg(F.min("key").alias("key")).select("key"), "firsts")
+    copies = saved(read.join(first_of, "key", "left_anti").select("doc", "sig", "n"), "copies").select("doc", "sig", F.sequence(F.lit(0), F.col("n") - least_words).alias("starts"))
+    spread = read.join(first_of, "key", "left_semi").select("key", F.explode(F.arrays_zip("picks", "places")).alias("p")).select(F.col("p.picks").alias("pick"), (F.col("key") + F.col("p.places")).alias("at"))
     spread = tables.save(spread, "spread")
-    tables.drop("picks", "firsts")
     again = tables.save(spread.groupBy("pick").agg(F.count("*").alias("n")).filter("n > 1").select("pick"), "again")
-    wanted = spread.join(again, "pick").groupBy("doc", "sig").agg(F.collect_list("at").alias("places"))  # bounded by the words of one document
-    texts = tables.save(wanted, "places").join(chosen, ["doc", "sig"]).select("doc", "sig", "places", "text")
-    tables.drop("spread", "again")
+    wanted = spread.join(again, "pick").groupBy(text_of("at").alias("key")).agg(F.collect_list(place_in("at")).alias("places"))  # bounded by the words of one document
+    wanted = tables.save(wanted.join(read.select("key", "doc", "sig"), "key"), "places")
+    tables.drop("firsts", "spread", "again")
+    likely = marked(chosen, wanted, "doc", "sig").filter("likely").select("doc", "sig", "text")
+    found = likely.join(wanted, ["doc", "sig"]).dropDuplicates(["doc", "sig"]).select("key", "places", "text")
+    run = min(RUN, least_words)
 
     def windows_of(batch: pa.RecordBatch):
-        for doc, sig, places, x in zip(batch["doc"], batch["sig"], batch["places"], batch["text"]):
-            hashes = word_hashes(x.as_py())
-            starts = np.flatnonzero(np.isin(passage_picks(hashes, least_words), np.asarray(places.values)))
-            content = run_hashes(hashes, least_words)[starts].view(np.int64)
-            same = [pa.array(np.full(len(starts), v.as_py(), np.int64)) for v in (doc, sig)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(starts.astype(np.int32)), pa.array(content)], ["doc", "sig", "start", "content"])
-
-    windows = tables.save(map_arrow(texts, windows_of, "doc bigint, sig bigint, start int, content bigint"), "passages")
+        for key, places, x in zip(batch["key"].to_pylist(), batch["places"], batch["text"]):
+            hashes = words_in(x.as_py())[0]
+            starts = np.flatnonzero(np.isin(passage_picks(run_hashes(hashes, run), least_words - run + 1), np.asarray(places.values)))
+            yield pa.RecordBatch.from_arrays([pa.array(run_hashes(hashes, least_words)[starts].view(np.int64)), pa.array(starts + key)], ["content", "start"])
+
+    passages = tables.save(map_arrow(found, windows_of, "content bigint, start bigint"), "passages")
     tables.drop("places")
-    place = F.struct("doc", "sig", "start")  # repeated rows give the same places again
-    first = windows.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("content", "first")
-    later = windows.join(tables.save(first, "first_passages"), "content").filter(
-        (F.col("doc") != F.col("first.doc")) | (F.col("sig") != F.col("first.sig")) | (F.col("start") >= F.col("first.start") + least_words))
-    found = saved(later.groupBy("doc", "sig").agg(F.array_sort(F.collect_set("start")).alias("starts")), "starts")
+    first = passages.groupBy("content").agg(F.min("start").alias("first"), F.max("start").alias("last")).filter(F.col("last") >= F.col("first") + least_words).select("content", "first")
+    later = passages.join(tables.save(first, "first_passages"), "content").filter(F.col("start") >= F.col("first") + least_words)  # places of a later text are beyond
+    lost = saved(later.groupBy(text_of("start").alias("key")).agg(F.sort_array(F.collect_list(place_in("start"))).alias("starts")).join(read.select("key", "doc", "sig"), "key").select("doc", "sig", "starts"), "starts")
     tables.drop("passages", "first_passages")
-    return found.unionByName(copies)
+    return lost.unionByName(copies)
 
 
 def without(text: str, gone: set[int], starts: np.ndarray, least: int) -> tuple[str, int]:
     """The text without whole lines and without the words of the windows that begin at ``starts``; how many lines lost something."""
-    found = WORD.finditer(text)
     n, lost, out, cut, place = 0, None, [], 0, 0
     if len(starts):
-        edges = np.zeros(sum(1 for _ in WORD.finditer(text)) + 1, np.int64)
+        found = [word.start() for word in WORD.finditer(text)]
+        edges = np.zeros(len(found) + 1, np.int64)
         np.add.at(edges, starts, 1)
         np.add.at(edges, starts + least, -1)
-        lost = np.cumsum(edges) > 0
-        ahead = next(found, None)
+        lost = (np.cumsum(edges) > 0).tolist()
     for i, line in enumerate(text.split("\n")):
         end, spans, kept = place + len(line), [], 0
         if lost is not None:
             inside = []
-            while ahead is not None and ahead.start() < end:
-                inside.append((ahead.start() - place, bool(lost[n])))
-                n, ahead = n + 1, next(found, None)
+            while n < len(found) and found[n] < end:
+                inside.append((found[n] - place, lost[n]))
+                n += 1
             kept = sum(not x for _, x in inside)
             spans = [(a, b) for (a, x), (b, _) in zip(inside, [*inside[1:], (len(line), False)]) if x]
         place = end + 1
@@ -265,12 +321,15 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     n_deleted counts the lines that are deleted whole or in part. Null and empty texts stay as they are.
     """
-    gone = saved(repeated_runs(docs, id_column, text_column, least_words), "gone")
-    passages = repeated_passages(docs, id_column, text_column, least_passage)
-    both = gone.withColumnRenamed("doc_id", "doc").join(passages, ["doc", "sig"], "full").withColumnsRenamed({"doc": "doc_id"})
+    texts = read_texts(docs, id_column, text_column, least_passage)
+    gone = saved(repeated_runs(docs, id_column, text_column, least_words, texts), "gone")
+    passages = repeated_passages(docs, id_column, text_column, least_passage, texts)
+    both = saved(gone.withColumnRenamed("doc_id", "doc").join(passages, ["doc", "sig"], "full").withColumnsRenamed({"doc": "doc_id"}), "lost")
     text = F.col(f"`{text_column}`").cast("string")
     plain = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
-    out = plain.join(both, ["doc_id", "sig"], "left").select("doc_id", "text", "gone", "starts")
+    plain = marked(plain, both, "doc_id", "sig")
+    whole = plain.filter("NOT likely").selectExpr("doc_id", "text", "coalesce(length(text) - length(replace(text, '\n', '')) + 1, 0) AS n_lines", "0 AS n_deleted")
+    out = plain.filter("likely").join(both, ["doc_id", "sig"], "left").select("doc_id", "text", "gone", "starts")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, lines, deleted = [], [], []
@@ -283,4 +342,4 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             deleted.append(n)
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string()), pa.array(lines, pa.int32()), pa.array(deleted, pa.int32())], ["doc_id", "text", "n_lines", "n_deleted"])
 
-    return map_arrow(out, cut, "doc_id bigint, text string, n_lines int, n_deleted int")
+    return map_arrow(out, cut, "doc_id bigint, text string, n_lines int, n_deleted int").unionByName(whole)
