@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.llm.common import BATCH_ROWS, map_arrow
 from tablecraft.llm.files import read_range, written
-from tablecraft.llm.tokens import END, FOLDER, VOCABULARY, tokenizer
+from tablecraft.llm.tokens import END, FOLDER, VOCABULARY, spaced, tokenizer
 from tablecraft.llm.words import MASK, mix
 from tablecraft.session import scratch_path
 
@@ -47,8 +47,8 @@ def _pieces(ids, texts, length: int, folder: str, name: str) -> np.ndarray:
     """Records of each document: its ids and an end mark, cut into pieces of ``length``, the last one filled up with end marks."""
     encode, parts, counts = tokenizer(folder, name).encode, [], []
     mark = np.uint16(END).tobytes()
-    for text in texts:
-        tokens = encode(text.as_py()) + mark
+    for text, loose in zip(texts, spaced(texts)):
+        tokens = encode(text.as_py(), loose) + mark
         n = len(tokens) // 2
         parts.append(tokens + mark * (-n % length))
         counts.append(n)
@@ -82,7 +82,7 @@ def materialise(
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         size = tokenizer(folder, name).count
-        n = sum(-(-(size(text.as_py()) + 1) // length) for text in batch["text"])
+        n = sum(-(-(size(text.as_py(), loose) + 1) // length) for text, loose in zip(batch["text"], spaced(batch["text"])))
         return pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n]}, pa.schema([("part", pa.int32()), ("n", pa.int64())]))
 
     counted = map_arrow(plain, count, "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n")).collect()  # a row per input partition

@@ -4,10 +4,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablecraft.llm import chat, html_text, language, lines, mixture, near_text, near_vectors, queries, token_files, training_order
+from tablecraft.llm import chat, html_text, language, lines, mixture, near_text, near_vectors, queries, token_files, tokens, training_order
 from tablecraft.llm.decontaminate import contaminated
 from tablecraft.llm.tokens import tokenizer
 from tablecraft.session import scratch_path
@@ -354,6 +355,18 @@ def test_permutation():
         assert sorted(training_order.feistel(np.arange(n), n, 9).tolist()) == list(range(n))
 
 
+def test_split_without_look_ahead():
+    blanks = [" ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000"]
+    texts = ["", "a", "  ", " a  b", "It's  'll we've\n\n\n  done", "x" + " " * 70_000 + "y", "end" + "\n" * 70_000]
+    random = np.random.default_rng(4)
+    texts += ["".join(random.choice([*blanks, " ", " ", "a", "word", "12", "'s", "!?", "é", "語", "\U0001f600"], 40)) for _ in range(300)]
+    coder = tokenizer().coder
+    for text, loose in zip(texts, tokens.spaced(pa.array(texts))):
+        assert (want := coder.encode_ordinary(text)) == tokenizer().ids(text, loose) == tokenizer().ids(text)
+        assert loose or coder.encode_ordinary(text) == tokenizer().plain.encode_ordinary(text)
+        assert tokenizer().count(text, loose) == len(want)
+
+
 def test_training_order_round_trip(spark):
     docs, path = odd_docs(spark), scratch_path(spark, "order")
     docs.write.parquet(given := scratch_path(spark, "docs"))
