@@ -13,20 +13,22 @@ from tablecraft.session import scratch_path
 BATCH_ROWS = 256
 
 
-#: Where this is set, the shuffle files of a query are deleted at its end, not when the driver happens to collect garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files of a query are deleted at its end, not when the driver happens to collect garbage.
+CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to ``path`` and read back; the shuffle files of the writing go at once, as nothing reads them again."""
-    spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def stored(df: DataFrame, path: str, settings: dict[str, str] = {}) -> DataFrame:
+    """``df`` written to ``path`` under some settings and read back; no shuffle file of the writing is needed after it."""
+    conf, settings = df.sparkSession.conf, CLEANUP | settings
+    before = {name: conf.get(name, None) for name in settings}
     try:
+        for name, value in settings.items():
+            conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -37,12 +39,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 class Tables:
     """Saved tables by name, to be deleted one by one when what was made of them is written."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+    def __init__(self, spark: SparkSession, settings: dict[str, str] = {}):
+        self.spark, self.paths, self.settings = spark, {}, settings
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path = self.paths[label] = scratch_path(self.spark, label)
-        return stored(df, path)
+        return stored(df, path, self.settings)
 
     def drop(self, *labels: str) -> None:
         for label in labels:

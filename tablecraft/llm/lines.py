@@ -19,6 +19,8 @@ WORD = re.compile(r"\w+")
 RUN = 8
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
+#: Joins whose parts are small after the shuffle build a table of one side rather than sort both.
+HASHED = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m"}
 #: Letters whose lower case is two letters or depends on the letters beside.
 ODD = "\u0130\u03a3"
 #: Bits of a place that tell the line or word within a text; a string has less than 2**31 bytes.
@@ -50,34 +52,45 @@ def stretch_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) ->
 
 
 @lru_cache(maxsize=2)
-def letters(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the first n code points: whether they belong to words, and a number of their lower case (but for those in ODD)."""
-    inside = np.array([chr(i).isalnum() or i == ord("_") for i in range(n)])
-    lower = np.array([i if chr(i) in ODD else ord(chr(i).lower()) for i in range(n)], np.uint64)
-    return inside, mixed((lower + np.uint64(1)) * np.uint64(BACK))
+def word_letters(n: int) -> np.ndarray:
+    """Which of the first n code points belong to words."""
+    return np.array([chr(i).isalnum() or i == ord("_") for i in range(n)], np.int8)
+
+
+ASCII = word_letters(1 << 7).tobytes().ljust(256, b"\0")
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def word_edges(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and stop."""
+    codes = code_points(text)
+    if codes.itemsize > 1 and codes.max() >= 1 << 16:
+        edges = np.array([word.span() for word in WORD.finditer(text)], np.int64).reshape(-1, 2)
+        return edges[:, 0], edges[:, 1]
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = np.frombuffer(codes.tobytes().translate(ASCII), np.int8) if codes.itemsize == 1 else word_letters(1 << 16)[codes]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
 
 
 def words_in(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(a hash of each word, how many words end before the end of each line). Case does not count.
 
-    Code points of the first plane are looked up; texts that hold others, or letters whose lower case is longer or depends
-    on the neighbours, are lower-cased word by word. Both ways give a word the same hash.
+    A text that holds letters whose lower case is longer or depends on the neighbours is lower-cased word by word.
     """
-    if text.isascii():
-        codes, kinds = np.frombuffer(text.encode(), np.uint8), letters(1 << 7)
+    starts, stops = word_edges(text)
+    codes = code_points(text)
+    breaks = np.searchsorted(starts, np.append(np.flatnonzero(codes == 10), len(codes)))
+    if codes.itemsize == 1 or not any(x in text for x in ODD):
+        lower = code_points(text.lower())
     else:
-        codes, kinds = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), letters(1 << 16)
-        if codes.max() >= 1 << 16 or any(x in text for x in ODD):
-            found = [[word.lower() for word in WORD.findall(line)] for line in text.split("\n")]
-            flat = [word for words in found for word in words]
-            codes = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            stops = np.cumsum([len(word) for word in flat], dtype=np.int64)
-            return stretch_hashes(mixed((codes + np.uint64(1)) * np.uint64(BACK)), np.concatenate([[0], stops])[: len(flat)], stops), np.cumsum([len(words) for words in found])
-    inside = np.zeros(len(codes) + 2, np.int8)
-    inside[1:-1] = kinds[0][codes]
-    edges = np.flatnonzero(np.diff(inside))
-    starts, stops = edges[::2], edges[1::2]
-    return stretch_hashes(kinds[1][codes], starts, stops), np.searchsorted(starts, np.append(np.flatnonzero(codes == 10), len(codes)))
+        words = [text[a:b].lower() for a, b in zip(starts.tolist(), stops.tolist())]
+        stops = np.cumsum([len(word) for word in words], dtype=np.int64)
+        starts, lower = np.concatenate([[0], stops])[: len(words)], code_points("".join(words))
+    return stretch_hashes(lower.astype(np.uint64), starts, stops), breaks
 
 
 def lines_of(text: str | None, breaks: np.ndarray | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -87,21 +100,15 @@ def lines_of(text: str | None, breaks: np.ndarray | None = None) -> tuple[list[i
     numbers = np.flatnonzero(words)
     found = text.split("\n")
     hashes = [xxhash.xxh3_64_intdigest(found[i].strip().lower().encode("utf-8", "replace")) for i in numbers]
-    return numbers.tolist(), np.array(hashes, np.uint64), words[numbers].astype(np.int64)
+    return numbers.tolist(), np.array(hashes, np.uint64), words[numbers]
 
 
 def windows(hashes: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(start, stop, pick) of the shortest run of at least ``least`` words from each line on; pick is its last smallest hash."""
-    out, stop = [], 0
     total = np.concatenate([[0], np.cumsum(words)])
-    for start in range(len(hashes)):
-        while stop < len(hashes) and total[stop] - total[start] < least:
-            stop += 1
-        if total[stop] - total[start] < least:
-            break
-        part = hashes[start:stop]
-        out.append((start, stop, start + len(part) - 1 - int(part[::-1].argmin())))
-    return out
+    stops = np.searchsorted(total, total[:-1] + least)
+    stops = stops[stops <= len(hashes)].tolist()
+    return [(start, stop, start if stop == start + 1 else stop - 1 - int(hashes[start:stop][::-1].argmin())) for start, stop in enumerate(stops)]
 
 
 def extended(own: np.ndarray, source: np.ndarray, start: int, stop: int, at: int, same: bool) -> tuple[int, int]:
@@ -132,8 +139,15 @@ def passage_picks(runs: np.ndarray, width: int) -> np.ndarray:
     return (mask - (low & mask)).astype(np.int64)
 
 
+def listed(parts, kind: pa.DataType) -> pa.ListArray:
+    """A column of lists from NumPy arrays."""
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(x) for x in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.asarray(x, kind.to_pandas_dtype()) for x in parts]), kind))
+
+
 def read_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_passage: int = 50) -> DataFrame:
-    """One row per text, an id with a text: key, doc, sig (hash of the text), whole, numbers, hashes, words of its lines, n words, picks, places.
+    """One row per text, an id with a text: key, doc, sig (hash of the text), again (another), numbers, hashes, words of its lines, n words, picks, places.
 
     Rows that repeat id and text are one, those with a null id or text none. Keys rise with (doc, sig) and leave room for
     all places of a text: key + i is its i-th line or word, and such places order the lines or words of all texts.
@@ -149,15 +163,16 @@ def read_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             hashes, breaks = words_in(text)
             runs = run_hashes(hashes, run)
             at = passage_picks(runs, least_passage - run + 1)
-            at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+            at = at[np.append(at[:1] >= 0, at[1:] != at[:-1])]
             numbers, line_hashes, words = lines_of(text, breaks)
             rows.append((numbers, line_hashes.view(np.int64), words, len(hashes), runs[at].view(np.int64), at))
-        kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([batch["doc"], batch["sig"], batch["whole"], *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], ["doc", "sig", "whole", *arrays])
+        numbers, line_hashes, words, n, picks, places = zip(*rows)
+        columns = [listed(numbers, pa.int32()), listed(line_hashes, pa.int64()), listed(words, pa.int32()), pa.array(n, pa.int32()), listed(picks, pa.int64()), listed(places, pa.int32())]
+        return pa.RecordBatch.from_arrays([batch["doc"], batch["sig"], batch["again"], *columns], ["doc", "sig", "again", *arrays])
 
     arrays = {"numbers": "array<int>", "hashes": "array<bigint>", "words": "array<int>", "n": "int", "picks": "array<bigint>", "places": "array<int>"}
-    tables = Tables(docs.sparkSession)
-    found = map_arrow(chosen.withColumn("whole", F.md5("text")), read, "doc bigint, sig bigint, whole string, " + ", ".join(map(" ".join, arrays.items()))).filter("size(hashes) > 0")
+    tables = Tables(docs.sparkSession, HASHED)
+    found = map_arrow(chosen.withColumn("again", F.xxhash64(F.lit(1), "text")), read, "doc bigint, sig bigint, again bigint, " + ", ".join(map(" ".join, arrays.items()))).filter("size(hashes) > 0")
     ordered = tables.save(found, "read").repartitionByRange("doc", "sig").dropDuplicates(["doc", "sig"]).sortWithinPartitions("doc", "sig")
     texts = saved(ordered.withColumn("id", F.monotonically_increasing_id()), "texts")
     tables.drop("read")
@@ -196,13 +211,12 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         rows = []
         for key, h, w in zip(batch["key"].to_pylist(), batch["hashes"], batch["words"]):
             hashes = np.asarray(h.values).view(np.uint64)
-            for start, stop, at in windows(hashes, np.asarray(w.values), least_words):
-                rows.append((int(hashes[at].view(np.int64)), key + at, key + start, stop - start, xxhash.xxh3_64_intdigest(hashes[start:stop]) - (1 << 63)))
-        columns = list(zip(*rows)) or [[]] * 5
+            start, stop, at = np.array(windows(hashes, np.asarray(w.values), least_words), np.int64).reshape(-1, 3).T
+            rows.append((hashes[at].view(np.int64), key + at, key + start, stop - start, stretch_hashes(hashes, start, stop).view(np.int64)))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["pick", "at", "start", "n", "content"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*rows), kinds)], ["pick", "at", "start", "n", "content"])
 
-    tables = Tables(docs.sparkSession)
+    tables = Tables(docs.sparkSession, HASHED)
     spans = tables.save(map_arrow(lines.select("key", "hashes", "words"), pick, "pick bigint, at bigint, start bigint, n int, content bigint"), "windows")
     again = spans.groupBy("pick").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a <> b").select("pick")
     suspects = tables.save(spans.join(tables.save(again, "picks"), "pick").select("start", "n", "content"), "suspects")
@@ -255,8 +269,8 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     text = F.col(f"`{text_column}`").cast("string")
     chosen = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc"), F.xxhash64(text).alias("sig"), text.alias("text"))
     read = (read_texts(docs, id_column, text_column, least_words) if texts is None else texts).filter(F.col("n") >= least_words)
-    tables = Tables(docs.sparkSession)
-    first_of = tables.save(read.groupBy("whole").agg(F.min("key").alias("key")).select("key"), "firsts")
+    tables = Tables(docs.sparkSession, HASHED)
+    first_of = tables.save(read.groupBy("sig", "again").agg(F.min("key").alias("key")).select("key"), "firsts")
     copies = saved(read.join(first_of, "key", "left_anti").select("doc", "sig", "n"), "copies").select("doc", "sig", F.sequence(F.lit(0), F.col("n") - least_words).alias("starts"))
     spread = read.join(first_of, "key", "left_semi").select("key", F.explode(F.arrays_zip("picks", "places")).alias("p")).select(F.col("p.picks").alias("pick"), (F.col("key") + F.col("p.places")).alias("at"))
     spread = tables.save(spread, "spread")
@@ -269,10 +283,19 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     run = min(RUN, least_words)
 
     def windows_of(batch: pa.RecordBatch):
+        rows, ready = [], 0
         for key, places, x in zip(batch["key"].to_pylist(), batch["places"], batch["text"]):
             hashes = words_in(x.as_py())[0]
-            starts = np.flatnonzero(np.isin(passage_picks(run_hashes(hashes, run), least_words - run + 1), np.asarray(places.values)))
-            yield pa.RecordBatch.from_arrays([pa.array(run_hashes(hashes, least_words)[starts].view(np.int64)), pa.array(starts + key)], ["content", "start"])
+            wanted = np.zeros(len(hashes), bool)
+            wanted[np.asarray(places.values)] = True
+            starts = np.flatnonzero(wanted[passage_picks(run_hashes(hashes, run), least_words - run + 1)])
+            rows.append((stretch_hashes(hashes, starts, starts + least_words).view(np.int64), starts + key))
+            ready += len(starts)
+            if ready >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["content", "start"])
+                rows, ready = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["content", "start"])
 
     passages = tables.save(map_arrow(found, windows_of, "content bigint, start bigint"), "passages")
     tables.drop("places")
@@ -285,30 +308,27 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
 def without(text: str, gone: set[int], starts: np.ndarray, least: int) -> tuple[str, int]:
     """The text without whole lines and without the words of the windows that begin at ``starts``; how many lines lost something."""
-    n, lost, out, cut, place = 0, None, [], 0, 0
+    lines, out, cut, dropped = text.split("\n"), [], 0, None
     if len(starts):
-        found = [word.start() for word in WORD.finditer(text)]
-        edges = np.zeros(len(found) + 1, np.int64)
+        begins = word_edges(text)[0]
+        edges = np.zeros(len(begins) + 1, np.int64)
         np.add.at(edges, starts, 1)
         np.add.at(edges, starts + least, -1)
-        lost = (np.cumsum(edges) > 0).tolist()
-    for i, line in enumerate(text.split("\n")):
-        end, spans, kept = place + len(line), [], 0
-        if lost is not None:
-            inside = []
-            while n < len(found) and found[n] < end:
-                inside.append((found[n] - place, lost[n]))
-                n += 1
-            kept = sum(not x for _, x in inside)
-            spans = [(a, b) for (a, x), (b, _) in zip(inside, [*inside[1:], (len(line), False)]) if x]
-        place = end + 1
-        if i in gone or spans and not kept:
+        lost = np.cumsum(edges[:-1]) > 0
+        places = np.cumsum([0, *(len(line) + 1 for line in lines)])
+        bounds = np.searchsorted(begins, places)
+        dropped = np.diff(np.concatenate([[0], np.cumsum(lost)])[bounds]).tolist()
+    for i, line in enumerate(lines):
+        if i in gone or dropped and dropped[i] and dropped[i] == bounds[i + 1] - bounds[i]:
             cut += 1
-        elif spans:
+        elif dropped and dropped[i]:
+            own = slice(bounds[i], bounds[i + 1])
+            inside = list(zip((begins[own] - places[i]).tolist(), lost[own].tolist()))
             pieces, at = [], 0
-            for a, b in spans:
-                pieces.append(line[at:a])
-                at = b
+            for (a, gone_word), (b, _) in zip(inside, [*inside[1:], (len(line), False)]):
+                if gone_word:
+                    pieces.append(line[at:a])
+                    at = b
             out.append("".join([*pieces, line[at:]]).rstrip())
             cut += 1
         else:
