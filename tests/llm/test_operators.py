@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import pathlib
 import re
 import zlib
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablecraft.llm import chat, html_text, language, lines, mixture, near_text, near_vectors, queries, token_files, tokens, training_order
+from tablecraft.llm import chat, common, html_text, language, lines, mixture, near_text, near_vectors, queries, token_files, tokens, training_order
 from tablecraft.llm.decontaminate import contaminated
 from tablecraft.llm.tokens import tokenizer
 from tablecraft.session import scratch_path
@@ -204,6 +205,30 @@ def test_passages_inside_lines(spark):
     assert got == {1: (texts[1], 1, 0), 2: ("other start, and on\nlast line", 2, 1), 3: (f"x {q} y", 1, 1), 4: ("", 1, 1), 5: (texts[5], 1, 0), 6: ("z\nz", 41, 41)}
 
 
+def test_words_of_all_scripts_have_one_hash():
+    texts = ["Plain words, it's 12 of_them", "PLAIN İstanbul words istanbul", "ΑΣ ΑΣ'Β Σ plain", "\U0001f600 plain\U0001f600words \U00010400x", "Ünï ĳ K k plain\n\nlast line\x85words"]
+    known, of = {}, {}
+    for text in texts:
+        want = [[x.lower() for x in re.findall(r"\w+", line)] for line in text.split("\n")]
+        hashes, breaks = lines.words_in(text)
+        assert breaks.tolist() == np.cumsum([len(x) for x in want]).tolist()
+        for word, value in zip((w for x in want for w in x), hashes.tolist(), strict=True):
+            assert known.setdefault(word, value) == value and of.setdefault(value, word) == word
+
+
+def test_line_dedup_leaves_no_shuffle_files_and_numbers_texts(spark):
+    """Equal texts under one id are one; places order texts by id and text hash, whatever their ids."""
+    texts = lines.read_texts(spark.createDataFrame([(2**62, "b c"), (-(2**62), "a"), (7, "x y z"), (7, "x y z"), (7, "other"), (8, None), (None, "a")], "doc_id bigint, text string"))
+    rows = texts.orderBy("key").collect()
+    assert [r.doc for r in rows] == [-(2**62), 7, 7, 2**62] and rows[1].sig < rows[2].sig and all(r.key % (1 << lines.PLACES) == 0 for r in rows)
+    assert len({r.key for r in rows}) == 4 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    given = spark.createDataFrame([(i, f"some line of text {i % 9}") for i in range(2000)], "doc_id bigint, text string")
+    before = len(list(pathlib.Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*")))
+    common.saved(given.repartition(3, "text"), "probe")
+    after = len(list(pathlib.Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*")))
+    assert after <= before
+
+
 PAGES = [
     (None, ""), ("", ""), ("<p>", ""), ("just a few plain words that stand alone in a page without any markup at all here", None),
     ("<html><head><title>no</title><script>var a='<p>x</p>';</script></head><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>First\n  part<br>second&nbsp;part.<p>Last.</article><div class='comments'><p>I am the first to say something here</p></div><footer>c</footer>", "A & B\nFirst part second part.\nLast."),
