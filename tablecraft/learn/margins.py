@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -16,11 +17,24 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
-from tablecraft.session import dealt
+from tablecraft.session import TASK_BYTES
 
 KERNELS = ("rbf", "linear")
 #: A sigmoid is fitted on margins of each of so many folds, from machines that were fitted without it.
 PLATT_FOLDS = 2
+#: Mapped rows that a task reads at least in each step of the solver, if others have to wait for it.
+STEP_BYTES = 32 * 2**20
+#: Up to so many bytes of mapped rows, the fits of a machine run at the same time.
+TOGETHER_BYTES = 2**29
+#: Rows that are mapped together when margins are taken.
+MAPPED_ROWS = 2048
+
+
+def fourier(rows: np.ndarray, gamma: float, count: int, seed: int) -> np.ndarray:
+    """``count`` numbers for each row, see :class:`FourierFeatures`."""
+    half = count // 2
+    angles = rows @ (np.random.default_rng(seed).normal(size=(rows.shape[1], half)) * np.sqrt(2 * gamma))
+    return np.concatenate([np.cos(angles), np.sin(angles)], axis=1) / np.sqrt(half)
 
 
 class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -41,12 +55,10 @@ class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable)
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        gamma, half, seed = self.getOrDefault("gamma"), self.getOrDefault("count") // 2, self.getOrDefault("seed")
+        gamma, count, seed = self.getOrDefault("gamma"), self.getOrDefault("count"), self.getOrDefault("seed")
 
         def mapped(x: pd.Series) -> pd.Series:
-            rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1))
-            angles = rows @ (np.random.default_rng(seed).normal(size=(rows.shape[1], half)) * np.sqrt(2 * gamma))
-            return pd.Series(list(np.concatenate([np.cos(angles), np.sin(angles)], axis=1) / np.sqrt(half)))
+            return pd.Series(list(fourier(np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1)), gamma, count, seed)))
 
         made = F.pandas_udf(mapped, "array<double>")(vector_to_array("features"))
         return dataset.withColumn("__kernel", array_to_vector(made))
@@ -57,16 +69,17 @@ class Margins(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
     machines = Param(Params._dummy(), "machines", "weights, intercept and sigmoid of each class as JSON", TypeConverters.toString)
     source = Param(Params._dummy(), "source", "column of the vectors", TypeConverters.toString)
+    kernel = Param(Params._dummy(), "kernel", "gamma, count and seed of the Fourier features that the weights are for as JSON, empty for none", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, machines: str = "[]", source: str = "features"):
+    def __init__(self, *, machines: str = "[]", source: str = "features", kernel: str = ""):
         super().__init__()
-        self._setDefault(machines="[]", source="features")
+        self._setDefault(machines="[]", source="features", kernel="")
         self._set(**self._input_kwargs)
 
     @property
     def coefficientMatrix(self) -> DenseMatrix:
-        if self.getOrDefault("source") != "features":
+        if self.getOrDefault("source") != "features" or self.getOrDefault("kernel"):
             raise AttributeError("a kernel machine has no weight per feature")
         w = np.array([m["w"] for m in json.loads(self.getOrDefault("machines"))])
         return DenseMatrix(*w.shape, w.ravel().tolist(), True)
@@ -74,9 +87,15 @@ class Margins(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         machines, source = json.loads(self.getOrDefault("machines")), self.getOrDefault("source")
         w, b = np.array([m["w"] for m in machines]), np.array([m["b"] for m in machines])
+        kernel = json.loads(self.getOrDefault("kernel") or "null")
 
         def margins(x: pd.Series) -> pd.Series:
-            return pd.Series(list(np.stack(x.to_numpy()) @ w.T + b) if len(x) else [], dtype=object)
+            found = []
+            for i in range(0, len(x), MAPPED_ROWS):
+                # mapped rows are long, so they stay in the task and are few at a time
+                rows = np.stack(x.iloc[i : i + MAPPED_ROWS].to_numpy())
+                found.extend((fourier(rows, **kernel) if kernel else rows) @ w.T + b)
+            return pd.Series(found, dtype=object)
 
         raw = dataset.withColumn("rawPrediction", F.pandas_udf(margins, "array<double>")(vector_to_array(source)))
         # two classes share one machine: its margin is that of the second class
@@ -93,11 +112,13 @@ class Margins(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return scored.withColumn("prediction", best).drop("__kernel")
 
 
-def scale_gamma(dataset: DataFrame) -> float:
-    """1 / (number of features * variance of all their values)."""
-    row = dataset.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).head()["s"]
-    mean, n = row["mean"].toArray(), row["count"]
-    second = row["variance"].toArray() * (n - 1) / max(n, 1) + mean**2
+def scale_gamma(dataset: DataFrame, n: str | None = None) -> float:
+    """1 / (number of features * variance of all their values). Column ``n`` holds numbers of equal rows, if given."""
+    each = F.col(n).cast("double") if n else F.lit(1.0)
+    row = dataset.select(Summarizer.metrics("mean", "variance").summary(F.col("features"), each).alias("s"), F.sum(each).alias("n"), F.sum(each * each).alias("n2")).head()
+    mean, rows = row["s"]["mean"].toArray(), row["n"]
+    # the summary divides by rows - n2 / rows
+    second = row["s"]["variance"].toArray() * (rows - row["n2"] / rows) / rows + mean**2
     variance = second.mean() - mean.mean() ** 2
     return float(1 / (len(mean) * variance)) if variance > 0 else 1.0
 
@@ -118,24 +139,29 @@ def support_vectors(dataset: DataFrame, classes: int, weight: str | None, C_: fl
 
     The sigmoids are fitted on margins of rows that the machine did not see: ``PLATT_FOLDS`` further fits per machine.
     With a kernel the given features are kept, equal rows once with their sum of weights, and mapped in the passes that need
-    them: a mapped row takes ``components`` numbers, and the solver keeps those of one fit.
+    them: a mapped row takes ``components`` numbers, and the solver keeps those of one fit, of all three where they are few.
     """
     if kernel not in KERNELS:
         raise ValueError(f"unknown kernel {kernel!r}")
-    stages, source = [], "features"
+    mapped = ""
     vector, w = vector_to_array("features"), F.col(weight) if weight else F.lit(1.0)
     fold = F.pmod(F.xxhash64(vector, F.lit(seed)), F.lit(PLATT_FOLDS))
-    kept = []
+    kept, together = [], 1
     try:
         if kernel == "rbf":
-            width = scale_gamma(dataset) if gamma == "scale" else float(gamma)
-            stages.append(FourierFeatures(gamma=width, count=components, seed=seed))
-            source = "__kernel"
             alike = dataset.groupBy(vector.alias("v"), "label").agg(F.sum(w).alias("w"), F.count(F.lit(1)).alias("n")).persist()
             kept.append(alike)
-            spread = dealt(alike, alike.count(), 8 * components, "v", "label").select(array_to_vector("v").alias("features"), "label", "w", "n").persist()
+            size = alike.count() * 8 * components
+            # a solver's step reads all mapped rows; of few, more tasks would only wait for each other
+            few = max(1, -(-size // STEP_BYTES))
+            cores = dataset.sparkSession.sparkContext.defaultParallelism
+            spread = alike.repartition(few if few < cores else max(cores, -(-size // TASK_BYTES)), "v", "label").select(array_to_vector("v").alias("features"), "label", "w", "n").persist()
             kept.append(spread)
-            data = stages[0].transform(spread.withColumn("fold", fold)).withColumnRenamed("__kernel", "x")
+            width = scale_gamma(spread, "n") if gamma == "scale" else float(gamma)
+            mapped = json.dumps({"gamma": width, "count": components, "seed": seed})
+            # the solver keeps the mapped rows of each fit under way
+            together = PLATT_FOLDS + 1 if size <= TOGETHER_BYTES else 1
+            data = FourierFeatures(gamma=width, count=components, seed=seed).transform(spread.withColumn("fold", fold)).withColumnRenamed("__kernel", "x")
         else:
             data = dataset.select(F.col("features").alias("x"), "label", w.alias("w"), F.lit(1).alias("n"), fold.alias("fold")).persist()
             kept.append(data)
@@ -143,15 +169,19 @@ def support_vectors(dataset: DataFrame, classes: int, weight: str | None, C_: fl
         for k in range(classes) if classes > 2 else [1]:
             hit = data.withColumn("hit", (F.col("label") == k).cast("double"))
             maker = C.LinearSVC(featuresCol="x", labelCol="hit", weightCol="w", regParam=1.0 / (C_ * rows), standardization=False, maxIter=max_iter)
+
+            def fit(part, hit=hit, maker=maker):
+                return maker.fit(hit if part is None else hit.where(F.col("fold") != part))
+
+            with ThreadPoolExecutor(together) as pool:
+                *parts, fitted = pool.map(fit, [*range(PLATT_FOLDS), None])
             held = None
-            for part in range(PLATT_FOLDS):
-                one = maker.fit(hit.where(F.col("fold") != part)).transform(hit.where(F.col("fold") == part))
-                one = one.select(vector_to_array("rawPrediction")[1].alias("margin"), "hit", "n")
+            for part, made in enumerate(parts):
+                one = made.transform(hit.where(F.col("fold") == part)).select(vector_to_array("rawPrediction")[1].alias("margin"), "hit", "n")
                 held = one if held is None else held.unionByName(one)
             slope, shift = _sigmoid(held)
-            fitted = maker.fit(hit)
             machines.append({"w": fitted.coefficients.toArray().tolist(), "b": fitted.intercept, "slope": slope, "shift": shift})
     finally:
         for frame in kept:
             frame.unpersist()
-    return PipelineModel([*stages, Margins(machines=json.dumps(machines), source=source)])
+    return PipelineModel([Margins(machines=json.dumps(machines), kernel=mapped)])

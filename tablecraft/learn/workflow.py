@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from statistics import fmean, pstdev
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -21,12 +22,14 @@ from tablecraft.learn.prepare import TabularPrepModel, prep_for
 from tablecraft.learn.products import curve_scores, fold_scores, summed
 from tablecraft.learn.split import nested_subset, safe_folds, with_folds
 from tablecraft.plans.recipe import Recipe
-from tablecraft.session import small_frame
+from tablecraft.session import freeze, small_frame
 
 LABEL = "label"
 #: Columns that the stages make; an input column of such a name steps aside meanwhile.
 MADE = ("label", "features", "prediction", "probability", "rawPrediction")
 ASIDE = "__input_"
+#: Number of rows that are alike.
+ROWS = "__rows"
 
 
 def _aside(name: str) -> str:
@@ -115,28 +118,42 @@ class Trained:
 
 def train(df: DataFrame, target: str, features: Sequence[str], task: str, model: str, settings: dict | None = None,
           scaler: str = "standard") -> Trained:
+    """The stages read the rows many times, so the columns they use are kept meanwhile, unless the caller keeps ``df`` already."""
+    level = df.storageLevel
+    kept_before = level.useDisk or level.useMemory
+    require(df, target, *features)
     df = _put_aside(df)
-    rows = _labelled(df, _aside(target), task)
-    fitted = pipeline_for(df, _aside(target), [_aside(f) for f in features], task, model, settings, scaler).fit(rows)
+    named = list(dict.fromkeys(_aside(c) for c in (target, *features)))
+    rows = _labelled(df.select(*[col(c) for c in named]), _aside(target), task)
+    if not kept_before:
+        rows = rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        fitted = pipeline_for(df, _aside(target), [_aside(f) for f in features], task, model, settings, scaler).fit(rows)
+    finally:
+        if not kept_before:
+            rows.unpersist()
     return Trained(fitted, task, target, list(features), model, dict(settings or {}))
 
 
 def evaluate(trained: Trained, test: DataFrame) -> DataFrame:
     """One row of metrics on held-out rows."""
-    scored = trained.raw(test.where(col(trained.target).isNotNull()))
+    known = test.where(col(trained.target).isNotNull())
     if trained.task == "regression":
-        return metrics.regression_metrics(scored)
-    # a class that was not in the training rows cannot be predicted; it counts as an error
-    row = metrics.classification_metrics(scored)
-    auc = F.lit(None).cast("double")
+        return metrics.regression_metrics(trained.raw(known))
+    # rows alike in target and features are scored once, and each model once for all figures
+    names = dict.fromkeys([trained.target, *trained.features])
+    alike = freeze(known.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias(ROWS)))
+    scored, two, score = trained.raw(alike), len(trained.labels) == 2, F.lit(None)
     if "probability" in scored.columns:
-        p = scored.withColumn("__p", col("probability") if dict(scored.dtypes)["probability"].startswith("array") else vector_to_array("probability"))
-        if len(trained.labels) == 2:
-            area = metrics.roc_auc(p.select(LABEL, F.col("__p")[1].alias("score")), LABEL, "score")
-        else:
-            area = metrics.roc_auc_multiclass(p.select(LABEL, "__p"), LABEL, "__p", range(len(trained.labels)))
-        return row.join(area, F.lit(True))
-    return row.withColumn("roc_auc", auc)
+        score = col("probability") if dict(scored.dtypes)["probability"].startswith("array") else vector_to_array("probability")
+    seen = freeze(scored.groupBy(LABEL, "prediction", (score[1] if two and "probability" in scored.columns else score).alias("__p")).agg(F.sum(ROWS).alias(ROWS)))
+    # a class that was not in the training rows cannot be predicted; it counts as an error
+    row = metrics.classification_metrics(seen, n=ROWS)
+    if "probability" not in scored.columns:
+        return row.withColumn("roc_auc", F.lit(None).cast("double"))
+    if two:
+        return row.join(metrics.roc_auc(seen, LABEL, "__p", n=ROWS), F.lit(True))
+    return row.join(metrics.roc_auc_multiclass(seen, LABEL, "__p", range(len(trained.labels)), n=ROWS), F.lit(True))
 
 
 def cross_validate(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str], task: str, model: str, settings: dict | None = None,

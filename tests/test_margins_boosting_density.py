@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tablecraft.learn import boosting, margins, workflow
+from tablecraft.learn import boosting, margins, metrics, workflow
 from tablecraft.operators import distributions
 
 
@@ -123,3 +123,43 @@ def test_equal_rows_of_a_boosted_class_are_one_row(spark, monkeypatch):
     assert set(sizes) == {90}
     a, b = ([r.p for r in f.transform(data).select(F.col("probability")[0].alias("p")).collect()] for f in (one, many))
     assert a == pytest.approx(b, abs=1e-6)
+
+
+def test_equal_held_out_rows_are_scored_once(spark, monkeypatch):
+    made = workflow.train(ring(spark, 200), "kind", ["x", "y"], "classification", "SVM", {"max_iter": 10, "components": 32})
+    test = ring(spark, 80, seed=4).drop("id")
+    test = test.unionByName(spark.createDataFrame([(0.5, None, "ring0"), (None, None, "ring1"), (1.0, 1.0, None)], test.schema))
+    many = test.crossJoin(spark.range(15)).drop("id")
+    scored = made.raw(many.where("kind is not null"))
+    wanted = metrics.classification_metrics(scored).head().asDict() | metrics.roc_auc(scored.select("label", F.col("probability")[1].alias("s")), "label", "s").head().asDict()
+    seen, transform = [], margins.Margins._transform
+    monkeypatch.setattr(margins.Margins, "_transform", lambda self, df: seen.append(df.count()) or transform(self, df))
+    assert workflow.evaluate(made, many).head().asDict() == pytest.approx(wanted, abs=1e-12)
+    assert seen == [82]
+
+
+def test_a_kernel_machine_maps_rows_where_it_takes_margins(spark):
+    data = ring(spark, 90).select("id", array_to_vector(F.array("x", "y")).alias("features"), (F.col("kind") == "ring1").cast("double").alias("label"))
+    made = margins.support_vectors(data, 2, None, 1.0, 90, 10, "rbf", 0.5, 32, 1)
+    assert len(made.stages) == 1
+    apart = margins.Margins(machines=made.stages[0].getOrDefault("machines"), source="__kernel").transform(margins.FourierFeatures(gamma=0.5, count=32, seed=1).transform(data))
+    one, two = ([r.m for r in f.select("id", F.col("rawPrediction")[1].alias("m")).orderBy("id").collect()] for f in (made.transform(data), apart))
+    assert one == pytest.approx(two, abs=1e-9)
+
+
+def test_gamma_of_counted_rows(spark):
+    data = ring(spark, 50).select(array_to_vector(F.array("x", "y")).alias("features"), (F.col("id") % 7 + 1).alias("n"))
+    copies = data.select("features", F.explode(F.sequence(F.lit(1), "n")))
+    assert margins.scale_gamma(data, "n") == pytest.approx(margins.scale_gamma(copies), rel=1e-12)
+    x = np.array([r.features.toArray() for r in copies.collect()])
+    assert margins.scale_gamma(copies) == pytest.approx(1 / (2 * x.var()), rel=1e-9)
+    assert margins.scale_gamma(data.limit(1), "n") > 0
+
+
+def test_figures_of_counted_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), [p := float(rng.integers(0, 5) / 4), (1 - p) / 2, (1 - p) / 2], int(n)) for a, b, n in zip(rng.integers(0, 3, 60), rng.integers(0, 3, 60), rng.integers(1, 6, 60))]
+    df = spark.createDataFrame(rows, "label double, prediction double, p array<double>, n bigint").withColumn("s", F.col("p")[0]).withColumn("hit", (F.col("label") == 1).cast("int"))
+    copies = df.withColumn("i", F.explode(F.sequence(F.lit(1), "n")))
+    for figures in (lambda t, **n: metrics.classification_metrics(t, **n), lambda t, **n: metrics.roc_auc(t, "hit", "s", **n), lambda t, **n: metrics.roc_auc_multiclass(t, "label", "p", range(3), **n)):
+        assert figures(df, n="n").head().asDict() == pytest.approx(figures(copies).head().asDict(), abs=1e-12)
