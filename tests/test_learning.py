@@ -189,3 +189,18 @@ def test_power_fit_reads_the_rows_once_for_all_lambdas(spark, monkeypatch):
     df = spark.range(3000).selectExpr("EXP(PMOD(xxhash64(id), 997) / 300) AS x")
     monkeypatch.setattr(prepare, "_row_moments", no_rows)
     assert prepare._best_lambdas(df, {"x": F.col("x")})["x"] < 0.5
+
+
+def test_training_rows_are_kept_while_stages_read_them(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 9), float(i % 4), "ab"[i % 2]) for i in range(60)], "id int, x double, label double, kind string")
+    plans, fit = [], models.TabularModel._fit
+    monkeypatch.setattr(models.TabularModel, "_fit", lambda self, data: plans.append(data._jdf.queryExecution().optimizedPlan().toString()) or fit(self, data))
+    left = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    made = workflow.train(df, "kind", ["x", "label"], "classification", "Decision Tree")
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == left
+    held = df.select("kind", "x", "label").persist()
+    again = workflow.train(held, "kind", ["x", "label"], "classification", "Decision Tree")
+    held.unpersist()
+    # of rows that the caller keeps, no second copy is made
+    assert [p.count("InMemoryRelation") for p in plans] == [1, 1] and "[kind" in plans[1]
+    assert made.predict(df).exceptAll(again.predict(df)).isEmpty()
