@@ -9,7 +9,7 @@ from tablecraft.catalog.base import GAPS, ITEM_KEY, Catalog, r, rounded
 from tablecraft.learn import metrics, models, neighbours, select, split, workflow
 from tablecraft.learn.prepare import TabularPrep
 from tablecraft.plans.recipe import Recipe
-from tablecraft.session import scratch_path, small_frame
+from tablecraft.session import freeze, scratch_path, small_frame
 
 catalog = Catalog()
 K = ", ".join(ITEM_KEY)
@@ -185,23 +185,24 @@ def five_nearest(t):
     """Every vector against all vectors, itself included."""
     df = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("q"), F.col("label").cast("double").alias("label"))
     train = df.groupBy(F.col("q").alias("v"), "label").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("v", "label"))
-    return df, neighbours.nearest(train, df.select("q").distinct(), 5)
+    queries = neighbours.numbered(df.select("q").distinct())
+    return df, queries, neighbours.nearest_of(freeze(train), queries, 5)
 
 
 @catalog.add("k16_nearest_neighbours", f"""WITH {NEIGHBOURS}, v AS (SELECT vec_id, label, count(*) AS n FROM d WHERE i <= 5 GROUP BY ALL),
   w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS i FROM v) SELECT vec_id, CAST(label AS DOUBLE) AS prediction FROM w WHERE i = 1""")
 def nearest_neighbours(t):
-    df, near = five_nearest(t)
-    votes = near.groupBy("q", "label").agg(F.sum("n").alias("n"))
-    best = votes.groupBy("q").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("label").alias("label"))).alias("best"))
-    return df.join(best, "q").select("vec_id", F.col("best.label").alias("prediction"))
+    df, queries, near = five_nearest(t)
+    votes = near.groupBy("id", "label").agg(F.sum("n").alias("n"))
+    best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("label").alias("label"))).alias("best"))
+    return df.join(queries.join(best, "id"), "q").select("vec_id", F.col("best.label").alias("prediction"))
 
 
 @catalog.add("k16_nearest_neighbours_mean", f"WITH {NEIGHBOURS} SELECT vec_id, round(avg(label), 6) AS prediction FROM d WHERE i <= 5 GROUP BY vec_id")
 def nearest_neighbours_mean(t):
-    df, near = five_nearest(t)
-    mean = near.groupBy("q").agg(F.round(F.sum(F.col("label") * F.col("n")) / F.sum("n"), 6).alias("prediction"))
-    return df.join(mean, "q").select("vec_id", "prediction")
+    df, queries, near = five_nearest(t)
+    mean = near.groupBy("id").agg(F.round(F.sum(F.col("label") * F.col("n")) / F.sum("n"), 6).alias("prediction"))
+    return df.join(queries.join(mean, "id"), "q").select("vec_id", "prediction")
 
 
 def coefficient(name: str, settings: dict | None = None):
