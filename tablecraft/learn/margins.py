@@ -17,13 +17,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
-from tablecraft.session import TASK_BYTES
+from tablecraft.session import dealt
 
 KERNELS = ("rbf", "linear")
 #: A sigmoid is fitted on margins of each of so many folds, from machines that were fitted without it.
 PLATT_FOLDS = 2
-#: Mapped rows that a task reads at least in each step of the solver, if others have to wait for it.
-STEP_BYTES = 32 * 2**20
 #: Up to so many bytes of mapped rows, the fits of a machine run at the same time.
 TOGETHER_BYTES = 2**29
 #: Rows that are mapped together when margins are taken.
@@ -152,10 +150,7 @@ def support_vectors(dataset: DataFrame, classes: int, weight: str | None, C_: fl
             alike = dataset.groupBy(vector.alias("v"), "label").agg(F.sum(w).alias("w"), F.count(F.lit(1)).alias("n")).persist()
             kept.append(alike)
             size = alike.count() * 8 * components
-            # a solver's step reads all mapped rows; of few, more tasks would only wait for each other
-            few = max(1, -(-size // STEP_BYTES))
-            cores = dataset.sparkSession.sparkContext.defaultParallelism
-            spread = alike.repartition(few if few < cores else max(cores, -(-size // TASK_BYTES)), "v", "label").select(array_to_vector("v").alias("features"), "label", "w", "n").persist()
+            spread = dealt(alike, size // (8 * components), 8 * components, "v", "label").select(array_to_vector("v").alias("features"), "label", "w", "n").persist()
             kept.append(spread)
             width = scale_gamma(spread, "n") if gamma == "scale" else float(gamma)
             mapped = json.dumps({"gamma": width, "count": components, "seed": seed})
