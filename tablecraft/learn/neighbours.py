@@ -183,6 +183,7 @@ def _closest(a: np.ndarray, b: np.ndarray, k: int, first: int) -> tuple[np.ndarr
             size = min(size, max(1, PAIRS // max(1, len(b))))
             row, to, d = _closest_plain(a[at : at + size], b, k)
         else:
+            # equal vectors are at distance 0, which lengths and products give but roughly
             apart = some[pairs[0]] - b[pairs[1]]
             row, to, d = _in_order(*pairs, np.sqrt((apart * apart).sum(1)), k)
         parts.append((row + at + first, to, d))
